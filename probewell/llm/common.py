@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +75,58 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def whole_groups(batches, keys: list[str]):
+    """Arrow tables that hold whole groups, from batches of a partition sorted by integer key columns.
+
+    What waits for the next batch is one group at most, so the caller must bound groups.
+    """
+    wait: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if wait and all(wait[-1][k][-1].as_py() == b[k][-1].as_py() for k in keys):
+            wait.append(b)
+            continue
+        new = np.zeros(b.num_rows, bool)
+        for k in keys:
+            v = b[k].to_numpy(zero_copy_only=False)
+            new[1:] |= v[1:] != v[:-1]
+        cut = int(np.flatnonzero(new)[-1]) if new.any() else 0
+        table = pa.Table.from_batches([*wait, b.slice(0, cut)]) if wait or cut else None
+        if table is not None and table.num_rows:
+            yield table
+        wait = [b.slice(cut)]
+    if wait:
+        yield pa.Table.from_batches(wait)
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Row numbers at which the groups of a sorted table start."""
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for k in keys:
+        v = table[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def ragged_arange(sizes: np.ndarray) -> np.ndarray:
+    """0 .. size-1 for each size, in a row."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For 0 .. n-1 linked by pairs (a, b): the smallest number of each one's component."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    return label

@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from probewell.llm.bpe import encode_decode
 from probewell.llm.mixing import mix
+from probewell.llm.pii import detect
 from probewell.llm.sharding import shard_documents
+from probewell.llm.simhash import near_duplicates
+from probewell.llm.suffix_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,14 +23,34 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components over shingles of four words, four differing bits at most."""
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), limit=4, shingle=4, seed=42)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed by weights 1, 2, 3 in turn, at most three epochs."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs, ["doc_id"], weights=(1, 2, 3), cap=3.0)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of every text, and back."""
+    return encode_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes removed."""
+    return remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op8_mixing)}
+    return {f.__name__: f for f in (op2_sharding, op5_pii, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
