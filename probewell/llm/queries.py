@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from probewell.llm.bpe import encode_decode
+from probewell.llm.lattice import near_vectors
 from probewell.llm.mixing import mix
 from probewell.llm.pii import detect
 from probewell.llm.sharding import shard_documents
 from probewell.llm.simhash import near_duplicates
 from probewell.llm.suffix_dedup import remove_repeats
+from probewell.llm.topk import top_k
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked at a cosine of 0.95 or more, whatever their labels."""
+    return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced label propagation over links between equal texts, eight shards, law "rows"."""
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
@@ -28,6 +35,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest inner products of every hundredth vector with all others."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components over shingles of four words, four differing bits at most."""
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), limit=4, shingle=4, seed=42)
@@ -50,8 +63,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op5_pii, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_lattice, op2_sharding, op5_pii, op6_topk, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
+
+
+#: Integer components by the contract, inner products by a join of every hundredth vector with all.
+OP6 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(CAST(x AS DOUBLE)) OR isinf(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": OP6}
