@@ -14,6 +14,7 @@ from probewell.llm.sharding import shard_documents
 from probewell.llm.simhash import near_duplicates
 from probewell.llm.suffix_dedup import remove_repeats
 from probewell.llm.topk import top_k
+from probewell.llm.toxicity import classify
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learnt from the labels that aren't held out."""
+    return classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text."""
     return detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,7 +69,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice, op2_sharding, op5_pii, op6_topk, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_lattice, op2_sharding, op3_toxicity, op5_pii, op6_topk, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
 
 
 #: Integer components by the contract, inner products by a join of every hundredth vector with all.
