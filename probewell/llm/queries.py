@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from probewell.llm.bpe import encode_decode
+from probewell.llm.html_extract import extract
 from probewell.llm.lattice import near_vectors
 from probewell.llm.mixing import mix
 from probewell.llm.pii import detect
@@ -36,6 +37,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text."""
     return detect(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,7 +75,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice, op2_sharding, op3_toxicity, op5_pii, op6_topk, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_lattice, op2_sharding, op3_toxicity, op4_html, op5_pii, op6_topk, op7_simhash, op8_mixing, op9_bpe, op10_suffix_dedup)}
 
 
 #: Integer components by the contract, inner products by a join of every hundredth vector with all.
