@@ -42,7 +42,7 @@ TAG_PRIOR = {
     **dict.fromkeys("html body".split(), (0.02, 0.5, 60.0)),
     "head": (60.0, 0.02, 0.02),
     **dict.fromkeys("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption".split(), (40.0, 15.0, 0.1)),
-    **dict.fromkeys("ul ol li dl dt dd table tr td th span a".split(), (5.0, 25.0, 0.3)),
+    **dict.fromkeys("ul ol li dl dt dd table tr td th span a".split(), (8.0, 30.0, 0.3)),
 }
 LABELLING = {"article": CONTENT, "main": CONTENT, "nav": BOILERPLATE, "footer": BOILERPLATE, "aside": BOILERPLATE, "form": BOILERPLATE, "head": BOILERPLATE}
 FEATURES = ("tag", "mark", "own", "all", "links")
@@ -212,7 +212,7 @@ def labelled_states(page: Page) -> list[int] | None:
     return state
 
 
-def train(sources: list[str], weight: float = 0.2, most: float = 60.0) -> Model:
+def train(sources: list[str], weight: float = 0.2, most: float = 20.0) -> Model:
     """Potentials from priors and counts. Counts weigh `weight` each up to `most`, so that one site's habits don't outvote the priors."""
     pages = [Page(s) for s in sources if s]
     known = [(p, s) for p in pages if (s := labelled_states(p))]
