@@ -155,8 +155,18 @@ def repeats(table: pa.Table, length: int) -> pa.RecordBatch:
         out_ids.append(ids[a:b].take(pa.array(again)))
         out_start.append(where - most[again])
         out_end.append(where - least[again] + length)
-    joined = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(out_ids) if out_ids else pa.array([], ids.type), joined(out_start), joined(out_end)], ["id", "start", "end"])
+    if not out_ids:
+        return pa.RecordBatch.from_arrays([pa.array([], ids.type), *[pa.array([], pa.int64())] * 2], ["id", "start", "end"])
+    # Spans of one document that touch go out as one.
+    coded = pa.compute.dictionary_encode(pa.concat_arrays(out_ids))
+    code, first, end = coded.indices.to_numpy().astype(np.int64), np.concatenate(out_start), np.concatenate(out_end)
+    order = np.lexsort((first, code))
+    code, first, end = code[order], first[order], end[order]
+    shift = code * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    new = np.flatnonzero(np.append(True, (first + shift)[1:] > reach[:-1]))
+    last = np.append(new[1:], len(code)) - 1
+    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[new])), pa.array(first[new]), pa.array(reach[last] - shift[last])], ["id", "start", "end"])
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -174,7 +184,7 @@ def _data(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group: int = 32768) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of docs (doc_id, text), with equal texts as one entry: rows, texts, spans.
 
     rows: (doc_id, id, n_bytes, whole) for each row of docs, whole as the text's SHA-256. texts: (id, text) for texts that hold a
@@ -211,8 +221,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
         met = met.unionByName(f)
     # A suffix first met by a later batch is one for the earlier texts too: the join marks both sides.
     many = stored(suffixes.join(met.distinct(), "hash"))
-    counts = many.groupBy("hash").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
-    need = many.join(counts, "hash").groupBy("id").agg(F.collect_list(F.struct("place", "hash", "parts")).alias("suffixes"))
+    large = stored(many.groupBy("hash").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")).filter("parts > 1"))
+    need = many.join(large, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).groupBy("id").agg(F.collect_list(F.struct("place", "hash", "parts")).alias("suffixes"))
 
     def once(batches_):
         seen: set[bytes] = set()
