@@ -1,0 +1,201 @@
+"""Column functions: URLs, compact identifiers, identities, property differences, tokens."""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+PLACEHOLDER = "CURATOR_REVIEW"
+
+
+def compact_id_of_url(url: str, host: str = "identifiers.org") -> Column:
+    """The compact identifier that a resolver URL asks for, or null for other URLs.
+
+    If what follows the host holds a colon, only its path counts: query, fragment and parameters of the last segment go.
+    """
+    rest = F.regexp_extract(F.trim(url), rf"^https?://{host.replace('.', '[.]')}/(.*)$", 1)
+    path = F.regexp_replace(F.regexp_replace(rest, r"[?#].*$", ""), r";[^/]*$", "")
+    out = F.btrim(F.when(rest.contains(":"), path).otherwise(rest), F.lit("/"))
+    return F.when(F.trim(url).rlike(rf"^https?://{host.replace('.', '[.]')}/"), out)
+
+
+def without_namespace(lui: str, embedded: str) -> Column:
+    """What follows the first colon where the namespace is embedded in the id, else the id."""
+    return F.when(F.col(embedded), F.expr(f"substring({lui}, instr({lui}, ':') + 1)")).otherwise(F.col(lui))
+
+
+def compact_id(prefix: str, lui: str, embedded: str) -> Column:
+    return F.when(F.col(embedded), F.col(lui)).otherwise(F.concat(F.col(prefix), F.lit(":"), F.col(lui)))
+
+
+def fill_pattern(pattern: str, lui: str) -> Column:
+    return F.replace(F.col(pattern), F.lit("{$id}"), F.col(lui))
+
+
+def lui_link(url: str, lui: str) -> Column:
+    """The URL with the id as {$id}, everywhere; in angle brackets if the id isn't in it. Null stays null."""
+    u, i = F.col(url), F.col(lui)
+    return F.when(u.contains(i), F.replace(u, i, F.lit("{$id}"))).otherwise(F.concat(F.lit("<"), u, F.lit(">")))
+
+
+def without_scheme(url) -> Column:
+    return F.regexp_replace(url, SCHEME, "")
+
+
+def normalised_url(url: str) -> Column:
+    """Without its fragment, then without one slash at the end."""
+    return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "/$", "")
+
+
+def scheme_class(url: str) -> Column:
+    """http, ftp or unsupported: the client that a URL needs."""
+    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    return F.when(scheme.isin("http", "https"), "http").when(scheme == "ftp", "ftp").otherwise("unsupported")
+
+
+def final_hop(redirects: str = "redirects") -> Column:
+    return F.try_element_at(redirects, F.lit(-1))
+
+
+def http_status(status: str, timed_out: str) -> Column:
+    """204 stands for a request without an answer: 408 where it timed out, else unknown."""
+    return F.when(F.col(status) == 204, F.when(F.col(timed_out), 408)).otherwise(F.col(status))
+
+
+def milliseconds(seconds: str) -> Column:
+    """Seconds rounded to three digits, times 1000, cut to an integer."""
+    return (F.round(seconds, 3) * 1000).cast("int")
+
+
+def ftp_outcome(code: str, message: str) -> Column:
+    """(status, dns_error, invalid_response) of an FTP probe: its code or 200; after a failure the code in the message."""
+    found = F.regexp_extract(F.coalesce(message, F.lit("")), r"[1-6]\d\d", 0).try_cast("int")
+    failed = F.col(message).isNotNull()
+    status = F.when(failed, F.when(found == 115, 408).otherwise(found)).otherwise(F.coalesce(code, F.lit(200)))
+    return F.struct(status.alias("status"), (failed & F.coalesce(status == 434, F.lit(False))).alias("dns_error"), failed.alias("invalid_response"))
+
+
+def timeout_hops(url: str, limit_ms: str) -> Column:
+    """The one hop of a probe that ran out of time."""
+    no = F.lit(False)
+    return F.array(F.struct(F.col(url).alias("url"), F.lit(None).cast("string").alias("ip_port"), F.col(limit_ms).cast("int").alias("response_time"), F.lit(408).alias("status"), no.alias("dns_error"), no.alias("ssl_error"), no.alias("invalid_response")))
+
+
+def placeholder_to_null(value) -> Column:
+    return F.nullif(value, F.lit(PLACEHOLDER))
+
+
+def resource_label(provider_code: str, mir_id: str, prefix: str) -> Column:
+    return F.concat(F.coalesce(placeholder_to_null(F.col(provider_code)), F.col(mir_id)), F.lit("/"), F.col(prefix))
+
+
+def ror_url(ror_id: str) -> Column:
+    return F.concat(F.lit("https://ror.org/"), F.col(ror_id))
+
+
+def percent(x) -> Column:
+    return F.concat(F.format_number(x * 100, 1), F.lit("%"))
+
+
+def identity(kind: str, **fields) -> Column:
+    """Canonical JSON with sorted keys: the key under which an issue is tagged."""
+    cols = {"type": F.lit(kind), **fields}
+    return F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]))
+
+
+def identity_type(column: str) -> Column:
+    return F.coalesce(F.get_json_object(column, "$.type"), F.lit("Unidentified"))
+
+
+def words(column) -> Column:
+    """Lower-case words, split where no word character stands; empty ones are left out."""
+    return F.filter(F.split(F.lower(column), r"(?U)\W+"), lambda w: w != "")
+
+
+def property_verdict(kind: str, old: str, new: str, single) -> Column:
+    """MISSING, ADD, KEEP, REPLACE or SAME for a property of a registry entry against a linked entity.
+
+    Addresses that differ in scheme or a last slash are kept; so is a description if there is only one entity.
+    """
+    o, n, k = F.col(old).cast("string"), F.col(new).cast("string"), F.col(kind)
+    bare = lambda c: F.regexp_replace(without_scheme(c), "/$", "")
+    keep = ((k == "homeUrl") & (bare(o) == bare(n))) | ((k == "description") & single)
+    return F.when(o.isNull() & n.isNull(), "MISSING").when(o.isNull(), "ADD").when(n.isNull(), "KEEP").when(o == n, "SAME").when(keep, "KEEP").otherwise("REPLACE")
+
+
+# ---- tokens -------------------------------------------------------------------------------------------------------
+
+INLINE_TAGS = "a|abbr|b|bdi|bdo|big|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var"
+# Fixed value: the characters that an address is taken to hold.
+URL = r"(?<![A-Za-z0-9_])(?:http|ftp)s?://(?:[a-zA-Z0-9$-_@.&+#!*(),]|%[0-9a-fA-F]{2})+(?![A-Za-z0-9_])"
+TOKEN = r"(?U)(?:\w+[-'.+:])*\w+"
+
+
+def markup_text(column) -> Column:
+    """Text of markup: scripts, styles, comments and tags go. Block tags part words, inline tags don't."""
+    c = F.regexp_replace(column, r"(?is)<(script|style)\b.*?(</\1\s*>|$)", " ")
+    c = F.regexp_replace(c, r"(?s)<!--.*?(-->|$)", " ")
+    c = F.regexp_replace(c, rf"(?i)</?(?:{INLINE_TAGS})(?:\s[^<>]*)?/?>", "")
+    c = F.regexp_replace(c, r"(?s)</?[A-Za-z!?][^<>]*>", " ")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
+
+
+def json_values(text: str) -> str:
+    """text with each JSON value in it replaced by its values, keys left out. What isn't JSON stays."""
+    decoder, out, at = json.JSONDecoder(), [], 0
+
+    def values(v):
+        if isinstance(v, dict):
+            for k in sorted(v):
+                yield from values(v[k])
+        elif isinstance(v, list):
+            for x in v:
+                yield from values(x)
+        else:
+            yield str(v)
+
+    while at < len(text):
+        start = min((i for i in (text.find("{", at), text.find("[", at)) if i >= 0), default=-1)
+        if start < 0:
+            break
+        out.append(text[at:start])
+        try:
+            v, at = decoder.raw_decode(text, start)
+            out.append(" " + " ".join(values(v)) + " ")
+        except (ValueError, RecursionError):
+            out.append(text[start])
+            at = start + 1
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(StringType())
+def _inline_json(text: pd.Series) -> pd.Series:
+    return text.map(json_values, na_action="ignore")
+
+
+def exclusion_pattern(ids) -> Column:
+    """One pattern for a provider's ids (array), longest first; for an id with # also what precedes it, and its first letters and digits."""
+    more = F.flatten(F.transform(ids, lambda x: F.when(x.contains("#"), F.array(x, F.substring_index(x, "#", 1), F.regexp_extract(x, "^[A-Za-z0-9]*", 0))).otherwise(F.array(x))))
+    more = F.array_distinct(F.filter(more, lambda x: x.isNotNull() & (x != "")))
+    ordered = F.transform(F.sort_array(F.transform(more, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: F.concat(F.lit(r"\Q"), F.replace(s.x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    return F.when(F.size(ordered) > 0, F.concat(F.lit(r"(?<![A-Za-z0-9_])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![A-Za-z0-9_])")))
+
+
+def plain_tokens(column) -> Column:
+    """Lower-case tokens of plain text: word characters, joined by single - ' . + : between them."""
+    return F.transform(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
+
+
+def tokens(content: str, exclusions: Column | None = None) -> Column:
+    """Markup to text, inline JSON to values, addresses and exclusions deleted, then plain_tokens."""
+    c = markup_text(F.col(content))
+    c = F.when(c.rlike(r"[{\[]"), _inline_json(c)).otherwise(c)
+    pattern = F.lit(f"(?i){URL}") if exclusions is None else F.when(exclusions.isNull(), F.lit(f"(?i){URL}")).otherwise(F.concat(F.lit(f"(?i:{URL})|(?i:"), exclusions, F.lit(")")))
+    return plain_tokens(F.regexp_replace(c, pattern, F.lit("")))

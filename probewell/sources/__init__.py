@@ -1,0 +1,142 @@
+"""Readers and writers. All are plain DataFrame readers with fixed schemas; damaged records are kept apart, not lost."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from probewell import schemas
+
+CORRUPT = "_corrupt_record"
+
+
+def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = False, strict: bool = False, recursive: bool = False) -> DataFrame:
+    """JSON by a fixed schema, gzip or plain. A damaged record has its text in _corrupt_record and nulls elsewhere; strict: it is an error."""
+    reader = spark.read.schema(schema if strict else f"{schema}, {CORRUPT} string").option("multiLine", multi_line).option("recursiveFileLookup", recursive)
+    reader = reader.option("mode", "FAILFAST") if strict else reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.json(path)
+
+
+def bad_records(df: DataFrame) -> DataFrame:
+    """(file, n) of damaged records for each source file."""
+    return df.select(F.input_file_name().alias("file"), CORRUPT).filter(F.col(CORRUPT).isNotNull()).groupBy("file").agg(F.count("*").alias("n"))
+
+
+def broken_rules(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """df with the names of the rules (name -> SQL condition) that a row breaks, as an array. Null conditions count as kept."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(True)), F.lit(n)) for n, c in rules.items()]))
+    return df.withColumn("broken_rules", broken)
+
+
+def unknown_fields(spark: SparkSession, path: str, schema: str) -> list[str]:
+    """Top-level fields in the files that a closed schema doesn't have."""
+    known = {f.name for f in spark.createDataFrame([], schema).schema}
+    return sorted(f.name for f in spark.read.json(path).schema if f.name not in known)
+
+
+def access_log(spark: SparkSession, path: str) -> DataFrame:
+    """(url): one row for each request of the JSON arrays under a folder. A record without a URL is dropped, its file isn't."""
+    return read_json(spark, path, schemas.ACCESS_LOG, multi_line=True, recursive=True).select(F.col("httpRequest.requestUrl").alias("url")).filter("url is not null")
+
+
+def first_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in the given order."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", n).filter("_n = 1").drop("_n")
+
+
+def flatten_registry(registry: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(namespaces, resources, institutions) from nested rows. Of repeated keys the first stays."""
+    ns = registry.select(F.posexplode("namespaces").alias("at", "n")).select("at", "n.*")
+    namespaces = first_by_key(ns.drop("resources"), ["prefix"], ["at"]).drop("at")
+    res = ns.select("prefix", "at", F.posexplode("resources").alias("r_at", "r")).select("prefix", "at", "r_at", "r.*")
+    resources = first_by_key(res.withColumn("institution_id", F.col("institution.id")).drop("institution"), ["id"], ["at", "r_at"]).drop("at", "r_at")
+    inst = res.filter("institution is not null").select("at", "r_at", "institution.*")
+    return namespaces, resources, first_by_key(inst, ["id"], ["at", "r_at"]).drop("at", "r_at")
+
+
+def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return flatten_registry(read_json(spark, path, schemas.REGISTRY, multi_line=True))
+
+
+def read_pings(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of pings. Where a record has no rid, it comes from a file name pings_<number>; other files are left out."""
+    df = read_json(spark, path, schemas.PING)
+    rid = F.coalesce("rid", F.regexp_extract(F.col("_metadata.file_name"), r"^pings_(\d+)\b", 1).try_cast("bigint"))
+    return df.withColumn("rid", rid).filter("rid is not null")
+
+
+def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, schemas.JOB, strict=True)
+
+
+def known_ids(maps: DataFrame) -> DataFrame:
+    """Distinct (namespace, lui) from rows with a map `known`; null ids are dropped."""
+    return maps.select(F.explode("known").alias("namespace", "luis")).select("namespace", F.explode("luis").alias("lui")).filter("lui is not null").distinct()
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Completed jobs; any damage is an error."""
+    return read_json(spark, path, schemas.JOB, strict=True)
+
+
+def read_academine(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, schemas.ACADEMINE)
+
+
+def read_session(spark: SparkSession, path: str) -> DataFrame:
+    return read_json(spark, path, schemas.SESSION, strict=True)
+
+
+def tags_of(identities: DataFrame, tags: DataFrame) -> DataFrame:
+    """identities with their tags; one without any has an empty list."""
+    return identities.join(tags, "identity", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def nest_datamine(pings: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
+    """One row for each provider: its pings in order of date and id, and its analysis, null where there is none."""
+    p = pings.withColumn("empty_content", F.col("content").isNull())
+    p = p.groupBy(F.col("rid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("date", "lui", "random", "redirects", "empty_content"))).alias("pings"))
+    p = p.withColumn("pings", F.transform("pings", lambda x: F.struct(x.lui.alias("lui"), x.random.alias("random"), x.date.alias("date"), x.redirects.alias("redirects"), x.empty_content.alias("empty_content"))))
+    if analysis is None:
+        return p.withColumn("analysis", F.lit(None).cast(f"array<{schemas.ANALYSIS}>"))
+    a = analysis.groupBy(F.col("rid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("lui", "information_content", "length", "noise"))).alias("analysis"))
+    return p.join(a, "id", "left")
+
+
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", gzip: bool = False) -> None:
+    """Null properties are left out. The commit protocol makes a rerun or an append whole or nothing."""
+    df.write.mode(mode).option("compression", "gzip" if gzip else "none").option("ignoreNullFields", True).json(path)
+
+
+def write_known_ids(ids: DataFrame, path: str) -> None:
+    """(namespace, lui) as one record for each namespace, compressed."""
+    write_json(ids.groupBy("namespace").agg(F.array_sort(F.collect_set("lui")).alias("luis")), path, gzip=True)
+
+
+def append_progress(jobs: DataFrame, path: str) -> None:
+    write_json(jobs, path, mode="append")
+
+
+def academine(institutions: DataFrame, matches: DataFrame, details: DataFrame) -> DataFrame:
+    """institutions (id, string) with their entities from matches (id, uuid, match) and details (uuid, name, homeUrl, ...).
+
+    An entity without details keeps its matches only.
+    """
+    m = matches.groupBy("id", "uuid").agg(F.array_sort(F.collect_set("match")).alias("matches")).join(details, "uuid", "left")
+    fields = ["uuid", "matches", *[c for c in ("name", "homeUrl", "description", "rorId", "location") if c in details.columns]]
+    e = m.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("entities"))
+    return institutions.select("id", "string").join(e, "id", "left")
+
+
+def upsert_tags(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """stored (identity, tags) with the lists of changed put in place of the old ones, each tag once."""
+    new = changed.select("identity", F.array_distinct("tags").alias("new"))
+    return stored.join(new, "identity", "full_outer").select("identity", F.coalesce("new", "tags").alias("tags"))
+
+
+def save_session(session: DataFrame, seen: DataFrame) -> DataFrame:
+    """session with the entries of seen (position) added to visited, and the last one as its position."""
+    s = seen.agg(F.array_sort(F.collect_set("position")).alias("new"), F.max("position").alias("last"))
+    out = session.crossJoin(F.broadcast(s))  # one row each
+    return out.withColumn("visited", F.array_sort(F.array_union("visited", "new"))).withColumn("position", F.coalesce("last", "position")).drop("new", "last")

@@ -1,0 +1,24 @@
+"""Continuous ingest of pings: failure rates of providers by tumbling windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def failure_rates(pings: DataFrame, window: str = "1 day", lateness: str = "2 days") -> DataFrame:
+    """(rid, start, n, failed) from pings (rid, ts, failed), batch or stream. Late pings count within `lateness`.
+
+    Pings are a bag: equal ones all count, unless they carry a ping_id, by which a stream drops repeats.
+    """
+    if pings.isStreaming:
+        pings = pings.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+        if "ping_id" in pings.columns:
+            pings = pings.dropDuplicatesWithinWatermark(["ping_id"])
+    by = pings.groupBy("rid", F.window("ts", window).alias("w")).agg(F.count("*").alias("n"), F.count_if("failed").alias("failed"))
+    return by.select("rid", F.col("w.start").alias("start"), "n", "failed")
+
+
+def write_rates(rates: DataFrame, path: str, checkpoint: str):
+    """Appends closed windows; the checkpoint makes a restart go on where it stopped."""
+    return rates.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
