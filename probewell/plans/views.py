@@ -49,5 +49,5 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     no = F.lit(False)
     first = F.struct(F.col("first_url").alias("url"), F.when(F.col("n_hops") == 2, 301).otherwise(F.col("final_status")).alias("status"), "dns_error", "ssl_error", "invalid_response")
     second = F.struct(F.col("second_url").alias("url"), F.col("final_status").alias("status"), no.alias("dns_error"), no.alias("ssl_error"), no.alias("invalid_response"))
-    hops = F.when(F.col("n_hops") == 0, F.slice(F.array(first), 1, 0)).when(F.col("n_hops") == 1, F.array(first)).otherwise(F.array(first, second))
+    hops = F.slice(F.array(first, second), F.lit(1), F.col("n_hops"))
     return p.select("rid", "lui", "random", "ts", "empty_content", hops.alias("redirects"), F.col("lui").alias("compact_id"))
