@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probewell import functions as pf
+from probewell.operators.stored import stored
 
 
 def live_resources(namespaces: DataFrame, resources: DataFrame) -> DataFrame:
@@ -64,15 +65,60 @@ def redistribute(need: DataFrame) -> DataFrame:
     return n.join(more, "rid", "left").select("rid", (F.col("own") + F.coalesce("more", F.lit(0))).cast("long").alias("n"))
 
 
+def available(resources: DataFrame, known: DataFrame, held: DataFrame) -> DataFrame:
+    """(rid, available): how many of its namespace's known ids (prefix, lui) a resource doesn't hold (rid, lui) yet.
+
+    Known ids are counted once for each namespace, so nothing is multiplied by the resources of a namespace.
+    """
+    r, k = resources.select(F.col("id").alias("rid"), "prefix"), known.select("prefix", "lui").distinct()
+    sizes = k.groupBy("prefix").agg(F.count("*").alias("total"))
+    used = held.select("rid", "lui").distinct().join(r, "rid").join(k, ["prefix", "lui"], "left_semi").groupBy("rid").agg(F.count("*").alias("used"))
+    return r.join(sizes, "prefix").join(used, "rid", "left").select("rid", (F.col("total") - F.coalesce("used", F.lit(0))).alias("available"))
+
+
+def ranked(known: DataFrame, seed: int = 0, bucket: int = 100_000) -> DataFrame:
+    """(prefix, lui, pos): known ids of each namespace numbered from 0 in a seeded hash order.
+
+    A namespace is dealt to buckets of about `bucket` ids by hash; the running sums see one row for each bucket.
+    """
+    k = known.select("prefix", "lui").distinct().withColumn("h", F.xxhash64("prefix", "lui", F.lit(seed)))
+    parts = k.groupBy("prefix").agg(F.ceil(F.count("*") / bucket).alias("parts"))
+    k = k.join(parts, "prefix").withColumn("b", F.pmod("h", "parts"))
+    w = Window.partitionBy("prefix").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = k.groupBy("prefix", "b").agg(F.count("*").alias("n")).select("prefix", "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy("prefix", "b").orderBy("h", "lui"))
+    return k.withColumn("at", at).join(before, ["prefix", "b"]).select("prefix", "lui", (F.col("before") + F.col("at") - 1).alias("pos"))
+
+
+def draw(resources: DataFrame, known: DataFrame, held: DataFrame, quota: DataFrame, seed: int = 0) -> DataFrame:
+    """(rid, lui): as many of the namespace's known ids as quota (rid, n) says, none of those held (rid, lui).
+
+    Each resource reads its namespace's hash order from a place of its own, around the end, so only as many rows as
+    are taken (and held) meet, instead of every resource with every id. quota must not exceed what is available.
+    """
+    r = resources.select(F.col("id").alias("rid"), "prefix").join(quota.filter("n > 0"), "rid")
+    sizes = known.select("prefix", "lui").distinct().groupBy("prefix").agg(F.count("*").alias("total"))
+    own = held.select("rid", "lui").distinct()
+    r = r.join(sizes, "prefix").join(own.groupBy("rid").agg(F.count("*").alias("own")), "rid", "left")
+    reads = F.least("total", F.col("n") + F.coalesce("own", F.lit(0)))
+    r = r.select("rid", "prefix", "n", "total", F.explode(F.sequence(F.lit(0).cast("long"), reads - 1)).alias("i"))
+    r = r.withColumn("pos", F.pmod(F.pmod(F.xxhash64("rid", F.lit(seed)), "total") + F.col("i"), F.col("total")))
+    found = r.join(ranked(known, seed), ["prefix", "pos"]).select("rid", "lui", "n", "i").join(own, ["rid", "lui"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("rid").orderBy("i"))
+    return found.withColumn("_r", nth).filter("_r <= n").select("rid", "lui")
+
+
 def plan(resources: DataFrame, samples: DataFrame, known: DataFrame, num_valid: int, pings: int = 1, seed: int = 0) -> DataFrame:
-    """Jobs (rid, lui, random, url), each repeated `pings` times: samples, then other known ids up to num_valid for each resource."""
-    ids = samples.distinct()
-    spare = resources.select(F.col("id").alias("rid"), "prefix").join(known.withColumnRenamed("namespace", "prefix"), "prefix").select("rid", "lui").distinct().join(ids, ["rid", "lui"], "left_anti")
+    """Jobs (rid, lui, random, url), each repeated `pings` times: samples, then other known ids up to num_valid for each resource.
+
+    The distinct known ids and the quotas are written once, as several steps read them.
+    """
+    ids, ks = stored(samples.distinct()), stored(known.select(F.col("namespace").alias("prefix"), "lui").distinct())
     have = ids.groupBy("rid").agg(F.count("*").alias("have"))
-    free = spare.groupBy("rid").agg(F.count("*").alias("available"))
+    free = available(resources, ks, ids)
     need = resources.select(F.col("id").alias("rid")).join(have, "rid", "left").join(free, "rid", "left").select("rid", F.greatest(F.lit(0), num_valid - F.coalesce("have", F.lit(0))).alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"))
-    chosen = ids.unionByName(pick(spare, redistribute(need), seed))
-    return emit(chosen, resources, known, pings, seed)
+    chosen = ids.unionByName(draw(resources, ks, ids, stored(redistribute(stored(need))), seed))
+    return emit(chosen, resources, ks.withColumnRenamed("prefix", "namespace"), pings, seed)
 
 
 def emit(chosen: DataFrame, resources: DataFrame, known: DataFrame, pings: int, seed: int = 0) -> DataFrame:

@@ -165,7 +165,7 @@ def quota_totals(spark, d):
     r = _resources(spark, d)
     s = jobs.sample_ids(r, 2)
     known = view(spark, d, "v_known")
-    spare = r.select(F.col("id").alias("rid"), "prefix").join(known, "prefix").join(s, ["rid", "lui"], "left_anti").groupBy("rid").agg(F.count("*").alias("available"))
+    spare = jobs.available(r, known, s)
     have = s.groupBy("rid").agg(F.count("*").alias("have"))
     need = r.select(F.col("id").alias("rid")).join(have, "rid").join(spare, "rid", "left").select("rid", F.greatest(F.lit(0), 30 - F.col("have")).alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"))
     given = jobs.redistribute(need).join(need, "rid")

@@ -90,6 +90,23 @@ def test_redistribute(spark):
     assert got == {1: 3, 2: 12, 3: 14, 4: 11, 5: 0}
 
 
+def test_draw_takes_each_quota_of_other_ids(spark):
+    resources = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "id bigint, prefix string")
+    known = spark.createDataFrame([("a", str(i)) for i in range(40)] + [("a", "7"), ("b", "x"), ("b", "y")], "prefix string, lui string")
+    held = spark.createDataFrame([(1, "7"), (1, "8"), (1, "none"), (3, "x"), (4, "q")], "rid bigint, lui string")
+    free = {r["rid"]: r["available"] for r in jobs.available(resources, known, held).collect()}
+    assert free == {1: 38, 2: 40, 3: 1}
+    order = [tuple(r) for r in jobs.ranked(known, seed=3, bucket=5).collect()]
+    assert sorted(p for n, _, p in order if n == "a") == list(range(40)) and len({x for n, x, _ in order if n == "a"}) == 40
+    for quota in ({1: 38, 2: 40, 3: 1}, {1: 10, 2: 3, 3: 0}):
+        q = spark.createDataFrame(list(quota.items()), "rid bigint, n bigint")
+        got = [tuple(r) for r in jobs.draw(resources, known, held, q, seed=3).collect()]
+        assert len(got) == len(set(got)) and not set(got) & {(1, "7"), (1, "8"), (3, "x")}
+        assert {i: sum(r == i for r, _ in got) for i in quota} == quota
+        assert sorted(got) == sorted(tuple(r) for r in jobs.draw(resources, known, held, q, seed=3).collect())
+    assert jobs.draw(resources, known.limit(0), held, q).count() == 0
+
+
 def test_bag_difference(spark):
     a = spark.createDataFrame([(1,), (1,), (1,), (2,)], "x int")
     assert sorted(r[0] for r in jobs.remaining(a, spark.createDataFrame([(1,), (2,), (2,)], "x int")).collect()) == [1, 1]
