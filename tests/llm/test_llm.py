@@ -103,6 +103,25 @@ def test_sharding_splits_what_no_shard_can_hold(spark):
     assert sorted(n.values()) == [6] * 6 + [7] * 2
 
 
+def cut_pairs(rows):
+    groups = collections.defaultdict(collections.Counter)
+    for r in rows:
+        groups[(r["size"], r["text_crc32"])][r["shard"]] += 1
+    pairs = sum(sum(g.values()) * (sum(g.values()) - 1) // 2 for g in groups.values())
+    return (pairs - sum(n * (n - 1) // 2 for g in groups.values() for n in g.values())) / pairs
+
+
+def test_sharding_moves_rows_when_all_are_linked(spark):
+    fours = spark.createDataFrame([(i, f"t{i // 4}") for i in range(2400)], "doc_id long, text string")
+    assert cut_pairs(sharding.shard_documents(fours).collect()) < 0.25
+    third = spark.createDataFrame([(i, "same" if i % 3 == 0 else f"t{i // 12}") for i in range(2400)], "doc_id long, text string")
+    got = sharding.shard_documents(third).collect()
+    assert set(collections.Counter(r["shard"] for r in got).values()) == {300}
+    # 800 equal rows on shards of 300: with 300, 300 and 200 on a shard, 66 % of their pairs would be cut; at random, 87 %.
+    assert cut_pairs([r for r in got if r["size"] == 5]) < 0.85
+    assert cut_pairs([r for r in got if r["size"] != 5]) < 0.6
+
+
 # 3 ------------------------------------------------------------------------------------------------------------------
 def test_kernel():
     s = np.frombuffer(toxicity.letters(["abcab"])[0], np.uint8)[None]
