@@ -262,12 +262,13 @@ def fitted(docs: DataFrame, labels: DataFrame, max_docs: int = 5000, **options)
     """train() on at most max_docs labelled documents that aren't held out: those of the smallest hash of the id.
 
     Only ids choose the sample; labels, languages and sources are no inputs of the features. A document with
-    several labels is toxic if one of them says so.
+    several labels is toxic if one of them says so; one with several texts counts once, by the least of them.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     sample = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")  # max_docs ids at most
-    return train(sample.toPandas().sort_values(["doc_id", "text"]).head(max_docs), **options)
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return train(sample.toPandas().sort_values("doc_id"), **options)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

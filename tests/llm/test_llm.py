@@ -156,6 +156,15 @@ def test_toxicity(spark):
     assert toxicity.classify(d.limit(0), l_).count() == 0
 
 
+def test_toxicity_samples_each_id_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample, **_: seen.append(sample))
+    ids = [r["doc_id"] for r in spark.range(60).withColumnRenamed("id", "doc_id").filter(~toxicity.held_out()).collect()]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"again {i % 7}") for i in range(500)]
+    toxicity.fitted(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int"), max_docs=len(ids))
+    assert seen[0]["doc_id"].tolist() == ids and seen[0]["text"].tolist() == ["again 0"] + [f"text {i}" for i in ids[1:]]
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 P = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna."
 PAGES = [
