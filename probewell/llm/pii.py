@@ -38,7 +38,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+ENDS_INSIDE = re.compile(r"[A-Za-z0-9]")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 WORDS = re.compile(r"[\w-]+")
@@ -75,6 +76,20 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start of a country, the longest run up to the end of a word that passes mod 97; what follows it may look like more."""
+    at = 0
+    while m := IBAN.search(text, at):
+        start, end = m.span()
+        at = start + 1
+        while end > start:
+            if not ENDS_INSIDE.match(text, end) and 15 <= len(c := text[start:end].replace(" ", "")) <= 34 and mod97(c):
+                yield start, end
+                at = end
+                break
+            end = text.rfind(" ", start, end)
+
+
 def _ip(s: str) -> bool:
     return all(len(p := x.lstrip("0")) < 4 and int(p or "0") < 256 for x in s.split("."))
 
@@ -92,7 +107,6 @@ RULES = (
     ("ip", IP, _ip),
     ("card", CARD, _digits(14, 19, luhn)),
     ("phone", PHONE, _digits(10, 15)),
-    ("iban", IBAN, lambda s: 15 <= len(c := s.replace(" ", "")) <= 34 and mod97(c)),
     ("ssn", SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
 )
 
@@ -109,6 +123,7 @@ def find(text: str | None) -> list[tuple[int, int, int, float]]:
     if not text:
         return []
     found = [(s, e, 0, score("email", text, s, e)) for s, e in emails(text)] if "@" in text else []
+    found += [(s, e, KINDS.index("iban"), score("iban", text, s, e)) for s, e in ibans(text)]
     for kind, pattern, valid in RULES:
         for m in pattern.finditer(text):
             if valid(m.group()) and (p := score(kind, text, m.start(), m.end())) >= THRESHOLD:

@@ -236,6 +236,14 @@ def test_pii(spark, docs, empty):
     assert pii.redact(docs).count() == docs.count() and pii.detect(empty).count() == 0
 
 
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " 12 items", " IBAN", " 1 A 2 B 3", ". Then", " DE89 3704 0044 0532 0130 00", " GB82WEST12345698765432 BIC"])
+def test_iban_ends_where_its_checksum_passes(after):
+    for iban in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"):
+        found = [(s, e) for s, e, k, _ in pii.find(f"to {iban}{after}") if pii.KINDS[k] == "iban"]
+        assert found[0] == (3, 3 + len(iban)) and len(found) == 1 + (len(after) > 16)
+    assert not [x for x in pii.find("to DE89 3704 0044 0532 0130 01 BIC") if pii.KINDS[x[2]] == "iban"]
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("block", [8192, 40])
 def test_top_k(spark, block):
