@@ -1,10 +1,11 @@
 """Exact top-k inner products by sorted lists without random access.
 
-Each block of candidates keeps, for every dimension, its values as a sorted list. All queries of a block of queries read the lists
-in step, from the end that raises their score: from the top where the query's component is positive, from the bottom where it is
-negative. At a depth, what was read gives each candidate a sum; the list's end bounds the rest from below, the value last
-read bounds it from above. Reading stops when no candidate whose upper bound is under the k-th best lower bound is left out
-of reach: those that remain get their final scores.
+Each block of candidates keeps, for every dimension, its values as a sorted list. A query reads a list from the end that raises
+its score: from the top where its component is positive, from the bottom where it is negative. The lists are read in step, in
+stretches of growing depth. What was read gives each candidate a partial score; the value read last bounds the rest from
+above, the list's far end bounds it from below. A candidate whose upper bound is under the k-th best lower bound can't
+qualify any more and is skipped from then on. Those left get their final scores by reading on to the ends of the lists, or until
+nothing of theirs is unread. No candidate's vector is ever looked up.
 """
 
 from __future__ import annotations
@@ -17,54 +18,70 @@ from pyspark.sql import functions as F
 from probewell.llm.common import stored
 
 #: Parts of a list's length after which bounds are looked at.
-DEPTHS = (0.75, 0.9)
+DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 15 / 16, 1)
+LOWEST = -(2**62)
 
 
-def bounds(x: np.ndarray, rank: np.ndarray, ordered: np.ndarray, q: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lower, upper) score of each candidate for each query after `depth` values of every list.
+def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, reads: list[int] | None = None) -> pd.DataFrame:
+    """The k best candidates of a block for each query, ties to the smaller id; fewer if the block has fewer.
 
-    x: candidates by dimensions; rank: place of each value in its list; ordered: the lists, ascending; q: queries.
+    The number of list entries read is added to `reads`, if given.
     """
-    n = len(x)
-    plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    top, bottom = rank >= n - depth, rank < depth
-    read = np.where(top, x, 0.0) @ plus.T + np.where(bottom, x, 0.0) @ minus.T
-    unread_top, unread_bottom = (~top).astype(float), (~bottom).astype(float)
-    upper = unread_top @ (plus * ordered[n - depth - 1]).T + unread_bottom @ (minus * ordered[depth]).T
-    lower = unread_top @ (plus * ordered[0]).T + unread_bottom @ (minus * ordered[-1]).T
-    return read + lower, read + upper
-
-
-def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of a block for each query, ties to the smaller id; fewer if the block has fewer."""
-    n = len(ids)
-    xf, qf = x.astype(float), q.astype(float)
+    n, dims = x.shape
+    # Sums are exact: in floating point as long as they stay below 2 ** 52, else in 64-bit integers.
+    most = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * dims
+    kind = np.float64 if most < 2**52 else np.int64
+    order = np.argsort(x, axis=0, kind="stable")
+    ordered = np.take_along_axis(x, order, axis=0).astype(kind)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)
+    value, plus, minus = x.astype(kind), np.maximum(q, 0).astype(kind).T, np.minimum(q, 0).astype(kind).T
+    row = np.arange(n)
     own = query_ids[None, :] == ids[:, None]
-    open_ = np.ones((n, len(q)), bool)
-    slack = 1e-9 * (1 + np.abs(qf).sum(axis=1) * np.abs(xf).max(initial=0))  # for sums in floating point
-    if n > 4 * k:
-        order = np.argsort(xf, axis=0, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-        ordered = np.take_along_axis(xf, order, axis=0)
-        for part in DEPTHS:
-            lower, upper = bounds(xf, rank, ordered, qf, max(1, min(n - 1, int(n * part))))
-            lower[own] = -np.inf
-            kth = np.partition(lower, n - k, axis=0)[n - k]
-            open_ = upper >= kth - slack
-            if open_.sum() <= 4 * k * len(q):
-                break
-    open_ &= ~own
+    sums, open_ = np.zeros((n, len(q)), kind), ~own
+    before = 0
+    for part in DEPTHS:
+        depth = max(before, int(np.ceil(n * part)))
+        if depth == before:
+            continue
+        top, bottom = (place >= n - depth) & (place < n - before), (place >= before) & (place < depth)
+        sums += np.where(top, value, 0) @ plus + np.where(bottom, value, 0) @ minus
+        if reads is not None:
+            reads[0] += int(top.sum(axis=0) @ (plus > 0).sum(axis=1) + bottom.sum(axis=0) @ (minus < 0).sum(axis=1))
+        before = depth
+        if depth == n:
+            break
+        unread_top, unread_bottom = (place < n - depth).astype(kind), (place >= depth).astype(kind)
+        if not unread_top.any() and not unread_bottom.any():
+            break
+        upper = sums + unread_top @ (plus * ordered[n - depth][:, None]) + unread_bottom @ (minus * ordered[depth - 1][:, None])
+        lower = sums + unread_top @ (plus * ordered[0][:, None]) + unread_bottom @ (minus * ordered[-1][:, None])
+        lower[~open_] = LOWEST
+        kth = np.partition(lower, -k, axis=0)[-k] if len(row) > k else LOWEST
+        open_ &= upper >= kth
+        alive = open_.any(axis=1)
+        if alive.mean() < 0.9:
+            row, place, value, sums, open_ = (a[alive] for a in (row, place, value, sums, open_))
     found = []
     for j in range(len(q)):
         at = np.flatnonzero(open_[:, j])
-        score = x[at] @ q[j]
-        best = np.lexsort((ids[at], -score))[:k]
-        found.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[at][best], "score": score[best]}))
+        score, who = sums[at, j].astype(np.int64), ids[row[at]]
+        best = np.lexsort((who, -score))[:k]
+        found.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": who[best], "score": score[best]}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def task_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = 8192, query_block: int = 128) -> pd.DataFrame:
+    """block_top() of a task's candidates and queries in parts that fit in memory, the k best of all parts kept."""
+    out = []
+    for j in range(0, len(q), query_block):
+        found = [block_top(ids[i : i + block], x[i : i + block], query_ids[j : j + query_block], q[j : j + query_block], k) for i in range(0, len(x), block)]
+        best = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        out.append(best.groupby("query_id").head(k))
+    return pd.concat(out)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 65536, query_block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k largest integer inner products for each query.
 
     vectors, queries: (vec_id, embedding), with components floor(scale * x). A candidate with the query's id is the query's own row and
@@ -73,8 +90,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     query is asked once, with its smallest vector. Fewer rows than k give them all.
     Components must keep within 2**31 after scaling, for sums of 64-bit integers.
 
-    Random blocks of candidates meet random blocks of queries; a block pair returns k rows for each query at most.
+    Random blocks of candidates, of `block` at most, meet random blocks of queries; a block pair returns k rows for each query
+    at most. Candidates are copied once for each block of queries, so these are as large as a task can hold, and
+    the blocks of candidates are made smaller where there would be fewer pairs than tasks at a time.
     """
+    spark = vectors.sparkSession
     x = F.transform("embedding", lambda v: v.cast("double"))
     sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
@@ -82,19 +102,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         whole = F.transform(x, lambda v: F.floor(v * scale).cast("long"))
         return df.filter(F.coalesce(sound, F.lit(False))).select("vec_id", whole.alias("x"), F.size("embedding").alias("dims"))
 
-    candidates = stored(prepared(vectors))
+    candidates = stored(prepared(vectors).withColumn("row", F.monotonically_increasing_id()))
     asked = stored(prepared(queries).groupBy("vec_id").agg(F.min("x").alias("x")).withColumn("dims", F.size("x")))
-    nc, nq = max(1, -(-candidates.count() // block)), max(1, -(-asked.count() // query_block))
-    h = F.xxhash64("vec_id", "x")
+    n = candidates.count()
+    nq = max(1, -(-asked.count() // query_block))
+    nc = max(1, -(-n // block), min(-(-n // min(block, 8192)), -(-2 * spark.sparkContext.defaultParallelism // nq)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = candidates.withColumn("cb", F.pmod(h, F.lit(nc)).cast("int")).withColumn("qb", every(nq))
-    right = asked.withColumn("qb", F.pmod(h, F.lit(nq)).cast("int")).withColumn("cb", every(nc))
+    left = candidates.withColumn("cb", F.pmod(F.xxhash64("row"), F.lit(nc)).cast("int")).drop("row").withColumn("qb", every(nq))
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(nq)).cast("int")).withColumn("cb", every(nc))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids, qids = a["vec_id"].to_numpy(np.int64), b["vec_id"].to_numpy(np.int64)
-        return block_top(ids, np.stack(a["x"].to_numpy()).astype(np.int64), qids, np.stack(b["x"].to_numpy()).astype(np.int64), k).astype("int64")
+        return task_top(ids, np.stack(a["x"].to_numpy()).astype(np.int64), qids, np.stack(b["x"].to_numpy()).astype(np.int64), k).astype("int64")
 
     keys = ["dims", "cb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, "query_id long, vec_id long, score long")
