@@ -2,13 +2,16 @@
 
 The symbols of many words stand in one flat array. In each round the rank of every neighbouring pair is found by binary
 search over the sorted pair keys, each word merges its pair of lowest rank wherever it stands, and words without a known
-pair leave the array.
+pair leave the array. Long words (texts without spaces) stand in an array of their own: there a round merges the lowest
+rank of all, and ranks are searched for again only beside what it merged, so that the work grows with the merges and not
+with rounds times length.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import itertools
 import json
 
@@ -22,6 +25,8 @@ SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: The pattern that byte-level BPE splits texts with. Fixed value.
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 NONE = np.iinfo(np.int64).max
+#: Bytes from which a word counts as long.
+LONG = 256
 
 
 def byte_letters() -> list[str]:
@@ -51,6 +56,10 @@ class Bpe:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             left[i], right[i], made[i] = vocab[a], vocab[b], vocab[a + b]
         keys = left << self.bits | right
+        latest = np.full(1 << self.bits, -1, np.int64)
+        np.maximum.at(latest, made, np.arange(len(made)))
+        if (np.maximum(latest[left], latest[right]) >= np.arange(len(made))).any():
+            raise ValueError(f"{path}: a merge stands before one that makes its part")
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -69,16 +78,32 @@ class Bpe:
         self.number = {s: n for n, s in enumerate(self.special)}
         self.ids, self.at = np.array([*self.special.values()], np.int64), np.arange(len(self.special) + 1)
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, NONE if it isn't known."""
+        key = left << self.bits | right
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[place] == key, self.rank[place], NONE)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all words in a row, and where each word's ids end."""
+        long = [i for i, w in enumerate(words) if len(w) >= LONG]
+        short = [w if len(w) < LONG else b"" for w in words] if long else words
+        done = self.merge_short(short)
+        if long:
+            word, ids = self.merge_long([words[i] for i in long])
+            done = [*done, (np.array(long, np.int64)[word], ids)]
+        word, ids = (np.concatenate([d[i] for d in done]) for i in (0, 1)) if done else (np.empty(0, np.int64),) * 2
+        order = np.argsort(word, kind="stable")
+        return ids[order], np.cumsum(np.bincount(word, minlength=len(words)))
+
+    def merge_short(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(words, ids) of the symbols left, in lots that hold whole words."""
         sizes = np.array([len(w) for w in words], np.int64)
         sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
         done = []
         while len(sym):
-            key = sym[:-1] << self.bits | sym[1:]
-            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[place] == key) & (word[:-1] == word[1:]), self.rank[place], NONE)
+            rank = np.where(word[:-1] == word[1:], self.ranks(sym[:-1], sym[1:]), NONE)
             rank = np.append(rank, NONE)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             lengths = np.diff(np.append(first, len(sym)))
@@ -90,19 +115,58 @@ class Bpe:
                 sym, word, rank, low = sym[stay], word[stay], rank[stay], low[stay]
                 if not len(sym):
                     break
-            hit = rank == low
-            # A run of hits overlaps itself (aaa): every other one merges, from the left.
-            at = np.flatnonzero(hit)
-            new_run = np.append(True, np.diff(at) > 1)
-            nth = np.arange(len(at)) - np.repeat(np.flatnonzero(new_run), np.diff(np.append(np.flatnonzero(new_run), len(at))))
-            at = at[nth % 2 == 0]
+            at = every_other(np.flatnonzero(rank == low), np.arange(1, len(sym) + 1))
             sym[at] = self.made[rank[at]]
             stay = np.ones(len(sym), bool)
             stay[at + 1] = False
             sym, word = sym[stay], word[stay]
-        word, ids = (np.concatenate([d[i] for d in done]) for i in (0, 1)) if done else (np.empty(0, np.int64),) * 2
-        order = np.argsort(word, kind="stable")
-        return ids[order], np.cumsum(np.bincount(word, minlength=len(words)))
+        return done
+
+    def merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, ids) of the symbols left. Places wait under their pair's rank until it is the lowest of all.
+
+        Merging the lowest rank of all words keeps each word's own order, as words don't touch; a product only
+        occurs in later merges, so all places of a rank merge together.
+        """
+        sym = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(sym)
+        word = np.append(np.repeat(np.arange(len(words)), [len(w) for w in words]), -1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # the neighbours still there; n: none
+        rank = np.append(np.where(word[:-2] == word[1:-1], self.ranks(sym[:-1], sym[1:]), NONE), NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        lowest: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            r = rank[at]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for part in np.split(at, cuts) if len(at) else []:
+                key = int(rank[part[0]])
+                if key not in waiting:
+                    waiting[key] = []
+                    heapq.heappush(lowest, key)
+                waiting[key].append(part)
+
+        wait(np.arange(n))
+        there = np.ones(n, bool)
+        while lowest:
+            r = heapq.heappop(lowest)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = every_other(at[rank[at] == r], after)
+            if not len(at):
+                continue
+            gone = after[at]
+            sym[at], rank[gone], there[gone], after[at] = self.made[r], NONE, False, after[gone]
+            before[after[at]] = at
+            changed = np.unique(np.concatenate([before[at], at]))
+            changed = changed[changed >= 0]
+            nexts = after[changed]
+            same = word[changed] == word[nexts]
+            rank[changed] = NONE
+            rank[changed[same]] = self.ranks(sym[changed[same]], sym[nexts[same]])
+            wait(changed)
+        return word[:n][there], sym[there]
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that have no number yet."""
@@ -138,6 +202,13 @@ class Bpe:
         return ragged(self.pieces, self.piece_at, ids).tobytes().decode("utf-8", "replace")
 
 
+def every_other(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Of pairs that start at `at`, in order, those to merge: a run that overlaps itself (aaa) merges every other one, from the left."""
+    starts = np.flatnonzero(np.append(True, after[at[:-1]] != at[1:])) if len(at) else at
+    nth = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+    return at[nth % 2 == 0]
+
+
 def ragged(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """values[at[r]:at[r + 1]] for each r of rows, in a row."""
     sizes = at[rows + 1] - at[rows]
