@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +17,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_scratch: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one on a local master, as in tests, else an error:
+    a folder of the driver's machine is of no use to executors on others."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="probewell-")
-        spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", spark.sparkContext.getCheckpointDir())
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="probewell-"))
         folder = spark.sparkContext.getCheckpointDir()
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -29,12 +37,53 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back.
 
     Cuts the lineage, so that a lost executor costs no more than the tasks it was running, makes
-    non-deterministic columns fixed, and gives later plans a known size to choose joins by.
+    non-deterministic columns fixed, and gives later plans a known size to choose joins by. Within scratch() the
+    table is removed at its end, and discard() removes it before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables that stored() returned and nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            _remove(t.sparkSession, t.stored_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what operators have stored within it. The result must be written before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _remove(spark, path)
+
+
+def keep_known(rows: DataFrame, known: DataFrame, on: list[str], least: int = 8192, most: int = 100_000) -> DataFrame:
+    """The rows whose key `on` is in known (on, n), n the number of rows with that key; a key is in known once.
+
+    Keys of over `least` rows and over 1 / `most` of all are fewer than `most`, so they are broadcast, and
+    their rows aren't shuffled; the others meet theirs in a join. Both tables should be stored ones.
+    """
+    total = known.agg(F.sum("n")).first()[0] or 0
+    cut = max(least, total // most)
+    heavy = F.broadcast(known.filter(F.col("n") > cut).select(*on))  # fewer than `most` keys
+    light = known.filter(F.col("n") <= cut).select(*on)
+    return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))
 
 
 def prefix_sums(df: DataFrame, within: list[str], bucket: str, value: str, out: str) -> DataFrame:
@@ -69,7 +118,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")))
     before = tuple(e.agg(mark.alias("m")).first()["m"])
     for _ in range(rounds):
-        e = stored(_star(e))
+        last, e = e, stored(_star(e))
+        discard(last)
         now = tuple(e.agg(mark.alias("m")).first()["m"])
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,10 +2,14 @@
 
 A suffix is sampled where its first 128 bytes have the smallest hash of a 400-byte window. Which suffix a window picks depends
 on the window's bytes alone, so equal windows pick equal suffixes at equal offsets, and no match of 400 bytes is missed.
-Levels are tables of sampled suffixes in the order of that hash. A new batch of documents becomes a sorted run, is
-merge-joined with every level, and levels of one size merge into the next. Suffixes that meet another one with the
-same first 128 bytes go on, with the bytes around them: all windows that picked them are compared, and those that occur twice
-are removed.
+A sparse suffix array is a table of sampled suffixes, range-partitioned and sorted by their first eight bytes and then by
+the hash of their first 128, with equal ones as one entry. A new batch of documents becomes such a run; it is merge-scanned
+with every level, neighbour against neighbour, for matches of 128 bytes, and levels of one size merge into the next.
+
+Suffixes that meet another go on, with the bytes around them: all windows that picked them are compared, by hash and then
+byte by byte, and those that occur twice are removed. Suffixes that very many texts share, as those of a passage in a third of
+all documents, aren't gathered: their windows are counted across tasks, first by what sixteen neighbouring windows have in
+common, then one by one, under hashes of 128 bits.
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewell.llm.common import group_starts, ragged_arange, stored, whole_groups
+from probewell.llm.common import discard, group_starts, keep_known, ragged_arange, stored, whole_groups
 
 PREFIX = 128
+#: Windows of very common suffixes are first looked at in ranges of so many neighbouring ones.
+RANGE = 16
+KEY = ["head", "hash"]
 SEGMENT = 1 << 20
 _random = np.random.default_rng(20240229)
 BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+OTHER_BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -84,37 +92,114 @@ def sample(data: np.ndarray, length: int, prefix: int = PREFIX) -> tuple[np.ndar
     return places, np.concatenate(hashes)[once]
 
 
+def heads(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each suffix as signed integers of the same order."""
+    first = np.ascontiguousarray(data[places[:, None] + np.arange(8)])
+    return (first.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def scanned(batches):
+    """A sorted partition of entries (head, hash, n, new) with neighbours of equal head and hash made one, counts added up."""
+    rest = None
+    for b in batches:
+        cols = [b[k].to_numpy() for k in (*KEY, "n", "new")]
+        if rest is not None:
+            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols)]
+        if not len(cols[0]):
+            continue
+        start = np.flatnonzero(np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+        cols = [cols[0][start], cols[1][start], np.add.reduceat(cols[2], start), np.add.reduceat(cols[3], start)]
+        rest = [c[-1:] for c in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in cols], [*KEY, "n", "new"])
+    if rest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rest], [*KEY, "n", "new"])
+
+
 class SuffixIndexFamily:
-    """Levels of sampled suffixes: level i is empty or holds those of 2**i batches, as a table (hash, n) in hash order."""
+    """Levels of sampled suffixes: level i is empty or the sparse suffix array of 2**i batches, a table (head, hash, n)."""
 
     def __init__(self):
         self.levels: list[DataFrame | None] = []
 
+    @staticmethod
+    def merge_scan(run: DataFrame, level: DataFrame) -> DataFrame:
+        """Entries of both in suffix order; `new` counts what came by the run."""
+        both = run.select(*KEY, "n", "new").unionByName(level.select(*KEY, "n", F.lit(0).cast("long").alias("new")))
+        return both.repartitionByRange(*KEY).sortWithinPartitions(*KEY).mapInArrow(scanned, "head long, hash long, n long, new long")
+
     def add(self, batch: DataFrame) -> DataFrame:
-        """Adds a batch (hash) of suffixes; returns the hashes in it that stand elsewhere in it or on a level."""
-        run = stored(batch.groupBy("hash").agg(F.count("*").alias("n")))
-        found = run.filter("n > 1").select("hash")
-        for level in self.levels:
-            if level is not None:
-                found = found.unionByName(run.join(level.select("hash"), "hash").select("hash"))
-        found = stored(found.distinct())
-        for i, level in enumerate([*self.levels, None]):
+        """Adds a batch (head, hash) of suffixes; returns (hash, n) for those in it that stand elsewhere in it or on a level.
+
+        n counts the suffix in the batch and the levels that it was merged with.
+        """
+        counted = batch.groupBy(*KEY).agg(F.count("*").alias("n")).withColumn("new", F.col("n"))
+        run = own = stored(counted.repartitionByRange(*KEY).sortWithinPartitions(*KEY))
+        met, merging = [run.filter("n > 1")], True
+        for i, level in enumerate(self.levels):
             if level is None:
-                self.levels[i : i + 1] = [run]
-                return found
-            run = stored(level.unionByName(run).groupBy("hash").agg(F.sum("n").alias("n")))
-            self.levels[i] = None
+                if merging:
+                    self.levels[i], merging = run, False
+                continue
+            if merging:
+                run = stored(self.merge_scan(run, level))
+                self.levels[i] = None
+                met.append(run.filter("new > 0 and n > new"))
+            else:
+                met.append(self.merge_scan(own, level).filter("new > 0 and n > new"))
+        if merging:
+            self.levels.append(run)
+        found = met[0]
+        for m in met[1:]:
+            found = found.unionByName(m)
+        return found.groupBy("hash").agg(F.max("n").alias("n"))
+
+
+def reach(data: np.ndarray, end: int, a: np.ndarray, b: np.ndarray, room: np.ndarray, step: int, most: int) -> np.ndarray:
+    """How many bytes from the places a and b on agree, forwards or backwards, `most` at most and `room` in each text."""
+    out = np.empty(len(a), np.int64)
+    move = step * np.arange(most)
+    for i in range(0, len(a), 4096):
+        x, y = (np.clip(p[i : i + 4096, None] + move, 0, end - 1) for p in (a, b))
+        differ = data[x] != data[y]
+        out[i : i + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+    return np.minimum(out, room)
+
+
+def verified(data, at, left, group, row, offset, h, length: int) -> np.ndarray:
+    """Whether each window (row, offset) equals another of its group and offset. Equal hashes propose, bytes decide."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    i, j = order[:-1][same], order[1:][same]
+    twice = np.zeros(len(h), bool)
+    if not len(i):
+        return twice
+    pair, of = np.unique(row[i] * len(left) + row[j], return_inverse=True)
+    a, b = pair // len(left), pair % len(left)
+    right = np.diff(at) - left
+    forth = reach(data, at[-1], at[a] + left[a], at[b] + left[b], np.minimum(right[a], right[b]), 1, length)
+    back = reach(data, at[-1], at[a] + left[a] - 1, at[b] + left[b] - 1, np.minimum(left[a], left[b]), -1, length)
+    equal = (group[row[i]] == group[row[j]]) & (offset[i] == offset[j]) & (forth[of] >= length - offset[i]) & (back[of] >= offset[i])
+    twice[i[equal]] = twice[j[equal]] = True
+    if not equal.all():  # a hash stands for several strings: its windows are told apart by their bytes
+        twice[np.isin(h, h[i[~equal]])] = False
+        seen: dict[tuple, list[int]] = {}
+        for w in np.flatnonzero(np.isin(h, h[i[~equal]])):
+            s = at[row[w]] + left[row[w]] - offset[w]
+            seen.setdefault((group[row[w]], offset[w], data[s : s + length].tobytes()), []).append(w)
+        for ws in seen.values():
+            twice[ws] = len(ws) > 1
+    return twice
 
 
 def repeats(table: pa.Table, length: int) -> pa.RecordBatch:
     """Spans (id, start, end) covered by windows that occur twice, from whole groups of contexts.
 
-    A row of table: hash, part, first and last offset to look at, left (bytes of context before the suffix), context,
-    id, places (where this context stands in the document).
+    A row of table: hash, left (bytes of context before the suffix), context, id, places (where this context stands in the
+    document).
     """
-    start = group_starts(table, ["hash", "part"])
+    start = group_starts(table, ["hash"])
     rows = np.diff(np.append(start, table.num_rows))
-    columns = {k: table[k].to_numpy() for k in ("first", "last", "left")}
+    lefts = table["left"].to_numpy()
     contexts, ids, places = (table[k].combine_chunks() for k in ("context", "id", "places"))
     out_ids, out_start, out_end = [], [], []
     lots = np.cumsum(rows) // 3000
@@ -128,19 +213,16 @@ def repeats(table: pa.Table, length: int) -> pa.RecordBatch:
         up, down = powers(int(sizes.max(initial=0)) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(BYTES[data] * up[ragged_arange(sizes)], out=sums[1:])
-        left = columns["left"][a:b]
-        low = np.maximum(columns["first"][a:b], length - (sizes - left))
-        many = np.maximum(0, np.minimum(columns["last"][a:b], left) - low + 1)
+        left = lefts[a:b]
+        low = np.maximum(0, length - (sizes - left))
+        many = np.maximum(0, left - low + 1)
         row = np.repeat(np.arange(b - a), many)
         offset = low[row] + ragged_arange(many)
         s = left[row] - offset
         h = mixed((sums[at[row] + s + length] - sums[at[row] + s]) * down[s])
         group = np.repeat(np.arange(hi - lo), rows[lo:hi])
         h = mixed(h ^ mixed((group[row] * 4096 + offset).astype(np.uint64)))
-        order = np.argsort(h)
-        same = np.append(h[order][1:] == h[order][:-1], False)
-        twice = np.empty(len(h), bool)
-        twice[order] = same | np.append(False, same[:-1])
+        twice = verified(data, at, left, group, row, offset, h, length)
         n_places = pa.compute.list_value_length(places[a:b]).to_numpy()
         twice |= n_places[row] > 1
         most, least = np.full(b - a, -1), np.full(b - a, length)
@@ -184,45 +266,133 @@ def _data(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group: int = 32768) -> tuple[DataFrame, DataFrame, DataFrame]:
+def around_suffixes(data: bytes, places: list[int], length: int) -> np.ndarray:
+    """The bytes around each suffix, from the first to the last that a window which picked it can hold; zeros beyond the text."""
+    back = length - PREFIX
+    padded = np.zeros((len(places), back + length), np.uint8)
+    for r, p in enumerate(places):
+        piece = np.frombuffer(data, np.uint8)[max(0, p - back) : p + length]
+        first = back - min(p, back)
+        padded[r, first : first + len(piece)] = piece
+    return padded
+
+
+def window_keys(around: np.ndarray, starts: np.ndarray, size: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes, as two columns of signed integers, of around[i, s : s + size] for each row i and start s."""
+    up, down = powers(around.shape[1] + 1)
+    out = []
+    for table in (BYTES, OTHER_BYTES):
+        sums = np.zeros((len(around), around.shape[1] + 1), np.uint64)
+        np.cumsum(table[around] * up[:-1], axis=1, out=sums[:, 1:])
+        out.append(mixed(mixed((sums[:, starts + size] - sums[:, starts]) * down[starts]) + salt.astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
+
+
+def common_spans(texts: DataFrame, length: int) -> DataFrame:
+    """Spans (id, start, end) by the very common suffixes of texts (id, text, suffixes), counted across tasks.
+
+    Windows at sixteen neighbouring offsets share a core. A range of windows whose core stands nowhere else is done with;
+    the windows of the others are counted one by one. All windows of a suffix overlap, so the first and the last
+    repeated one give what to remove.
+    """
+    width, back = length - PREFIX + 1, length - PREFIX
+    low = np.arange(0, width, RANGE)
+    low = low[low + RANGE <= width]  # the rest of the offsets goes one by one
+    kinds = "id binary, place long, low int, high int, k1 long, k2 long"
+
+    def valid(n: int, p: int) -> tuple[int, int]:
+        """The first and the last offset at which a window fits into the text."""
+        return max(0, p + length - n), min(width - 1, p)
+
+    def cores(batches):
+        for b in batches:
+            for i, data, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["suffixes"].to_pylist()):
+                common = [s["place"] for s in own if s["common"]]
+                for at in range(0, len(common), 2048):
+                    places = common[at : at + 2048]
+                    size = length - RANGE + 1
+                    k1, k2 = window_keys(around_suffixes(data, places, length), back - low, size, low)
+                    first, last = (np.array(v)[:, None] for v in zip(*(valid(len(data), p) for p in places)))
+                    whole = (low >= first) & (low + RANGE - 1 <= last)
+                    p, r = np.nonzero(whole)
+                    cols = [np.array(places, np.int64)[p], low[r], low[r] + RANGE - 1, k1[p, r], k2[p, r]]
+                    # Ranges cut by an end of the text have no core: null keys, kept as they are.
+                    bounds = np.append(low, low[-1] + RANGE) if len(low) else np.array([0])
+                    cut = [(q, max(a, f), min(z, e)) for q, f, e, full in zip(places, first[:, 0], last[:, 0], np.column_stack([whole, np.zeros(len(places), bool)])) for a, z, w in zip(bounds, np.append(bounds[1:] - 1, width - 1), full) if not w and max(a, f) <= min(z, e)]
+                    q, f, e = zip(*cut) if cut else ((), (), ())
+                    arrays = [pa.array(np.concatenate([c, x]), k) for c, x, k in zip(cols[:3], (np.array(q, np.int64), np.array(f, np.int64), np.array(e, np.int64)), (pa.int64(), pa.int32(), pa.int32()))]
+                    keys = [pa.concat_arrays([pa.array(k), pa.nulls(len(q), pa.int64())]) for k in cols[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(arrays[0]), pa.binary()), *arrays, *keys], ["id", "place", "low", "high", "k1", "k2"])
+
+    def again(rows: DataFrame) -> DataFrame:
+        n = stored(rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"))
+        return keep_known(rows, n, ["k1", "k2"])
+
+    ranges = stored(texts.mapInArrow(cores, kinds))
+    open_ = again(ranges).unionByName(ranges.filter("k1 is null"))
+    need = open_.groupBy("id").agg(F.collect_list(F.struct("place", "low", "high")).alias("ranges"))
+
+    def windows(batches):
+        for b in batches:
+            for i, data, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["ranges"].to_pylist()):
+                for at in range(0, len(own), 2048):
+                    part = own[at : at + 2048]
+                    places = sorted({x["place"] for x in part})
+                    number = {p: n for n, p in enumerate(places)}
+                    offsets = np.arange(width)
+                    k1, k2 = window_keys(around_suffixes(data, places, length), back - offsets, length, offsets)
+                    sizes = np.array([x["high"] - x["low"] + 1 for x in part])
+                    r = np.repeat([number[x["place"]] for x in part], sizes)
+                    o = np.repeat([x["low"] for x in part], sizes) + ragged_arange(sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(r), pa.binary()), pa.array(np.array(places, np.int64)[r]), pa.array(o.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(k1[r, o]), pa.array(k2[r, o])], ["id", "place", "low", "high", "k1", "k2"])
+
+    single = stored(texts.select("id", "text").join(need, "id").mapInArrow(windows, kinds))
+    return again(single).groupBy("id", "place").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("id", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of docs (doc_id, text), with equal texts as one entry: rows, texts, spans.
 
     rows: (doc_id, id, n_bytes, whole) for each row of docs, whole as the text's SHA-256. texts: (id, text) for texts that hold a
     sampled suffix found elsewhere. spans: (id, start, end), some overlapping, in bytes.
 
-    The windows of a suffix that stands in over `group` texts are dealt to more tasks by their offsets, so a task
-    keeps one hash for each window, whatever the number of texts that share a passage.
+    Suffixes that stand over `group` times, and in over a hundred-thousandth of all places, go through common_spans(). The
+    places of any other are gathered in one task, with the bytes around them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    width = length - PREFIX + 1
 
     def sampled(batches_):
         for b in batches_:
-            whole, sizes, places, hashes = [], [], [], []
+            whole, sizes, cols = [], [], ([], [], [])
             for t in b["text"].to_pylist():
                 data = _data(t)
                 whole.append(hashlib.sha256(data).digest())
                 sizes.append(len(data))
-                p, h = sample(np.frombuffer(data, np.uint8), length)
-                places.append(p.astype(np.int32))
-                hashes.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], ["doc_id", "whole", "n_bytes", "places", "hashes"])
+                array = np.frombuffer(data, np.uint8)
+                p, h = sample(array, length)
+                for col, values in zip(cols, (p, heads(array, p) if len(p) else p, h.view(np.int64))):
+                    col.append(values)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], ["doc_id", "whole", "n_bytes", "place", "head", "hash"])
 
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.mapInArrow(sampled, f"doc_id {kind}, whole binary, n_bytes long, places array<int>, hashes array<long>"))
+    rows = stored(docs.mapInArrow(sampled, f"doc_id {kind}, whole binary, n_bytes long, place array<long>, head array<long>, hash array<long>"))
     rows = rows.withColumn("id", F.substring("whole", 1, 16))
-    suffixes = rows.select("id", "places", "hashes").filter(F.size("hashes") > 0).dropDuplicates(["id"]).select("id", F.explode(F.arrays_zip(F.col("hashes").alias("hash"), F.col("places").alias("place"))).alias("s")).select("id", "s.hash", "s.place")
-    suffixes = stored(suffixes)
+    once_each = rows.filter(F.size("hash") > 0).select("id", "place", "head", "hash").dropDuplicates(["id"])
+    suffixes = stored(once_each.select("id", F.inline(F.arrays_zip("place", "head", "hash"))))
     family, found = SuffixIndexFamily(), []
     for i in range(batches):
-        found.append(family.add(suffixes.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).select("hash")))
+        found.append(family.add(suffixes.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).select(*KEY)))
     met = found[0]
     for f in found[1:]:
         met = met.unionByName(f)
     # A suffix first met by a later batch is one for the earlier texts too: the join marks both sides.
-    many = stored(suffixes.join(met.distinct(), "hash"))
-    large = stored(many.groupBy("hash").agg(F.ceil(F.count("*") / group).cast("int").alias("parts")).filter("parts > 1"))
-    need = many.join(large, "hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).groupBy("id").agg(F.collect_list(F.struct("place", "hash", "parts")).alias("suffixes"))
+    met = stored(met.groupBy("hash").agg(F.max("n").alias("n")))
+    discard(*family.levels)
+    many = keep_known(suffixes.select("id", "place", "hash"), met, ["hash"])
+    total = met.agg(F.sum("n")).first()[0] or 0
+    common = F.broadcast(met.filter(F.col("n") > max(group, total // 100_000)).select("hash", F.lit(True).alias("common")))  # fewer than 100,000 rows
+    many = many.join(common, "hash", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    need = many.groupBy("id").agg(F.collect_list(F.struct("place", "hash", "common")).alias("suffixes"))
 
     def once(batches_):
         seen: set[bytes] = set()
@@ -233,32 +403,37 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in new], pa.binary()), pa.array([texts[i] for i in new], pa.binary())], ["id", "text"])
 
     texts = stored(docs.select("text").mapInArrow(once, "id binary, text binary").join(need, "id").dropDuplicates(["id"]))
+    discard(suffixes, met)
+    width = length - PREFIX + 1
 
     def contexts(batches_):
         for b in batches_:
             for i, data, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["suffixes"].to_pylist()):
                 found_: dict[tuple, list[int]] = {}
                 for s in own:
-                    step = -(-width // s["parts"])
-                    for part in range(s["parts"]):
-                        first, last = part * step, min(width, (part + 1) * step) - 1
-                        left = min(last, s["place"])
-                        if first <= left:
-                            found_.setdefault((s["hash"], part, first, last, left, data[s["place"] - left : s["place"] + length - first]), []).append(s["place"])
+                    if not s["common"]:
+                        left = min(width - 1, s["place"])
+                        found_.setdefault((s["hash"], left, data[s["place"] - left : s["place"] + length]), []).append(s["place"])
                 if found_:
                     cols = list(zip(*found_))
-                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), pa.array([i] * len(found_), pa.binary()), pa.array(list(found_.values()), pa.list_(pa.int64()))], ["hash", "part", "first", "last", "left", "context", "id", "places"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))), pa.array([i] * len(found_), pa.binary()), pa.array(list(found_.values()), pa.list_(pa.int64()))], ["hash", "left", "context", "id", "places"])
 
-    around = texts.mapInArrow(contexts, "hash long, part int, first long, last long, left long, context binary, id binary, places array<long>")
-    around = around.repartition("hash", "part").sortWithinPartitions("hash", "part")
+    around = texts.mapInArrow(contexts, "hash long, left long, context binary, id binary, places array<long>")
+    around = around.repartition("hash").sortWithinPartitions("hash")
 
     def resolved(batches_):
-        for table in whole_groups(batches_, ["hash", "part"]):
+        for table in whole_groups(batches_, ["hash"]):
             yield repeats(table, length)
 
     spans = around.mapInArrow(resolved, "id binary, start long, end long")
-    return rows.select("doc_id", "id", "n_bytes", "whole"), texts.select("id", "text"), spans
+    if not common_found(texts):
+        return rows.select("doc_id", "id", "n_bytes", "whole"), texts.select("id", "text"), spans
+    shared = common_spans(texts.filter(F.exists("suffixes", lambda s: s["common"])), length)
+    return rows.select("doc_id", "id", "n_bytes", "whole"), texts.select("id", "text"), spans.unionByName(shared)
+
+
+def common_found(texts: DataFrame) -> bool:
+    return bool(texts.filter(F.exists("suffixes", lambda s: s["common"])).limit(1).count())
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, **options) -> DataFrame:

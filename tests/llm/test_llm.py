@@ -377,25 +377,46 @@ def plain_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [32768, 4])
-def test_suffix_dedup(spark, group):
+@pytest.mark.parametrize("group", [8192, 4])
+@pytest.mark.parametrize("weak", [False, True])
+def test_suffix_dedup(spark, group, weak, monkeypatch):
+    if weak:  # hashes of windows that collide all the time: the bytes must tell them apart
+        monkeypatch.setattr(suffix_dedup, "verified", weakly_verified)
     r = random.Random(10)
     text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     passages = [text(450), text(1500), text(330)]
     texts = [text(r.randint(0, 300)) + r.choice(passages)[r.randint(0, 60) :] + text(r.randint(0, 500)) for _ in range(40)]
     texts += ["a" * 2000, "xy" * 700, None, "", passages[1], passages[1], "q" * 399, "q" * 399, "r" * 400, texts[3][:-1] + "!", texts[5][5:]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).withColumn("id", F.lit(1))
-    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.remove_repeats(df, group=group).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_removed(texts, 400)
+    rows = [*enumerate(texts), (None, texts[0]), (3, "other text of a repeated id" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("id", F.lit(1)).withColumn("hash", F.lit("clash"))
+    got = sorted((tuple(x) for x in suffix_dedup.remove_repeats(df, group=group).collect()), key=str)
+    want = [(i, *x) for (i, _), x in zip(rows, plain_removed([t for _, t in rows], 400))]
+    assert got == sorted(want, key=str)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+_verified = suffix_dedup.verified
+
+
+def weakly_verified(data, at, left, group, row, offset, h, length):
+    return _verified(data, at, left, group, row, offset, h % np.uint64(97), length)
+
+
+def test_suffix_order():
+    data = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    places = np.arange(0, 2900, 7)
+    by_head = places[np.argsort(suffix_dedup.heads(data, places), kind="stable")]
+    assert by_head.tolist() == sorted(places.tolist(), key=lambda p: data[p : p + 8].tobytes())
+
+
 def test_suffix_family(spark):
     family = suffix_dedup.SuffixIndexFamily()
-    batches = [[1, 2, 3], [3, 4], [5, 5], [2, 6], [7]]
-    found = [sorted(r["hash"] for r in family.add(spark.createDataFrame([(x,) for x in b], "hash long")).collect()) for b in batches]
-    assert found == [[], [3], [5], [2], []]
-    assert [level is None for level in family.levels] == [False, True, False]
+    batches = [[1, 2, 3], [3, 4], [5, 5], [2, 6], [7], [1, 7, 8]]
+    found = [sorted(tuple(r) for r in family.add(spark.createDataFrame([(x // 2, x) for x in b], "head long, hash long")).collect()) for b in batches]
+    assert found == [[], [(3, 2)], [(5, 2)], [(2, 2)], [], [(1, 2), (7, 2)]]
+    assert [level is None for level in family.levels] == [True, False, False]
+    runs = [[(r["head"], r["hash"]) for r in level.collect()] for level in family.levels if level is not None]
+    assert sum(map(len, runs)) == 3 + 6 and {r["hash"]: r["n"] for r in family.levels[2].collect()} == {1: 1, 2: 2, 3: 2, 4: 1, 5: 2, 6: 1}
 
 
 # The pipeline -------------------------------------------------------------------------------------------------------
