@@ -73,17 +73,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _remove(spark, path)
 
 
-def keep_known(rows: DataFrame, known: DataFrame, on: list[str], least: int = 8192, most: int = 100_000) -> DataFrame:
-    """The rows whose key `on` is in known (on, n), n the number of rows with that key; a key is in known once.
+def marked(rows: DataFrame, known: DataFrame, key: str, name: str, least: int = 8192, most: int = 100_000) -> DataFrame:
+    """rows with a column `name`: whether their `key` is in known (key, n), n the number of rows that have it; a key is there once.
 
-    Keys of over `least` rows and over 1 / `most` of all are fewer than `most`, so they are broadcast, and
-    their rows aren't shuffled; the others meet theirs in a join. Both tables should be stored ones.
+    Keys of over `least` rows and over 1 / `most` of all are fewer than `most`, so they are broadcast, and their rows
+    aren't shuffled; the others meet theirs in a join. Both tables should be stored ones.
     """
-    total = known.agg(F.sum("n")).first()[0] or 0
-    cut = max(least, total // most)
-    heavy = F.broadcast(known.filter(F.col("n") > cut).select(*on))  # fewer than `most` keys
-    light = known.filter(F.col("n") <= cut).select(*on)
-    return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))
+    cut = max(least, (known.agg(F.sum("n")).first()[0] or 0) // most)
+    heavy = F.broadcast(known.filter(F.col("n") > cut).select("key").withColumnRenamed("key", key).withColumn(name, F.lit(True)))  # fewer than `most` rows
+    light = known.filter(F.col("n") <= cut).select("key").withColumnRenamed("key", key).withColumn(name, F.lit(True))
+    rows = rows.join(heavy, key, "left")
+    others = rows.filter(F.col(name).isNull()).drop(name).join(light, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return rows.filter(name).unionByName(others)
 
 
 def prefix_sums(df: DataFrame, within: list[str], bucket: str, value: str, out: str) -> DataFrame:

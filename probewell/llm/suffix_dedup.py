@@ -6,32 +6,31 @@ A sparse suffix array is a table of sampled suffixes, range-partitioned and sort
 the hash of their first 128, with equal ones as one entry. A new batch of documents becomes such a run; it is merge-scanned
 with every level, neighbour against neighbour, for matches of 128 bytes, and levels of one size merge into the next.
 
-Suffixes that meet another go on, with the bytes around them: all windows that picked them are compared, by hash and then
-byte by byte, and those that occur twice are removed. Suffixes that very many texts share, as those of a passage in a third of
-all documents, aren't gathered: their windows are counted across tasks, first by what sixteen neighbouring windows have in
-common, then one by one, under hashes of 128 bits.
+Suffixes that meet another go on with their windows, in ranges of neighbouring offsets. A range's core is what all its windows
+hold, its hull what they hold together. If a hull stands twice, all windows of the range do and are removed; if a core
+stands once, none does; otherwise the range is split, down to single windows, along with one range for each removed hull
+of the same core, as windows that are still open may be equal to one of its. Strings are counted by 128-bit BLAKE2b
+digests of their bytes, across tasks, so it doesn't matter how many texts share a passage: nobody gathers them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewell.llm.common import discard, group_starts, keep_known, ragged_arange, stored, whole_groups
+from probewell.llm.common import discard, marked, stored
 
 PREFIX = 128
-#: Windows of very common suffixes are first looked at in ranges of so many neighbouring ones.
-RANGE = 16
+#: Numbers of neighbouring windows in a range, from the first look to the last.
+WIDTHS = (64, 8, 1)
 KEY = ["head", "hash"]
 SEGMENT = 1 << 20
 _random = np.random.default_rng(20240229)
 BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
-OTHER_BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
@@ -72,9 +71,12 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], forth[width - 1 : width - 1 + n])
 
 
-def sample(data: np.ndarray, length: int, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the sampled suffixes. Works through long texts in overlapping segments."""
-    places, hashes = [], []
+def sample(data: np.ndarray, length: int, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
+    """(positions, first, last, hashes) of the sampled suffixes; windows that start from first to last picked the suffix.
+
+    Works through long texts in overlapping segments.
+    """
+    found = []
     width, low = length - prefix + 1, np.uint64(SEGMENT * 2 - 1)
     for at in range(0, len(data) - length + 1, SEGMENT):
         part = data[at : at + SEGMENT + length - 1]
@@ -83,13 +85,14 @@ def sample(data: np.ndarray, length: int, prefix: int = PREFIX) -> tuple[np.ndar
         ranked = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
         least = sliding_min(ranked, width)
         pos = (low - (least & low)).astype(np.int64)
-        pos = pos[np.append(True, pos[1:] != pos[:-1])]
-        places.append(pos + at)
-        hashes.append(h[pos])
-    if not places:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    places, once = np.unique(np.concatenate(places), return_index=True)
-    return places, np.concatenate(hashes)[once]
+        first = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]))
+        last = np.append(first[1:], len(pos)) - 1
+        found.append((pos[first] + at, first + at, last + at, h[pos[first]]))
+    if not found:
+        return (*(np.empty(0, np.int64),) * 3, np.empty(0, np.uint64))
+    places, first, last, hashes = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(np.append(True, places[1:] != places[:-1]))  # one at the seam of two segments is there twice
+    return places[new], first[new], last[np.append(new[1:], len(places)) - 1], hashes[new]
 
 
 def heads(data: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -154,101 +157,20 @@ class SuffixIndexFamily:
         return found.groupBy("hash").agg(F.max("n").alias("n"))
 
 
-def reach(data: np.ndarray, end: int, a: np.ndarray, b: np.ndarray, room: np.ndarray, step: int, most: int) -> np.ndarray:
-    """How many bytes from the places a and b on agree, forwards or backwards, `most` at most and `room` in each text."""
-    out = np.empty(len(a), np.int64)
-    move = step * np.arange(most)
-    for i in range(0, len(a), 4096):
-        x, y = (np.clip(p[i : i + 4096, None] + move, 0, end - 1) for p in (a, b))
-        differ = data[x] != data[y]
-        out[i : i + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
-    return np.minimum(out, room)
-
-
-def verified(data, at, left, group, row, offset, h, length: int) -> np.ndarray:
-    """Whether each window (row, offset) equals another of its group and offset. Equal hashes propose, bytes decide."""
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    i, j = order[:-1][same], order[1:][same]
-    twice = np.zeros(len(h), bool)
-    if not len(i):
-        return twice
-    pair, of = np.unique(row[i] * len(left) + row[j], return_inverse=True)
-    a, b = pair // len(left), pair % len(left)
-    right = np.diff(at) - left
-    forth = reach(data, at[-1], at[a] + left[a], at[b] + left[b], np.minimum(right[a], right[b]), 1, length)
-    back = reach(data, at[-1], at[a] + left[a] - 1, at[b] + left[b] - 1, np.minimum(left[a], left[b]), -1, length)
-    equal = (group[row[i]] == group[row[j]]) & (offset[i] == offset[j]) & (forth[of] >= length - offset[i]) & (back[of] >= offset[i])
-    twice[i[equal]] = twice[j[equal]] = True
-    if not equal.all():  # a hash stands for several strings: its windows are told apart by their bytes
-        twice[np.isin(h, h[i[~equal]])] = False
-        seen: dict[tuple, list[int]] = {}
-        for w in np.flatnonzero(np.isin(h, h[i[~equal]])):
-            s = at[row[w]] + left[row[w]] - offset[w]
-            seen.setdefault((group[row[w]], offset[w], data[s : s + length].tobytes()), []).append(w)
-        for ws in seen.values():
-            twice[ws] = len(ws) > 1
-    return twice
-
-
-def repeats(table: pa.Table, length: int) -> pa.RecordBatch:
-    """Spans (id, start, end) covered by windows that occur twice, from whole groups of contexts.
-
-    A row of table: hash, left (bytes of context before the suffix), context, id, places (where this context stands in the
-    document).
+def ranges(data: bytes, place: int, lows: range, width: int, length: int):
+    """(low, core, hull) for ranges of `width` offsets from each of lows on: digests, the hull's None where the text ends before.
+
+    A window's offset is the number of its bytes before the suffix at `place`. Ranges without a window in the text are left out.
     """
-    start = group_starts(table, ["hash"])
-    rows = np.diff(np.append(start, table.num_rows))
-    lefts = table["left"].to_numpy()
-    contexts, ids, places = (table[k].combine_chunks() for k in ("context", "id", "places"))
-    out_ids, out_start, out_end = [], [], []
-    lots = np.cumsum(rows) // 3000
-    for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(lots)) + 1), len(rows)]):
-        a, b = start[lo], start[lo] + rows[lo:hi].sum()
-        part = contexts[a:b]
-        at = np.frombuffer(part.buffers()[1], np.int32, b - a + 1, part.offset * 4).astype(np.int64)
-        data = np.frombuffer(part.buffers()[2], np.uint8)[at[0] : at[-1]]
-        at -= at[0]
-        sizes = np.diff(at)
-        up, down = powers(int(sizes.max(initial=0)) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTES[data] * up[ragged_arange(sizes)], out=sums[1:])
-        left = lefts[a:b]
-        low = np.maximum(0, length - (sizes - left))
-        many = np.maximum(0, left - low + 1)
-        row = np.repeat(np.arange(b - a), many)
-        offset = low[row] + ragged_arange(many)
-        s = left[row] - offset
-        h = mixed((sums[at[row] + s + length] - sums[at[row] + s]) * down[s])
-        group = np.repeat(np.arange(hi - lo), rows[lo:hi])
-        h = mixed(h ^ mixed((group[row] * 4096 + offset).astype(np.uint64)))
-        twice = verified(data, at, left, group, row, offset, h, length)
-        n_places = pa.compute.list_value_length(places[a:b]).to_numpy()
-        twice |= n_places[row] > 1
-        most, least = np.full(b - a, -1), np.full(b - a, length)
-        np.maximum.at(most, row[twice], offset[twice])
-        np.minimum.at(least, row[twice], offset[twice])
-        hit = np.flatnonzero(most >= 0)
-        if not len(hit):
+    for low in lows:
+        high = low + width - 1
+        if low > place or high < place + length - len(data):
             continue
-        where = places[a:b].take(pa.array(hit))
-        again = np.repeat(hit, n_places[hit])
-        where = where.flatten().to_numpy()
-        out_ids.append(ids[a:b].take(pa.array(again)))
-        out_start.append(where - most[again])
-        out_end.append(where - least[again] + length)
-    if not out_ids:
-        return pa.RecordBatch.from_arrays([pa.array([], ids.type), *[pa.array([], pa.int64())] * 2], ["id", "start", "end"])
-    # Spans of one document that touch go out as one.
-    coded = pa.compute.dictionary_encode(pa.concat_arrays(out_ids))
-    code, first, end = coded.indices.to_numpy().astype(np.int64), np.concatenate(out_start), np.concatenate(out_end)
-    order = np.lexsort((first, code))
-    code, first, end = code[order], first[order], end[order]
-    shift = code * (int(end.max()) + 1)
-    reach = np.maximum.accumulate(end + shift)
-    new = np.flatnonzero(np.append(True, (first + shift)[1:] > reach[:-1]))
-    last = np.append(new[1:], len(code)) - 1
-    return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[new])), pa.array(first[new]), pa.array(reach[last] - shift[last])], ["id", "start", "end"])
+        tag = b"%d %d " % (low, width)
+        hull = None
+        if high <= place and low >= place + length - len(data):
+            hull = hashlib.blake2b(tag + b"h" + data[place - high : place - low + length], digest_size=16).digest()
+        yield low, hashlib.blake2b(tag + b"c" + data[place - low : place - high + length], digest_size=16).digest(), hull
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -266,119 +188,83 @@ def _data(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
-def around_suffixes(data: bytes, places: list[int], length: int) -> np.ndarray:
-    """The bytes around each suffix, from the first to the last that a window which picked it can hold; zeros beyond the text."""
-    back = length - PREFIX
-    padded = np.zeros((len(places), back + length), np.uint8)
-    for r, p in enumerate(places):
-        piece = np.frombuffer(data, np.uint8)[max(0, p - back) : p + length]
-        first = back - min(p, back)
-        padded[r, first : first + len(piece)] = piece
-    return padded
-
-
-def window_keys(around: np.ndarray, starts: np.ndarray, size: int, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes, as two columns of signed integers, of around[i, s : s + size] for each row i and start s."""
-    up, down = powers(around.shape[1] + 1)
-    out = []
-    for table in (BYTES, OTHER_BYTES):
-        sums = np.zeros((len(around), around.shape[1] + 1), np.uint64)
-        np.cumsum(table[around] * up[:-1], axis=1, out=sums[:, 1:])
-        out.append(mixed(mixed((sums[:, starts + size] - sums[:, starts]) * down[starts]) + salt.astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
-
-
-def common_spans(texts: DataFrame, length: int) -> DataFrame:
-    """Spans (id, start, end) by the very common suffixes of texts (id, text, suffixes), counted across tasks.
-
-    Windows at sixteen neighbouring offsets share a core. A range of windows whose core stands nowhere else is done with;
-    the windows of the others are counted one by one. All windows of a suffix overlap, so the first and the last
-    repeated one give what to remove.
-    """
-    width, back = length - PREFIX + 1, length - PREFIX
-    low = np.arange(0, width, RANGE)
-    low = low[low + RANGE <= width]  # the rest of the offsets goes one by one
-    kinds = "id binary, place long, low int, high int, k1 long, k2 long"
-
-    def valid(n: int, p: int) -> tuple[int, int]:
-        """The first and the last offset at which a window fits into the text."""
-        return max(0, p + length - n), min(width - 1, p)
-
-    def cores(batches):
-        for b in batches:
-            for i, data, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["suffixes"].to_pylist()):
-                common = [s["place"] for s in own if s["common"]]
-                for at in range(0, len(common), 2048):
-                    places = common[at : at + 2048]
-                    size = length - RANGE + 1
-                    k1, k2 = window_keys(around_suffixes(data, places, length), back - low, size, low)
-                    first, last = (np.array(v)[:, None] for v in zip(*(valid(len(data), p) for p in places)))
-                    whole = (low >= first) & (low + RANGE - 1 <= last)
-                    p, r = np.nonzero(whole)
-                    cols = [np.array(places, np.int64)[p], low[r], low[r] + RANGE - 1, k1[p, r], k2[p, r]]
-                    # Ranges cut by an end of the text have no core: null keys, kept as they are.
-                    bounds = np.append(low, low[-1] + RANGE) if len(low) else np.array([0])
-                    cut = [(q, max(a, f), min(z, e)) for q, f, e, full in zip(places, first[:, 0], last[:, 0], np.column_stack([whole, np.zeros(len(places), bool)])) for a, z, w in zip(bounds, np.append(bounds[1:] - 1, width - 1), full) if not w and max(a, f) <= min(z, e)]
-                    q, f, e = zip(*cut) if cut else ((), (), ())
-                    arrays = [pa.array(np.concatenate([c, x]), k) for c, x, k in zip(cols[:3], (np.array(q, np.int64), np.array(f, np.int64), np.array(e, np.int64)), (pa.int64(), pa.int32(), pa.int32()))]
-                    keys = [pa.concat_arrays([pa.array(k), pa.nulls(len(q), pa.int64())]) for k in cols[3:]]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(arrays[0]), pa.binary()), *arrays, *keys], ["id", "place", "low", "high", "k1", "k2"])
-
-    def again(rows: DataFrame) -> DataFrame:
-        n = stored(rows.filter("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"))
-        return keep_known(rows, n, ["k1", "k2"])
-
-    ranges = stored(texts.mapInArrow(cores, kinds))
-    open_ = again(ranges).unionByName(ranges.filter("k1 is null"))
-    need = open_.groupBy("id").agg(F.collect_list(F.struct("place", "low", "high")).alias("ranges"))
-
-    def windows(batches):
-        for b in batches:
-            for i, data, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["ranges"].to_pylist()):
-                for at in range(0, len(own), 2048):
-                    part = own[at : at + 2048]
-                    places = sorted({x["place"] for x in part})
-                    number = {p: n for n, p in enumerate(places)}
-                    offsets = np.arange(width)
-                    k1, k2 = window_keys(around_suffixes(data, places, length), back - offsets, length, offsets)
-                    sizes = np.array([x["high"] - x["low"] + 1 for x in part])
-                    r = np.repeat([number[x["place"]] for x in part], sizes)
-                    o = np.repeat([x["low"] for x in part], sizes) + ragged_arange(sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(r), pa.binary()), pa.array(np.array(places, np.int64)[r]), pa.array(o.astype(np.int32)), pa.array(o.astype(np.int32)), pa.array(k1[r, o]), pa.array(k2[r, o])], ["id", "place", "low", "high", "k1", "k2"])
-
-    single = stored(texts.select("id", "text").join(need, "id").mapInArrow(windows, kinds))
-    return again(single).groupBy("id", "place").agg(F.min("low").alias("low"), F.max("high").alias("high")).select("id", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group: int = 8192) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
+    """(id, start, end) of ranges of repeated windows, by texts (id, text, todo): todo holds structs (place, low, high, known) of a
+    suffix and the offsets of its windows; known ones stand for removed windows and are only there to be met."""
+    kinds = "id binary, place int, low int, known int, core binary, hull binary"
+
+    def looked_at(width: int):
+        def run(batches):
+            for b in batches:
+                out = []
+                for i, data, todo in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["todo"].to_pylist()):
+                    for x in todo:
+                        lows = range(x["low"] // width * width, x["high"] + 1, width)
+                        out += [(i, x["place"], low, x["known"], core, hull) for low, core, hull in ranges(data, x["place"], lows, width, length)]
+                    if len(out) > 50_000:
+                        yield batch_of(out, kinds)
+                        out = []
+                yield batch_of(out, kinds)
+
+        return run
+
+    spans, todo = None, texts
+    for width in WIDTHS:
+        looked = stored(todo.mapInArrow(looked_at(width), kinds))
+        weight = (F.col("known") + 1).alias("n")  # a known one is there twice at least
+        keys = looked.select(F.col("core").alias("key"), weight).unionByName(looked.filter("hull is not null").select(F.col("hull").alias("key"), weight))
+        twice = stored(keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"))
+        found = marked(looked, twice, "core", "some").filter("some").drop("some")
+        found = stored(marked(found, twice, "hull", "all"))
+        done, open_ = found.filter("all"), found.filter("not all")
+        own = done.filter("known = 0").select("id", (F.col("place") - F.col("low") - (width - 1)).cast("long").alias("start"), (F.col("place") - F.col("low") + length).cast("long").alias("end"))
+        spans = own if spans is None else spans.unionByName(own)
+        if width == 1:
+            return spans
+        met = stored(twice.join(open_.select(F.col("core").alias("key")).distinct(), "key", "left_semi"))
+        known = done.groupBy("core", "hull").agg(F.min(F.struct("id", "place", "low")).alias("one")).select("core", "one.*")
+        known = marked(known, met, "core", "open").filter("open")
+        rows = open_.select("id", "place", "low", "known").unionByName(known.select("id", "place", "low", F.lit(1).alias("known")))
+        need = rows.groupBy("id").agg(F.collect_list(F.struct("place", "low", (F.col("low") + width - 1).alias("high"), "known")).alias("todo"))
+        todo = texts.select("id", "text").join(need, "id")
+        discard(looked)
+
+
+def batch_of(rows: list[tuple], kinds: str) -> pa.RecordBatch:
+    """Rows as a batch of the columns that `kinds` names, as Spark writes a schema."""
+    of = {"binary": pa.binary(), "int": pa.int32(), "long": pa.int64()}
+    names, types = zip(*(k.split() for k in kinds.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, of[k]) for c, k in zip(zip(*rows) if rows else [()] * len(names), types)], names)
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of docs (doc_id, text), with equal texts as one entry: rows, texts, spans.
 
     rows: (doc_id, id, n_bytes, whole) for each row of docs, whole as the text's SHA-256. texts: (id, text) for texts that hold a
     sampled suffix found elsewhere. spans: (id, start, end), some overlapping, in bytes.
-
-    Suffixes that stand over `group` times, and in over a hundred-thousandth of all places, go through common_spans(). The
-    places of any other are gathered in one task, with the bytes around them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sampled(batches_):
         for b in batches_:
-            whole, sizes, cols = [], [], ([], [], [])
+            whole, sizes, cols = [], [], ([], [], [], [], [])
             for t in b["text"].to_pylist():
                 data = _data(t)
                 whole.append(hashlib.sha256(data).digest())
                 sizes.append(len(data))
                 array = np.frombuffer(data, np.uint8)
-                p, h = sample(array, length)
-                for col, values in zip(cols, (p, heads(array, p) if len(p) else p, h.view(np.int64))):
+                p, first, last, h = sample(array, length)
+                for col, values in zip(cols, (p, p - last, p - first, heads(array, p) if len(p) else p, h.view(np.int64))):
                     col.append(values)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], ["doc_id", "whole", "n_bytes", "place", "head", "hash"])
+            kinds = (pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array([x.astype(k.to_pandas_dtype()) for x in c], pa.list_(k)) for c, k in zip(cols, kinds))], ["doc_id", "whole", "n_bytes", "place", "low", "high", "head", "hash"])
 
     docs = docs.select("doc_id", "text")
-    rows = stored(docs.mapInArrow(sampled, f"doc_id {kind}, whole binary, n_bytes long, place array<long>, head array<long>, hash array<long>"))
+    rows = stored(docs.mapInArrow(sampled, f"doc_id {kind}, whole binary, n_bytes long, place array<int>, low array<short>, high array<short>, head array<long>, hash array<long>"))
     rows = rows.withColumn("id", F.substring("whole", 1, 16))
-    once_each = rows.filter(F.size("hash") > 0).select("id", "place", "head", "hash").dropDuplicates(["id"])
-    suffixes = stored(once_each.select("id", F.inline(F.arrays_zip("place", "head", "hash"))))
+    columns = ["place", "low", "high", "head", "hash"]
+    once_each = rows.filter(F.size("hash") > 0).select("id", *columns).dropDuplicates(["id"])
+    suffixes = stored(once_each.select("id", F.inline(F.arrays_zip(*columns))))
     family, found = SuffixIndexFamily(), []
     for i in range(batches):
         found.append(family.add(suffixes.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i).select(*KEY)))
@@ -386,13 +272,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
     for f in found[1:]:
         met = met.unionByName(f)
     # A suffix first met by a later batch is one for the earlier texts too: the join marks both sides.
-    met = stored(met.groupBy("hash").agg(F.max("n").alias("n")))
+    met = stored(met.groupBy(F.col("hash").alias("key")).agg(F.max("n").alias("n")))
     discard(*family.levels)
-    many = keep_known(suffixes.select("id", "place", "hash"), met, ["hash"])
-    total = met.agg(F.sum("n")).first()[0] or 0
-    common = F.broadcast(met.filter(F.col("n") > max(group, total // 100_000)).select("hash", F.lit(True).alias("common")))  # fewer than 100,000 rows
-    many = many.join(common, "hash", "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    need = many.groupBy("id").agg(F.collect_list(F.struct("place", "hash", "common")).alias("suffixes"))
+    many = marked(suffixes.drop("head"), met, "hash", "met").filter("met")
+    need = many.groupBy("id").agg(F.collect_list(F.struct("place", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), F.lit(0).alias("known"))).alias("todo"))
 
     def once(batches_):
         seen: set[bytes] = set()
@@ -404,36 +287,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
 
     texts = stored(docs.select("text").mapInArrow(once, "id binary, text binary").join(need, "id").dropDuplicates(["id"]))
     discard(suffixes, met)
-    width = length - PREFIX + 1
-
-    def contexts(batches_):
-        for b in batches_:
-            for i, data, own in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["suffixes"].to_pylist()):
-                found_: dict[tuple, list[int]] = {}
-                for s in own:
-                    if not s["common"]:
-                        left = min(width - 1, s["place"])
-                        found_.setdefault((s["hash"], left, data[s["place"] - left : s["place"] + length]), []).append(s["place"])
-                if found_:
-                    cols = list(zip(*found_))
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()))), pa.array([i] * len(found_), pa.binary()), pa.array(list(found_.values()), pa.list_(pa.int64()))], ["hash", "left", "context", "id", "places"])
-
-    around = texts.mapInArrow(contexts, "hash long, left long, context binary, id binary, places array<long>")
-    around = around.repartition("hash").sortWithinPartitions("hash")
-
-    def resolved(batches_):
-        for table in whole_groups(batches_, ["hash"]):
-            yield repeats(table, length)
-
-    spans = around.mapInArrow(resolved, "id binary, start long, end long")
-    if not common_found(texts):
-        return rows.select("doc_id", "id", "n_bytes", "whole"), texts.select("id", "text"), spans
-    shared = common_spans(texts.filter(F.exists("suffixes", lambda s: s["common"])), length)
-    return rows.select("doc_id", "id", "n_bytes", "whole"), texts.select("id", "text"), spans.unionByName(shared)
-
-
-def common_found(texts: DataFrame) -> bool:
-    return bool(texts.filter(F.exists("suffixes", lambda s: s["common"])).limit(1).count())
+    return rows.select("doc_id", "id", "n_bytes", "whole"), texts.select("id", "text"), repeated_windows(texts, length)
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from probewell.llm import bpe, html_extract, lattice, mixing, pii, queries, sharding, simhash, suffix_dedup, topk, toxicity
-from probewell.llm.common import components, smallest_labels
+from probewell.llm.common import components, discard, marked, scratch, smallest_labels, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,6 +42,15 @@ def test_components(spark):
     assert all(got.get(i, i) == label[i] for i in range(200))
 
 
+def test_stored_tables_are_removed(spark):
+    with scratch(spark):
+        t = stored(spark.range(5))
+        again = stored(t.filter("id > 1"))
+        discard(t)
+        assert not os.path.exists(t.stored_at.removeprefix("file:")) and again.count() == 3
+    assert not os.path.exists(again.stored_at.removeprefix("file:"))
+
+
 # 1 ------------------------------------------------------------------------------------------------------------------
 def vectors(spark):
     rng = np.random.default_rng(4)
@@ -377,11 +387,7 @@ def plain_removed(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group", [8192, 4])
-@pytest.mark.parametrize("weak", [False, True])
-def test_suffix_dedup(spark, group, weak, monkeypatch):
-    if weak:  # hashes of windows that collide all the time: the bytes must tell them apart
-        monkeypatch.setattr(suffix_dedup, "verified", weakly_verified)
+def test_suffix_dedup(spark):
     r = random.Random(10)
     text = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
     passages = [text(450), text(1500), text(330)]
@@ -389,17 +395,18 @@ def test_suffix_dedup(spark, group, weak, monkeypatch):
     texts += ["a" * 2000, "xy" * 700, None, "", passages[1], passages[1], "q" * 399, "q" * 399, "r" * 400, texts[3][:-1] + "!", texts[5][5:]]
     rows = [*enumerate(texts), (None, texts[0]), (3, "other text of a repeated id" * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("id", F.lit(1)).withColumn("hash", F.lit("clash"))
-    got = sorted((tuple(x) for x in suffix_dedup.remove_repeats(df, group=group).collect()), key=str)
+    got = sorted((tuple(x) for x in suffix_dedup.remove_repeats(df).collect()), key=str)
     want = [(i, *x) for (i, _), x in zip(rows, plain_removed([t for _, t in rows], 400))]
     assert got == sorted(want, key=str)
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
-_verified = suffix_dedup.verified
-
-
-def weakly_verified(data, at, left, group, row, offset, h, length):
-    return _verified(data, at, left, group, row, offset, h % np.uint64(97), length)
+def test_marked(spark):
+    rows = [(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (None, 2)) for i in range(n)]
+    known = stored(spark.createDataFrame([(1, 50), (2, 3), (9, 1)], "key int, n long"))
+    got = marked(spark.createDataFrame(rows, "k int, i int"), known, "k", "known", least=10, most=20).collect()
+    assert sorted((r["k"], r["i"], r["known"]) for r in got if r["k"]) == sorted((k, i, k < 3) for k, i in rows if k)
+    assert len(got) == len(rows) and not any(r["known"] for r in got if r["k"] is None)
 
 
 def test_suffix_order():
