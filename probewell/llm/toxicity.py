@@ -2,15 +2,18 @@
 
 The kernel of two words is the sum over letter subsequences of length three of both words' weights for it, where an occurrence
 that spans n letters weighs DECAY ** n; it is normalised to 1 for equal words. So "idxiot" or "id*iot" stay close to
-"idiot". Single letters set apart ("i d i o t") are read as one word.
-
-Words of labelled documents train the machine: those that stand in toxic documents much more than in clean ones against all
-others. A word's feature vector is its kernel with the landmarks, times the inverse square root of the landmarks' own kernel
-matrix. The decision is linear in the kernel, so it sums up in one weight for each subsequence: a word is scored
-exactly by looking up its subsequences, without a pass over landmarks. A document's score comes from a logistic model on
-the decisions of its words, fitted on labelled documents.
+"idiot". Single letters set apart ("i d i o t") are read as one word. Letters of all scripts count.
+
+Labels exist for documents, so the machine learns from bags: the sentences of a clean document are clean, and a toxic one has
+toxic words in some of its sentences. First witnesses are the words that toxic documents hold far more often than due; a
+machine trained on them names the witnesses of the next round in the sentences of each toxic document, whereupon it
+is trained again. A word's feature vector is its kernel with the landmarks, times the inverse square root of the landmarks' own
+kernel matrix. The decision is linear in the kernel, so it sums up in one weight for each subsequence: a word is scored
+exactly by looking up its subsequences, without a pass over landmarks. A document's score is a logistic function of the
+largest decision, the number and the share of toxic words, fitted on labelled documents.
 """
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -22,35 +25,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DECAY = 0.5
-LETTERS = 27
+#: Codes of letters: 1 to 26 for Latin base letters, the rest for the letters of all other scripts.
+LETTERS = 64
 #: Longer words are read in windows of this many letters, half of it apart.
 LONGEST = 16
 APART = re.compile(r"(?<!\S)\w(?:[^\w\n]{1,2}\w){2,}(?!\w)")
 MAX_WORDS_KEPT = 500_000
-#: Decision of a word without a subsequence, and the decision from which a word counts as clearly toxic.
-LOWEST, CLEAR = -2.0, 0.85
-
-
-def _codes() -> np.ndarray:
-    """Code of each character below 0x250: letters fold to a base letter, 1 to 26; 0 is left out."""
-    table = np.zeros(0x250, np.uint8)
-    for i in range(0x250):
-        base = unicodedata.normalize("NFKD", chr(i).lower())[:1]
+#: Decision of a text without a word, and the decision from which a word counts as clearly toxic.
+LOWEST, CLEAR = -1.0, 0.85
+SENTENCE = re.compile(r"[.!?…。！？]+\s|\n")
+
+
+@functools.lru_cache
+def codes() -> np.ndarray:
+    """Code of each character below U+20000: Latin letters fold to their base letter; the letters of another script go by their
+    number, so that neighbouring ones, as those of an alphabet, differ. 0 is left out."""
+    table = np.zeros(0x20000, np.uint8)
+    for i in range(0x20000):
+        c = chr(i)
+        if not c.isalpha():
+            continue
+        base = unicodedata.normalize("NFKD", c.lower())[:1]
         if "a" <= base <= "z":
             table[i] = ord(base) - 96
-        elif chr(i) == "ß":
-            table[i] = 19
+        else:
+            table[i] = 19 if c in "ßẞ" else 27 + ord(base or c) % (LETTERS - 27)
     return table
 
 
-CODES = _codes()
-
-
 def letters(words: list[str]) -> list[bytes]:
-    """Each word's letters as codes; what isn't a Latin letter is left out. The words hold no line ends."""
+    """Each word's letters as codes; what isn't a letter is left out. The words hold no line ends."""
     c = np.frombuffer("\n".join(words).encode("utf-32-le", "replace"), np.uint32)
-    ends = c == 10
-    c = CODES[np.where(c < len(CODES), c, 0)]
+    ends, table = c == 10, codes()
+    c = table[np.where(c < len(table), c, 0)]
     c[ends] = 255
     return c[c > 0].tobytes().split(b"\xff") if words else []
 
@@ -106,7 +113,7 @@ def by_length(words: list[bytes]):
 
 @dataclass
 class Model:
-    """table: weight of each subsequence; bias of the machine; coefficients of the document model."""
+    """table: weight of each subsequence; bias of the machine; document: (intercept, slope) of the logistic function of the largest decision."""
 
     table: np.ndarray
     bias: float
@@ -121,7 +128,8 @@ class Model:
         return out
 
     def features(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        """For each text, of its words' decisions: the largest, how many are over 0 and over CLEAR as log(1 + n), the share over 0."""
+        """For each text, of its distinct words' decisions: the largest, how many are over 0 and over CLEAR as log(1 + n), the share over 0.
+        known: decisions of words met before."""
         found = [words_of(t) if isinstance(t, str) and t else set() for t in texts]
         if len(known) > MAX_WORDS_KEPT:
             known.clear()
@@ -132,28 +140,33 @@ class Model:
         score = dict(zip(flat, self.decide(flat).tolist())) if flat else {}
         best = {c: score[c] if c in score else max([score[p] for p in ps], default=LOWEST) for c, ps in parts.items()}
         known.update(zip(new, map(best.__getitem__, codes)))
-        rows = np.zeros((len(found), 4))
-        for r, words in zip(rows, found):
-            d = np.fromiter(map(known.__getitem__, words), float, len(words))
-            over = (d > 0).sum()
-            r[:] = (max(d.max(initial=LOWEST), LOWEST), np.log1p(over), np.log1p((d > CLEAR).sum()), over / max(1, len(words)))
-        return rows
+        return np.array([document_features(np.fromiter(map(known.__getitem__, words), float, len(words))) for words in found]).reshape(-1, 4)
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = np.column_stack([np.ones(len(features)), features]) @ self.document
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 60) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, the last one the bias, by Newton steps on the active set."""
-    x, total = np.column_stack([z, np.ones(len(z))]), weight.sum()
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.append(np.ones(z.shape[1]), 0.0)
+def document_features(d: np.ndarray) -> tuple[float, ...]:
+    over = (d > 0).sum()
+    return max(d.max(initial=LOWEST), LOWEST), np.log1p(over), np.log1p((d > CLEAR).sum()), over / max(1, len(d))
+
+
+def train_svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
+    """Weights of a linear machine for the rows of z with labels y, the last one the bias: squared hinge loss, Newton steps on the
+    active set. Weights sum up to 1."""
+    w = np.zeros(z.shape[1] + 1)
+    penalty = np.diag(np.append(np.full(z.shape[1], ridge), 1e-9))
     for _ in range(steps):
-        active = (1 - y * (x @ w)) > 0
-        xa, ca = x[active], weight[active][:, None]
-        new = np.linalg.solve(xa.T @ (ca * xa) / total + np.diag(penalty + 1e-9), xa.T @ (ca[:, 0] * y[active]) / total)
-        if np.allclose(new, w, atol=1e-8):
+        active = np.flatnonzero(1 - y * ((z @ w[:-1].astype(np.float32))[rows] + w[-1]) > 0)
+        left, right = penalty.copy(), np.zeros(len(w))
+        for i in range(0, len(active), 8192):
+            at = active[i : i + 8192]
+            x = np.column_stack([z[rows[at]], np.ones(len(at), np.float32)])
+            left += x.T @ (weight[at, None].astype(np.float32) * x)
+            right += x.T @ (weight[at] * y[at])
+        new = np.linalg.solve(left, right)
+        if np.allclose(new, w, atol=1e-4):
             break
         w = new
     return w
@@ -171,65 +184,92 @@ def train_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int
     return w
 
 
-def feature_rows(codes: list[bytes]) -> np.ndarray:
-    """Normalised weights of all subsequences, a row for each word. For a few hundred words at a time."""
-    phi = np.zeros((len(codes), LETTERS**3), np.float32)
-    for at, s in by_length(codes):
-        index, weight = subsequences(s)
-        np.add.at(phi, (np.repeat(at, index.shape[1]), index.ravel()), np.tile(weight, len(at)))
-    return phi / np.linalg.norm(phi, axis=1, keepdims=True)
-
-
-def fit_words(toxic: list[bytes], weight: np.ndarray, clean: list[bytes], landmarks: int, seed: int = 5) -> tuple[np.ndarray, float]:
-    """(table, bias) of a machine that tells toxic words, with their weights, from clean ones."""
-    rng = np.random.default_rng(seed)
-    first = toxic[: landmarks // 2]
-    marks = feature_rows(first + [clean[i] for i in rng.permutation(len(clean))[: landmarks - len(first)]])
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
-    root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
-    words = toxic + clean
-    z = np.concatenate([feature_rows(words[i : i + 400]) @ marks.T for i in range(0, len(words), 400)]).astype(float) @ root
-    y = np.append(np.ones(len(toxic)), -np.ones(len(clean)))
-    share = np.append(weight / weight.sum(), np.full(len(clean), 1 / len(clean)))
-    w = train_svm(z, y, share * len(y) / 2)
-    return marks.T.astype(float) @ (root @ w[:-1]), float(w[-1])
-
-
-def train(sample: pd.DataFrame, max_words: int = 3000, landmarks: int = 256, surprise: float = 6.0) -> Model:
-    """A model from labelled rows (text, toxic), with at most max_words words of either kind.
-
-    A word is of the toxic kind
-    if the number of toxic documents that hold it exceeds its share by `surprise` deviations. Clean words are those in
-    clean documents; half of them are the ones that a first machine takes for toxic. Without toxic rows or words, every
-    document scores low.
+class Landmarks:
+    """Landmark words, the subsequences that they hold, and the inverse square root of their kernel matrix."""
+
+    def __init__(self, words: list[bytes]):
+        self.number = np.zeros(LETTERS**3, np.int32)  # row of rows for each subsequence; 0: in no landmark
+        parts = [(at, *subsequences(s), np.sqrt(kernel(s, s))) for at, s in by_length(words)]
+        held = np.unique(np.concatenate([index.ravel() for _, index, _, _ in parts]))
+        self.number[held] = np.arange(1, len(held) + 1)
+        self.held, self.rows = held, np.zeros((len(held) + 1, len(words)), np.float32)
+        for at, index, weight, norm in parts:
+            np.add.at(self.rows, (self.number[index], at[:, None]), (weight / norm[:, None]).astype(np.float32))
+        values, vectors = np.linalg.eigh((self.rows.T @ self.rows).astype(float))
+        self.root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+
+    def features(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word."""
+        out, root = np.empty((len(words), len(self.root)), np.float32), self.root.astype(np.float32)
+        for at, s in by_length(words):
+            index, weight = subsequences(s)
+            norm, weight = np.sqrt(kernel(s, s))[:, None], weight.astype(np.float32)
+            step = 512
+            for i in range(0, len(at), step):
+                near = np.zeros((len(index[i : i + step]), len(self.root)), np.float32)
+                for column, x in zip(self.number[index[i : i + step]].T, weight):
+                    near += x * self.rows[column]
+                out[at[i : i + step]] = near / norm[i : i + step] @ root
+        return out
+
+    def table(self, w: np.ndarray) -> np.ndarray:
+        """The weight of each subsequence in a decision that is linear in the features."""
+        table = np.zeros(LETTERS**3)
+        table[self.held] = self.rows[1:].astype(float) @ (self.root @ w)
+        return table
+
+
+def bags_of(texts: list[str]) -> tuple[list[bytes], list[list[np.ndarray]]]:
+    """All distinct words, as windows of codes, and for each text its sentences, each as the numbers of its words."""
+    number: dict[bytes, int] = {}
+    bags = []
+    for text in texts:
+        bag = []
+        for sentence in SENTENCE.split(text):
+            own = {w for c in letters(list(words_of(sentence))) for w in windows(c)}
+            if own:
+                bag.append(np.array(sorted(number.setdefault(w, len(number)) for w in sorted(own)), np.int64))
+        bags.append(bag)
+    return list(number), bags
+
+
+def train(sample: pd.DataFrame, landmarks: int = 256, rounds: int = 3, ridge: float = 1e-4, surprise: float = 6.0, seed: int = 5) -> Model:
+    """A model from labelled rows (text, toxic). Without toxic or clean rows, or witnesses in them, every document scores low.
+
+    All words of all rows take part. First witnesses are the words that exceed their share of toxic documents by `surprise`
+    deviations. Words of clean documents are clean, unless toxic ones hold them too often (by two deviations) to tell. Half
+    of the landmarks are witnesses at most, the others clean words, at random and of those that the first machine found worst.
     """
-    n_toxic, n_clean = int((sample["toxic"] == 1).sum()), int((sample["toxic"] == 0).sum())
-    count: dict[bytes, int] = {}
-    for text, toxic in zip(sample["text"], sample["toxic"]):
-        for w in {c for c in letters(list(words_of(text))) if 3 <= len(c) <= LONGEST}:
-            count[w] = count.get(w, 0) + (1 << 32 if toxic else 1)
-    words = sorted(count)
-    both = np.array([count[w] for w in words], np.int64)
-    toxic, clean = both >> 32, both & 0xFFFFFFFF
-    due = (toxic + clean) * (n_toxic / max(1, n_toxic + n_clean))
-    over = (toxic - due) / np.sqrt(np.maximum(due, 1e-9))
-    high = np.flatnonzero(over >= surprise)
-    high = high[np.argsort(-over[high], kind="stable")][:max_words]
-    low = np.flatnonzero((clean > 0) & (over < 2))
-    if not len(high) or not len(low):
-        rate = min(-0.1, np.log((n_toxic + 0.5) / (n_clean + 5.0)))
+    toxic = sample["toxic"].to_numpy() == 1
+    words, bags = bags_of(sample["text"].tolist())
+    held = [np.unique(np.concatenate(b)) if b else np.empty(0, np.int64) for b in bags]
+    in_toxic, in_clean = (np.bincount(np.concatenate([*(h for h, t in zip(held, toxic) if t == kind), np.empty(0, np.int64)]), minlength=len(words)) for kind in (True, False))
+    due = (in_toxic + in_clean) * (toxic.sum() / max(1, len(toxic)))
+    over = (in_toxic - due) / np.sqrt(np.maximum(due, 1e-9))
+    share, clean = np.where(over >= surprise, in_toxic, 0).astype(float), np.flatnonzero((in_clean > 0) & (over < 2))
+    if not share.any() or not len(clean):
+        rate = min(-0.1, np.log((toxic.sum() + 0.5) / ((~toxic).sum() + 5.0)))
         return Model(np.zeros(LETTERS**3), -1.0, np.array([rate, 0.0, 0.0, 0.0, 0.0]))
-    rng = np.random.default_rng(3)
-    usual = low[np.argsort(-clean[low], kind="stable")][: max_words // 4]
-    chosen = np.unique(np.concatenate([usual, rng.permutation(low)[: max_words // 4]]))
-    for _ in range(3):
-        table, bias = fit_words([words[i] for i in high], toxic[high].astype(float), [words[i] for i in chosen], landmarks)
-        model = Model(table, bias, np.zeros(5))
-        wrong = low[np.argsort(-model.decide([words[i] for i in low]), kind="stable")][: max_words // 4]
-        chosen = np.unique(np.concatenate([chosen, wrong]))
-    known: dict[str, float] = {}
-    x = np.concatenate([model.features(sample["text"].iloc[i : i + 500].tolist(), known) for i in range(0, len(sample), 500)])
-    model.document = train_logistic(x, sample["toxic"].to_numpy(float))
+    shuffled, hard = np.random.default_rng(seed).permutation(clean), clean[:0]
+    sick = [np.unique(np.concatenate(b)) for b, t in zip(bags, toxic) if t and b]
+    for n in range(rounds):
+        positive = np.flatnonzero(share)
+        if n < 2:
+            best = positive[np.argsort(-over[positive], kind="stable")][: landmarks // 2]
+            chosen = np.unique(np.concatenate([best, hard, shuffled[: landmarks - len(best) - len(hard)]]))
+            marks = Landmarks([words[i] for i in chosen])
+            z = marks.features(words)
+        weight = np.append(share[positive] / share.sum(), np.full(len(clean), 1 / len(clean))) / 2
+        w = train_svm(z, np.append(positive, clean), np.append(np.ones(len(positive)), -np.ones(len(clean))), weight, ridge)
+        decision = (z @ w[:-1].astype(np.float32)).astype(float) + w[-1]
+        hard = clean[np.argsort(-decision[clean], kind="stable")][: landmarks // 4]
+        if n:
+            # Witnesses of the next round: what is toxic in the sentences of toxic documents, as far as clean ones don't hold it as often.
+            share = np.zeros(len(words))
+            for own in sick:
+                share[own[(decision[own] > 0) & (over[own] >= 2)]] += 1
+    model = Model(marks.table(w[:-1]), float(w[-1]), np.zeros(5))
+    model.document = train_logistic(np.array([document_features(decision[h]) for h in held]), toxic.astype(float))
     return model
 
 
