@@ -109,7 +109,7 @@ def _star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of undirected edges (a, b), both long; root is the smallest node of the component.
+    """(node, root) for each node of undirected edges (a, b), both long, but the roots; root is the smallest node of the component.
 
     Alternating large-star and small-star steps until the edge set is a set of stars. Each round is written to the
     shared folder. No component is ever gathered: a hub's edges meet only in a pre-aggregated minimum and a join.

@@ -13,6 +13,7 @@ pairs of blocks. A task gives no pairs, but a spanning star for each component t
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -21,29 +22,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probewell.llm.common import components, group_starts, ragged_arange, smallest_labels, stored, whole_groups
+from probewell.llm.common import components, discard, group_starts, ragged_arange, smallest_labels, stored, whole_groups
 
 FAN = 8
 #: First bits and widths of the six segments.
 SEGMENTS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 if there is no word."""
-    words = text.encode().lower().split() if text else []  # both touch ASCII letters and white space only
-    if not words:
-        return 0
-    data, n = b" ".join(words), max(1, len(words) - shingle + 1)
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().lower().split() if text else []  # both touch ASCII letters and white space only
+
+
+def shingle_hashes(words: list[bytes], shingle: int, seed: int):
+    """The 64-bit hashes of all word shingles, repeats included, in lots of 100,000. Fewer words than a shingle make one."""
+    data, n = b" ".join(words), max(1, len(words) - shingle + 1) if words else 0
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    starts, ends = (ends - sizes)[:n].tolist(), ends[-n:].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    starts, ends = (ends - sizes)[:n].tolist(), ends[len(ends) - n :].tolist()
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, 100_000):
-        h = np.array([digest(data[a:b], seed) for a, b in zip(starts[at : at + 100_000], ends[at : at + 100_000])], np.uint64)
+        yield np.array([digest(data[a:b], seed) for a, b in zip(starts[at : at + 100_000], ends[at : at + 100_000])], np.uint64)
+
+
+def majority(lots, n: int) -> int:
+    """Bits that are set in over half of n hashes."""
+    ones = np.zeros(64, np.int64)
+    for h in lots:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 if there is no word."""
+    words = words_of(text)
+    return majority(shingle_hashes(words, shingle, seed), max(1, len(words) - shingle + 1)) if words else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with fp as a signed long."""
 
@@ -156,12 +170,101 @@ def near_duplicates(docs: DataFrame, limit: int = 4, shingle: int = 4, seed: int
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document left of each component: the one with the smallest doc_id.
+#: Odd multipliers that make further hashes of a shingle from its first one.
+_MORE = np.random.default_rng(64).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(text), shingle, seed)]))
+
+
+def set_fingerprints(hashes: np.ndarray, n: int) -> list[int]:
+    """n SimHashes of a set of shingles, by independent hashes."""
+    out = []
+    for m in _MORE[:n]:
+        h = hashes * m
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority([h ^ (h >> np.uint64(29))], len(hashes)))
+    return out
+
 
-    Rows with a null doc_id can't stand for a group and stay. Rows that repeat a doc_id count as one document, of which one
-    row stays. Columns are those of docs.
+def candidates(classes: DataFrame, prints: int, limit: int) -> DataFrame:
+    """(cid, comp): classes (cid, fps) that share a component of equal or near fingerprints, in any of the `prints` sets of them, with others."""
+    links = None
+    for f in range(prints):
+        own = stored(classes.select("cid", F.col("fps")[f].alias("fp")))
+        nodes = stored(own.groupBy("fp").agg(F.min("cid").alias("first")))
+        near = near_edges(nodes.select("fp"), limit).distinct()
+        near = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        same = own.join(nodes, "fp").filter("cid <> first")
+        both = stored(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("cid").alias("a"), F.col("first").alias("b"))))
+        discard(own, nodes)
+        links = both if links is None else links.unionByName(both)
+    found = components(links)
+    return found.select(F.col("node").alias("cid"), F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("cid"), F.col("root").alias("comp")).distinct())
+
+
+def repeated_classes(members: DataFrame, similarity: float, block: int = 1024) -> DataFrame:
+    """The cid of each member (cid, comp, shingles) that is similar to one that stays.
+
+    Round by round the smallest cid of each component stays, and takes out the members whose Jaccard similarity to it reaches
+    `similarity`; the others go on to the next round, without it. A large component is dealt in parts of about `block` members.
+    """
+    out, left = None, stored(members)
+    while True:
+        heads = stored(left.groupBy("comp").agg(F.min("cid").alias("head"), F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int")))
+        if heads.isEmpty():
+            discard(left, heads)
+            return out if out is not None else members.select("cid").limit(0)
+        mine = left.join(heads.select(F.col("head").alias("cid"), "parts"), "cid").select("comp", F.col("shingles").alias("held"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        others = left.join(heads.select("comp", "head", "parts"), "comp").filter("cid <> head").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        common = F.size(F.array_intersect("shingles", "held"))
+        alike = common >= similarity * (F.size("shingles") + F.size("held") - common)
+        judged = stored(others.join(mine, ["comp", "part"]).select("cid", "comp", "shingles", alike.alias("alike")))
+        gone = stored(judged.filter("alike").select("cid"))
+        out = gone if out is None else out.unionByName(gone)
+        discard(left, heads)
+        left = judged.filter("not alike").drop("alike")
+        left.stored_at = judged.stored_at
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 4, limit: int = 4) -> DataFrame:
+    """The rows of docs less those that repeat another one that stays: equal words, or a Jaccard similarity of at least `similarity`
+    between the sets of their shingles.
+
+    Texts of equal words (white space and the case of A-Z don't count) are a class, of which the row with the smallest
+    doc_id stays; null ids come last, then the number that the row got when it was read. Classes are candidates for one
+    another if one of `prints` fingerprints is at most `limit` bits apart, also by steps; the similarity is then computed from
+    the whole shingle sets. Texts without words, null ones among them, are one class. Rows that repeat a doc_id with
+    other texts are documents of their own. Extra columns stay; an empty table gives no rows. Columns are those of docs.
     """
-    ids = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    numbered = stored(docs.withColumn("_dedup_row", F.monotonically_increasing_id()))
+
+    def prints_of(batches):
+        for b in batches:
+            rows = []
+            for t in b["text"].to_pylist():
+                words = words_of(t)
+                h = shingle_set(t, shingle)
+                rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.array(set_fingerprints(h, prints) if words else [0] * prints, np.uint64).view(np.int64)))
+            same, fps = zip(*rows) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b["_dedup_row"], b["doc_id"], pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["_dedup_row", "doc_id", "same", "fps"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = stored(numbered.select("_dedup_row", "doc_id", "text").mapInArrow(prints_of, f"_dedup_row long, doc_id {kind}, same binary, fps array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_dedup_row"))
+    classes = rows.groupBy("same").agg(first.alias("first"), F.first("fps").alias("fps"))
+    # Numbered in the order of their first rows, so that the smallest cid of a component is the smallest doc_id.
+    classes = stored(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()).select("cid", F.col("first._dedup_row").alias("_dedup_row"), "fps"))
+    found = candidates(classes, prints, limit)
+    wanted = classes.join(found, "cid").select("cid", "comp", "_dedup_row")
+
+    def sets_of(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle).view(np.int64) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["cid"], b["comp"], pa.array(sets, pa.list_(pa.int64()))], ["cid", "comp", "shingles"])
+
+    members = numbered.select("_dedup_row", "text").join(wanted, "_dedup_row").select("cid", "comp", "text").mapInArrow(sets_of, "cid long, comp long, shingles array<long>")
+    stay = classes.join(repeated_classes(members, similarity), "cid", "left_anti").select("_dedup_row")
+    return numbered.join(stay, "_dedup_row", "left_semi").select(*docs.columns)
