@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 
 import pandas as pd
@@ -37,9 +38,9 @@ def fill_pattern(pattern: str, lui: str) -> Column:
     return F.replace(F.col(pattern), F.lit("{$id}"), F.col(lui))
 
 
-def lui_link(url: str, lui: str) -> Column:
+def lui_link(url, lui) -> Column:
     """The URL with the id as {$id}, everywhere; in angle brackets if the id isn't in it. Null stays null."""
-    u, i = F.col(url), F.col(lui)
+    u, i = (F.col(c) if isinstance(c, str) else c for c in (url, lui))
     return F.when(u.contains(i), F.replace(u, i, F.lit("{$id}"))).otherwise(F.concat(F.lit("<"), u, F.lit(">")))
 
 
@@ -80,6 +81,24 @@ def ftp_outcome(code: str, message: str) -> Column:
     return F.struct(status.alias("status"), (failed & F.coalesce(status == 434, F.lit(False))).alias("dns_error"), failed.alias("invalid_response"))
 
 
+def hop_flags(headers) -> Column:
+    """(dns_error, ssl_error, invalid_response) of a hop's map of headers: whether the probe's mark for it is there and not empty."""
+    has = lambda name: (F.coalesce(F.length(F.try_element_at(headers, F.lit(f"x-{name.replace('_', '-')}"))), F.lit(0)) > 0).alias(name)
+    return F.struct(*map(has, ("dns_error", "ssl_error", "invalid_response")))
+
+
+def ip_port(ip, port) -> Column:
+    """ip:port as text, an IPv6 address in brackets; null without an address."""
+    i = F.col(ip) if isinstance(ip, str) else ip
+    p = F.col(port) if isinstance(port, str) else port
+    return F.concat(F.when(i.contains(":"), F.concat(F.lit("["), i, F.lit("]"))).otherwise(i), F.coalesce(F.concat(F.lit(":"), p.cast("string")), F.lit("")))
+
+
+def wrapped(kind, value) -> Column:
+    """Addresses (homeUrl, rorId) in angle brackets, as reports show them; other properties as they are."""
+    return F.when(kind.isin("homeUrl", "rorId"), F.concat(F.lit("<"), value, F.lit(">"))).otherwise(value)
+
+
 def timeout_hops(url: str, limit_ms: str) -> Column:
     """The one hop of a probe that ran out of time."""
     no = F.lit(False)
@@ -133,18 +152,23 @@ def property_verdict(kind: str, old: str, new: str, single) -> Column:
 INLINE_TAGS = "a|abbr|b|bdi|bdo|big|cite|code|em|font|i|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|tt|u|var"
 # Fixed value: the characters that an address is taken to hold.
 URL = r"(?<![A-Za-z0-9_])(?:http|ftp)s?://(?:[a-zA-Z0-9$-_@.&+#!*(),]|%[0-9a-fA-F]{2})+(?![A-Za-z0-9_])"
+# Fixed value: what a token is.
 TOKEN = r"(?U)(?:\w+[-'.+:])*\w+"
 
 
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(html.unescape, na_action="ignore")
+
+
 def markup_text(column) -> Column:
-    """Text of markup: scripts, styles, comments and tags go. Block tags part words, inline tags don't."""
+    """Text of markup: scripts, styles, comments and tags go. Block tags part words, inline tags don't. Character references, named
+    and numbered, are decoded in texts that hold some."""
     c = F.regexp_replace(column, r"(?is)<(script|style)\b.*?(</\1\s*>|$)", " ")
     c = F.regexp_replace(c, r"(?s)<!--.*?(-->|$)", " ")
     c = F.regexp_replace(c, rf"(?i)</?(?:{INLINE_TAGS})(?:\s[^<>]*)?/?>", "")
     c = F.regexp_replace(c, r"(?s)</?[A-Za-z!?][^<>]*>", " ")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    return F.when(c.rlike("&#?[A-Za-z0-9]"), _unescaped(c)).otherwise(c)
 
 
 def json_values(text: str) -> str:

@@ -27,16 +27,20 @@ def entry_statistics(issues: DataFrame) -> DataFrame:
     return by.agg(F.count_if("is_open").alias("open"), F.count_if(~F.col("is_open")).alias("ignored"))
 
 
-def cursor(entries: DataFrame, order: str, valid: str, buckets: int = 64) -> DataFrame:
-    """Reported entries with position, next and previous entry, wrapping around at the ends.
+def cursor(entries: DataFrame, order: str, valid: str, visited: DataFrame | None = None) -> DataFrame:
+    """Reported entries with position, next and previous entry, wrapping around at the ends; `visited` (order) adds a column that says
+    whether an entry was seen.
 
-    An entry (order, valid) is reported if it isn't valid. Ranks come from windows over hash ranges of the order column
-    only where a caller partitions; here entries are one list, as a curator sees it, and of a curator's size.
+    An entry (order, valid) is reported if it isn't valid. The entries are one list, as a curator goes through it, and of a
+    curator's size.
     """
     shown = entries.filter(~F.col(valid))
     w, whole = Window.orderBy(order), Window.partitionBy()
     first, last = F.min(order).over(whole), F.max(order).over(whole)
-    return shown.select(order, F.row_number().over(w).alias("position"), F.count("*").over(whole).alias("total"), F.coalesce(F.lead(order).over(w), first).alias("next"), F.coalesce(F.lag(order).over(w), last).alias("previous"))
+    out = shown.select(order, F.row_number().over(w).alias("position"), F.count("*").over(whole).alias("total"), F.coalesce(F.lead(order).over(w), first).alias("next"), F.coalesce(F.lag(order).over(w), last).alias("previous"))
+    if visited is None:
+        return out
+    return out.join(visited.select(order).distinct().withColumn("visited", F.lit(True)), order, "left").withColumn("visited", F.coalesce("visited", F.lit(False)))
 
 
 def step(shown: DataFrame, order: str, at: int, forward: bool = True) -> int | None:

@@ -15,12 +15,85 @@ from pyspark.sql import functions as F
 
 from probewell import functions as pf
 
-STATUS_NAMES = {200: "ok", 301: "moved permanently", 302: "found", 303: "see other", 307: "temporary redirect", 308: "permanent redirect", 400: "bad request", 401: "unauthorized", 403: "forbidden", 404: "not found", 405: "not allowed", 408: "request timeout", 410: "gone", 429: "too many requests", 500: "internal server error", 502: "bad gateway", 503: "service unavailable", 504: "gateway timeout"}
+# The names by which HTTP status codes go, in the spelling of reports.
+STATUS_NAMES = """
+100 continue
+101 switching protocols
+102 processing
+103 checkpoint
+122 uri too long, request uri too long
+200 ok, okay, all ok, all okay, all good, \u2713
+201 created
+202 accepted
+203 non authoritative info, non authoritative information
+204 no content
+205 reset content, reset
+206 partial content, partial
+207 multi status, multiple status, multi stati, multiple stati
+208 already reported
+226 im used
+300 multiple choices
+301 moved permanently, moved
+302 found
+303 see other, other
+304 not modified
+305 use proxy
+306 switch proxy
+307 temporary redirect, temporary moved, temporary
+308 permanent redirect, resume incomplete, resume
+400 bad request, bad
+401 unauthorized
+402 payment required, payment
+403 forbidden
+404 not found, -o-
+405 method not allowed, not allowed
+406 not acceptable
+407 proxy authentication required, proxy auth, proxy authentication
+408 request timeout, timeout
+409 conflict
+410 gone
+411 length required
+412 precondition failed, precondition
+413 request entity too large
+414 request uri too large
+415 unsupported media type, unsupported media, media type
+416 requested range not satisfiable, requested range, range not satisfiable
+417 expectation failed
+418 im a teapot, teapot, i am a teapot
+421 misdirected request
+422 unprocessable entity, unprocessable
+423 locked
+424 failed dependency, dependency
+425 unordered collection, unordered
+426 upgrade required, upgrade
+428 precondition required, precondition
+429 too many requests, too many
+431 header fields too large, fields too large
+444 no response, none
+449 retry with, retry
+450 blocked by windows parental controls, parental controls
+451 unavailable for legal reasons, legal reasons
+499 client closed request
+500 internal server error, server error, \u2717
+501 not implemented
+502 bad gateway
+503 service unavailable, unavailable
+504 gateway timeout
+505 http version not supported, http version
+506 variant also negotiates
+507 insufficient storage
+509 bandwidth limit exceeded, bandwidth
+510 not extended
+511 network authentication required, network auth, network authentication
+"""
+NAMES = {int(line[:3]): line[4:] for line in STATUS_NAMES.split("\n") if line}
+RESOLVER = "https://identifiers.org/resolve?query="
 
 
 def status_name(status: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for k, v in STATUS_NAMES.items() for x in (k, v)])
-    return F.concat(status.cast("string"), F.lit(" ("), F.coalesce(F.try_element_at(names, status), F.lit("unknown")), F.lit(")"))
+    """404 (not found, -o-); a missing status is None (unknown)."""
+    names = F.create_map(*[F.lit(x) for k, v in NAMES.items() for x in (k, v)])
+    return F.concat(F.coalesce(status.cast("string"), F.lit("None")), F.lit(" ("), F.coalesce(F.try_element_at(names, status), F.lit("unknown")), F.lit(")"))
 
 
 def answered(pings: DataFrame) -> DataFrame:
@@ -47,38 +120,51 @@ def status_errors(pings: DataFrame, valid_rate: float = 0.0, random_rate: float
     return by.filter("valid_over or random_over")
 
 
-def collected(examples: DataFrame, pings: DataFrame) -> DataFrame:
-    """Examples (rid, signature, compact_id, random) counted, each with the number of all pings of its compact id."""
-    n = examples.groupBy("rid", "signature", "compact_id", "random").agg(F.count("*").alias("n"))
-    total = pings.groupBy("rid", "compact_id").agg(F.count("*").alias("total"))
+def collected(examples: DataFrame, pings: DataFrame, keys: tuple[str, ...] = ("signature",)) -> DataFrame:
+    """Examples (rid, keys, compact_id, random) counted, each with the number of all pings of its compact id.
+
+    Only the pings of ids with examples are counted.
+    """
+    n = examples.groupBy("rid", *keys, "compact_id", "random").agg(F.count("*").alias("n"))
+    total = pings.select("rid", "compact_id").join(n.select("rid", "compact_id").distinct(), ["rid", "compact_id"], "left_semi").groupBy("rid", "compact_id").agg(F.count("*").alias("total"))
     return n.join(total, ["rid", "compact_id"])
 
 
+def _example(x) -> Column:
+    return F.concat(x.n.cast("string"), F.lit("/"), x.total.cast("string"), F.lit(" x ["), x.compact_id, F.lit(f"]({RESOLVER}"), x.compact_id, F.lit(") "), F.when(x.random, "(random)").otherwise("(non-random)"))
+
+
 def example_text(issues: DataFrame) -> DataFrame:
     """One row for each (rid, type, signature): its examples as texts, the most frequent first, then by compact id."""
     e = F.struct((-F.col("n")).alias("m"), "compact_id", "random", "n", "total")
-    text = lambda x: F.concat(x.n, F.lit("/"), x.total, F.lit(" ["), x.compact_id, F.lit("] "), F.when(x.random, "(random)").otherwise("(non-random)"))
-    return issues.groupBy("rid", "type", "signature").agg(F.transform(F.sort_array(F.collect_list(e)), text).alias("examples"))
+    return issues.groupBy("rid", "type", "signature").agg(F.transform(F.sort_array(F.collect_list(e)), _example).alias("examples"))
 
 
-def _issue(df: DataFrame, kind: str, level: int) -> DataFrame:
-    return df.select("rid", F.lit(kind).alias("type"), F.lit(level).alias("level"), F.col("signature").cast("string").alias("signature"), "compact_id", "random", "n", "total")
+def _issue(df: DataFrame, kind, level: int, value=None) -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return df.select("rid", kind.alias("type"), F.lit(level).alias("level"), F.col("signature").cast("string").alias("signature"), F.lit(value).cast("double").alias("value") if value is None else value.alias("value"), "compact_id", "random", "n", "total")
 
 
 def http_status_error(pings: DataFrame, valid_rate: float = 0.0, random_rate: float = 1.0, **_) -> DataFrame:
     errors = status_errors(pings, valid_rate, random_rate).select("rid", "status", "valid_over", "random_over")
     hit = answered(pings).join(errors, ["rid", "status"]).filter((~F.col("random") & F.col("valid_over")) | (F.col("random") & F.col("random_over")))
-    return _issue(collected(hit.withColumn("signature", F.col("status")), pings), "HTTPStatusError", 1)
+    return _issue(collected(hit.withColumn("signature", F.col("status")), pings), "HTTPStatusError", 3)
 
 
-def flag_errors(pings: DataFrame, flag: str) -> DataFrame:
-    """One example for each hop that has the flag."""
-    hops = pings.select("rid", "compact_id", "random", F.explode("redirects").alias("hop")).filter(f"hop.{flag}")
-    return collected(hops.withColumn("signature", pf.lui_link("hop.url", "compact_id")), pings)
+#: The flag of a hop and the type of issue that it makes, by validator.
+FLAGS = {"dns-error": ("dns_error", "DNSError"), "invalid-response": ("invalid_response", "InvalidResponseError"), "ssl-error": ("ssl_error", "SSLError")}
 
 
-def _flag(flag: str, kind: str) -> Callable[..., DataFrame]:
-    return lambda pings, **_: _issue(flag_errors(pings, flag), kind, 2)
+def flag_errors(pings: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """One example for each hop that has a flag of `flags` (flag -> type), all flags in one pass: (rid, type, signature, ...)."""
+    hops = pings.select("rid", "lui", "compact_id", "random", F.explode("redirects").alias("hop"))
+    kinds = F.array_compact(F.array(*[F.when(F.col(f"hop.{f}"), F.lit(kind)) for f, kind in flags.items()]))
+    hits = hops.select("rid", "lui", "compact_id", "random", "hop.url", F.explode(kinds).alias("type"))
+    return collected(hits.withColumn("signature", pf.lui_link("url", "lui")), pings, ("type", "signature"))
+
+
+def _flag(name: str) -> Callable[..., DataFrame]:
+    return lambda pings, **_: _issue(flag_errors(pings, dict([FLAGS[name]])), F.col("type"), 2)
 
 
 def neighbour_hops(pings: DataFrame) -> DataFrame:
@@ -88,46 +174,76 @@ def neighbour_hops(pings: DataFrame) -> DataFrame:
 
 
 def scheme_only_redirects(pings: DataFrame) -> DataFrame:
-    """Neighbouring hops that differ in the scheme alone, by the link and the pair of schemes."""
+    """Neighbouring hops that differ in the scheme alone, by their links: from => to."""
     hops = neighbour_hops(pings).filter((F.col("url") != F.col("next")) & (pf.without_scheme(F.col("url")) == pf.without_scheme(F.col("next"))))
-    scheme = lambda c: F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    signature = F.concat(scheme("url"), F.lit("->"), scheme("next"), F.lit(" "), pf.without_scheme(pf.lui_link("url", "lui")))
-    return collected(hops.withColumn("signature", signature), pings)
+    return collected(hops.withColumn("signature", F.concat(pf.lui_link("url", "lui"), F.lit(" => "), pf.lui_link("next", "lui"))), pings)
 
 
 def scheme_only_redirect(pings: DataFrame, **_) -> DataFrame:
-    return _issue(scheme_only_redirects(pings), "SchemaRedirectError", 1)
+    return _issue(scheme_only_redirects(pings), "SchemaRedirectError", 2)
 
 
 def redirect_chains(pings: DataFrame) -> DataFrame:
-    """Whole chains of (link, status), the empty one included."""
-    hop = lambda h: F.concat(F.coalesce(F.replace(h.url, F.col("lui"), F.lit("{$id}")), F.lit("-")), F.lit(" "), F.coalesce(status_name(h.status), F.lit("unknown")))
-    return collected(pings.withColumn("signature", F.array_join(F.transform("redirects", hop), " > ")), pings)
+    """Whole chains as JSON lists of URL and HTTP Status, the empty one included. A URL is a link as of lui_link()."""
+    hop = lambda h: F.struct(pf.lui_link(h.url, F.col("lui")).alias("URL"), status_name(h.status).alias("HTTP Status"))
+    chains = pings.groupBy("rid", "lui", "compact_id", "random", "redirects").agg(F.count("*").alias("same"))
+    n = chains.withColumn("signature", F.to_json(F.transform("redirects", hop))).groupBy("rid", "signature", "compact_id", "random").agg(F.sum("same").alias("n"))
+    return n.join(pings.groupBy("rid", "compact_id").agg(F.count("*").alias("total")), ["rid", "compact_id"])
 
 
 def redirection_chain(pings: DataFrame, **_) -> DataFrame:
     return _issue(redirect_chains(pings), "RedirectChain", 0)
 
 
+def _by_compact_id(pings: DataFrame, analysis: DataFrame) -> DataFrame:
+    """analysis (rid, lui, information_content, length, noise[, ord]) by compact id; of several the last by ord, or else the largest."""
+    ids = pings.select("rid", "lui", "compact_id").distinct()
+    items = F.struct("information_content", "length", "noise")
+    last = F.max_by(items, F.struct("ord", items)) if "ord" in analysis.columns else F.max(items)
+    return analysis.join(ids, ["rid", "lui"]).groupBy("rid", "compact_id").agg(last.alias("i")).select("rid", "compact_id", "i.*")
+
+
+def low_content(pings: DataFrame, analysis: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Pings with content and status 200 of providers whose best id has at most `threshold` of content of its own: counted examples
+    with `value`, that best content, and the content, length and noise of each example's id, null where it wasn't analysed."""
+    low = analysis.groupBy("rid").agg(F.max("information_content").alias("value")).filter(F.col("value") <= threshold)
+    good = answered(pings).filter("status = 200 and not empty_content").join(low, "rid")
+    found = collected(good.withColumn("signature", pf.percent(F.col("value"))), pings).join(low, "rid")
+    return found.join(_by_compact_id(pings.join(low, "rid", "left_semi"), analysis), ["rid", "compact_id"], "left")
+
+
 def information_content(pings: DataFrame, analysis: DataFrame | None = None, threshold: float = 0.1, **_) -> DataFrame:
-    """Providers whose best id has at most `threshold` of content of its own; examples by that content."""
+    """Providers whose best id has at most `threshold` of content of its own."""
     if analysis is None:
         raise ValueError("information-content needs the analysis of the pings")
-    low = analysis.groupBy("rid").agg(F.max("information_content").alias("best")).filter(F.col("best") <= threshold)
-    items = F.max_by("information_content", "length").alias("content")
-    content = analysis.join(low, "rid").groupBy("rid", "lui").agg(items)
-    good = answered(pings).filter("status = 200 and not empty_content").join(content, ["rid", "lui"])
-    return _issue(collected(good.withColumn("signature", pf.percent(F.col("content"))), pings), "InformationContent", 1)
+    return _issue(low_content(pings, analysis, threshold), "InformationContent", 1, F.col("value"))
+
+
+def content_report(pings: DataFrame, analysis: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """(rid, content, examples): for each provider of low_content() its analysed examples, those with most content first, each as
+    (id, content, length, noise) in words."""
+    found = low_content(pings, analysis, threshold).filter("information_content is not null")
+    row = F.struct((-F.col("information_content")).alias("m"), (-F.col("n")).alias("k"), "compact_id", "random", "n", "total", "information_content", "length", "noise")
+    text = lambda x: F.struct(_example(x).alias("id"), pf.percent(x.information_content).alias("content"), F.concat(x.length.cast("string"), F.lit(" words")).alias("length"), x.noise.alias("noise"))
+    return found.groupBy("rid", F.col("signature").alias("content")).agg(F.transform(F.sort_array(F.collect_list(row)), text).alias("examples"))
+
+
+@dataclass
+class Verdict:
+    """What a validator may return instead of issues alone: issues, and entries (rid) that are excluded whatever others found."""
+
+    issues: DataFrame
+    excluded: DataFrame
 
 
 VALIDATORS: dict[str, Callable[..., DataFrame]] = {
-    "dns-error": _flag("dns_error", "DNSError"),
+    "dns-error": _flag("dns-error"),
     "http-status-error": http_status_error,
     "information-content": information_content,
-    "invalid-response": _flag("invalid_response", "InvalidResponseError"),
+    "invalid-response": _flag("invalid-response"),
     "redirection-chain": redirection_chain,
     "scheme-only-redirect": scheme_only_redirect,
-    "ssl-error": _flag("ssl_error", "SSLError"),
+    "ssl-error": _flag("ssl-error"),
 }
 #: Parameters that a validator takes in a specification, with their types.
 PARAMETERS: dict[str, dict[str, type]] = {"information-content": {"threshold": float}, "http-status-error": {"valid_rate": float, "random_rate": float}}
@@ -160,20 +276,40 @@ def parse_spec(text: str) -> Spec:
 
 
 def find_issues(pings: DataFrame, registry: DataFrame, specs: list[str], **shared) -> DataFrame:
-    """Issues of all validators for the providers in the registry (rid); others are left out before any validator runs."""
+    """Issues of all validators for the providers in the registry (rid); others are left out before any validator runs.
+
+    A validator returns issues, or a Verdict: entries that one excludes have no issues at all. Flags are looked for in one pass.
+    """
     known = pings.join(registry.select("rid").distinct(), "rid", "left_semi")
-    out = None
-    for spec in map(parse_spec, specs):
-        issues = VALIDATORS[spec.name](known, **shared | spec.parameters)
-        out = issues if out is None else out.unionByName(issues)
-    if out is None:
+    parsed, found, excluded = [parse_spec(s) for s in specs], [], None
+    flags = dict(FLAGS[s.name] for s in parsed if s.name in FLAGS and VALIDATORS[s.name].__module__ == __name__)
+    if len(flags) > 1:
+        found.append(_issue(flag_errors(known, flags), F.col("type"), 2))
+        parsed = [s for s in parsed if not (s.name in FLAGS and FLAGS[s.name][0] in flags)]
+    for spec in parsed:
+        got = VALIDATORS[spec.name](known, **shared | spec.parameters)
+        if isinstance(got, Verdict):
+            gone = got.excluded.select("rid").distinct()
+            excluded, got = gone if excluded is None else excluded.unionByName(gone), got.issues
+        found.append(got)
+    if not found:
         raise ValueError("no validator given")
-    return out
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out if excluded is None else out.join(excluded, "rid", "left_anti").select(out.columns)
 
 
 def identities(issues: DataFrame) -> DataFrame:
     """(rid, type, identity): one row for each issue of a provider, with the key that tags refer to."""
-    codes = F.array_sort(F.collect_set("signature"))
-    g = issues.groupBy("rid", "type").agg(codes.alias("s"))
-    id_ = F.when(F.col("type") == "HTTPStatusError", F.to_json(F.struct(F.col("s").alias("codes"), "rid", "type"))).when(F.col("type") == "SchemaRedirectError", F.to_json(F.struct(F.col("s").alias("links"), "rid", "type"))).otherwise(F.to_json(F.struct("rid", "type")))
+    g = issues.groupBy("rid", "type").agg(F.array_sort(F.collect_set("signature")).alias("s"), F.round(F.max("value"), 1).alias("v"))
+    codes = F.array_sort(F.transform("s", lambda x: x.try_cast("int")))
+    fields = {
+        "HTTPStatusError": F.struct("rid", codes.alias("status_code"), "type"),
+        "SchemaRedirectError": F.struct(F.col("s").alias("redirects"), "rid", "type"),
+        "InformationContent": F.struct("rid", F.col("v").alias("total_information_content"), "type"),
+    }
+    id_ = F.to_json(F.struct("rid", "type"))
+    for kind, struct in fields.items():
+        id_ = F.when(F.col("type") == kind, F.to_json(struct)).otherwise(id_)
     return g.select("rid", "type", id_.alias("identity"))

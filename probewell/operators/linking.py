@@ -43,22 +43,57 @@ def ngrams(names: DataFrame, longest: int = 4) -> DataFrame:
 
 
 def search(candidates: DataFrame, labels: DataFrame, strict: bool = True, limit: int = 10) -> DataFrame:
-    """(candidate, qid, hits, rank): labels (qid, label) that hold all words (strict) or any word of a candidate, the best ten.
+    """(candidate, qid, label, hits, rank): labels (qid, label) that hold all words (strict) or any word of a candidate, the best ten.
 
-    An inverted index of words joins both sides; hits counts all labels found.
+    An inverted index of words joins both sides; hits counts all labels found. A strict candidate looks up its rarest word only,
+    and its other words in what that finds; labels and candidates of equal words are one in the join.
     """
-    c = candidates.select("candidate").distinct().withColumn("cw", F.array_distinct(pf.words("candidate")))
-    l_ = labels.withColumn("lw", F.array_distinct(pf.words("label")))
-    pairs = c.select("candidate", F.size("cw").alias("need"), F.explode("cw").alias("word")).join(l_.select("qid", "label", F.size("lw").alias("size"), F.explode("lw").alias("word")), "word")
-    found = pairs.groupBy("candidate", "need", "qid", "label", "size").agg(F.count("*").alias("common"))
+    c = candidates.select("candidate").distinct().withColumn("cw", F.array_sort(F.array_distinct(pf.words("candidate"))))
+    cw = c.select("cw").distinct().filter(F.size("cw") > 0)
+    l_ = labels.select("qid", "label", F.array_sort(F.array_distinct(pf.words("label"))).alias("lw"))
+    lw = l_.select("lw").distinct().withColumn("word", F.explode("lw"))
+    asked = cw.withColumn("word", F.explode("cw"))
     if strict:
-        found = found.filter("common = need")
-    score = F.col("common") / (F.col("need") + F.col("size") - F.col("common"))
+        # A word that no label holds counts 0: its candidate finds nothing.
+        n = lw.groupBy("word").agg(F.count("*").alias("n"))
+        asked = asked.join(n, "word", "left").groupBy("cw").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    pairs = asked.join(lw, "word")
+    if strict:
+        pairs = pairs.filter(F.size(F.array_except("cw", "lw")) == 0)
+    pairs = pairs.select("cw", "lw").distinct()
+    found = pairs.withColumn("score", iou(F.col("cw"), F.col("lw"))).join(l_, "lw").join(c, "cw")
     w = Window.partitionBy("candidate")
-    found = found.withColumn("hits", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(score.desc(), "qid")))
+    found = found.withColumn("hits", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "qid", "label")))
     return found.filter(F.col("rank") <= limit).select("candidate", "qid", "label", "hits", "rank")
 
 
+def next_mentions(mentions: DataFrame) -> DataFrame:
+    """(id, start, end, text, next_start, next_end, next_text): each mention (id, start, end, text) with all those that start where the
+    first one after its end does; nulls where none follows. A text's starts meet in one array."""
+    starts = mentions.groupBy("id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    m = mentions.join(starts, "id").withColumn("next_start", F.array_min(F.filter("starts", lambda s: s >= F.col("end")))).drop("starts")
+    after = mentions.select("id", F.col("start").alias("next_start"), F.col("end").alias("next_end"), F.col("text").alias("next_text")).distinct()
+    return m.join(after, ["id", "next_start"], "left").select("id", "start", "end", "text", "next_start", "next_end", "next_text")
+
+
+def chained_candidates(mentions: DataFrame, hits: DataFrame, longest: int = 4) -> DataFrame:
+    """(id, candidate, strict) from mentions (id, start, end, text) and the texts (text, lower case) that a strict search finds.
+
+    A mention with hits is a candidate, and so is each chain of it and of following mentions, of up to `longest`, as long as each has
+    hits of its own. A mention without hits is to be searched loosely.
+    """
+    m = mentions.withColumn("text", F.lower(F.trim("text"))).distinct()
+    known = hits.select(F.lower("text").alias("text")).distinct()
+    found = m.join(known, "text", "left_semi")
+    out = found.select("id", F.col("text").alias("candidate"), F.lit(True).alias("strict")).unionByName(m.join(known, "text", "left_anti").select("id", F.col("text").alias("candidate"), F.lit(False).alias("strict")))
+    follows = next_mentions(m).filter("next_text is not null").join(known.withColumnRenamed("text", "next_text"), "next_text", "left_semi").select("id", "start", "end", "next_start", "next_end", "next_text").distinct()
+    chain = found.select("id", "start", "end", F.col("text").alias("candidate"))
+    for _ in range(longest - 1):
+        chain = chain.join(follows, ["id", "start", "end"]).select("id", F.col("next_start").alias("start"), F.col("next_end").alias("end"), F.concat_ws(" ", "candidate", "next_text").alias("candidate"))
+        out = out.unionByName(chain.select("id", "candidate", F.lit(True).alias("strict")))
+    return out.distinct()
+
+
 def iou(a, b):
     """Common words over all words, both distinct."""
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
@@ -80,12 +115,13 @@ def filter_matches(pairs: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def extract_greedy(matches: DataFrame) -> DataFrame:
-    """(id, chosen): candidates (id, name, candidate, hits) in order of few hits, many words, length and text, each taken if its words are still there.
+    """(id, chosen): candidates (id, name, candidate, hits) in order of few hits, many words, length and text, the last three from
+    the largest down, each taken if its words are still there.
 
     The words left are a sorted array; taking a candidate removes one occurrence of each of its words.
     """
-    c = F.struct(F.col("hits").alias("hits"), (-F.size(pf.words("candidate"))).alias("n"), (-F.length("candidate")).alias("l"), "candidate")
-    g = matches.groupBy("id", "name").agg(F.sort_array(F.collect_set(c)).alias("cs"))
+    c = F.struct((-F.col("hits")).alias("m"), F.size(pf.words("candidate")).alias("n"), F.length("candidate").alias("l"), "candidate")
+    g = matches.groupBy("id", "name").agg(F.sort_array(F.collect_set(c), asc=False).alias("cs"))
     count = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
 
     def take(state, item):
@@ -131,3 +167,37 @@ def verdicts(registry: DataFrame, differences: DataFrame) -> DataFrame:
     """(iid, ok): whether nothing is to change; an institution without candidates is ok."""
     v = differences.groupBy("iid").agg(F.every(F.col("verdict").isin("KEEP", "SAME")).alias("ok"))
     return registry.select("iid").join(v, "iid", "left").select("iid", F.coalesce("ok", F.lit(True)).alias("ok"))
+
+
+def entity_details(entities: DataFrame, details: DataFrame, countries: DataFrame) -> DataFrame:
+    """(uuid, name, homeUrl, description, rorId, location) of entities (uuid), each once: from details (uuid, ord, name, homeUrl, description,
+    rorId, country), the last by ord for each, and countries (code, name). rorId becomes an address; an unknown country is null."""
+    fields = F.struct("name", "homeUrl", "description", pf.ror_url("rorId").alias("rorId"), "country")
+    d = details.join(entities.select("uuid").distinct(), "uuid", "left_semi").groupBy("uuid").agg(F.max_by(fields, "ord").alias("d")).select("uuid", "d.*")
+    place = F.when(F.col("_n").isNotNull(), F.struct(F.col("country").alias("countryCode"), F.col("_n").alias("countryName")))
+    return d.join(countries.select(F.col("code").alias("country"), F.col("name").alias("_n")), "country", "left").select("uuid", "name", "homeUrl", "description", "rorId", place.alias("location"))
+
+
+def with_details(entities: DataFrame, details: DataFrame) -> DataFrame:
+    """entities (uuid, ...) with their details, nulls where there are none; details without any field besides the id don't count."""
+    fields = [c for c in details.columns if c != "uuid"]
+    some = details.filter(F.coalesce(*[F.col(c).cast("string") for c in fields]).isNotNull())
+    return entities.join(some, "uuid", "left")
+
+
+def institution_issues(registry: DataFrame, differences: DataFrame) -> DataFrame:
+    """(iid, uuid, name, identity, level, detail): one issue for each candidate of the institutions that aren't ok.
+
+    name is what the candidate and the registry share, else the candidate's, else the registry's. detail is the JSON of all properties
+    with verdict and values, addresses in angle brackets; the identity holds that of the ROR id.
+    """
+    bad = verdicts(registry, differences).filter("not ok").select("iid")
+    d = differences.join(bad, "iid", "left_semi")
+    show = lambda c: pf.wrapped(F.col("property"), F.col(c))
+    same = F.col("verdict") == "SAME"
+    entry = F.struct(F.when(~same, show("new")).alias("new"), F.when(~same, show("old")).alias("old"), F.when(same, show("old")).alias("same"), F.col("verdict").alias("type"))
+    of = lambda p: F.max(F.when(F.col("property") == p, entry))
+    g = d.groupBy("iid", "uuid").agg(*[of(p).alias(p) for p in PROPERTIES])
+    g = g.withColumn("title", F.coalesce("name.same", "name.new", "name.old"))
+    key = F.to_json(F.struct("iid", F.col("title").alias("name"), "rorId", F.lit("InstitutionValidator").alias("type")))
+    return g.select("iid", "uuid", F.col("title").alias("name"), key.alias("identity"), F.lit(3).alias("level"), F.to_json(F.struct(*PROPERTIES)).alias("detail"))

@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read again, so that later plans start from it."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one on a local master, as in tests, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="probewell-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read again, so that later plans start from it."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a table that stored() returned and nothing reads any more."""
+    spark = table.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def keep_known(rows: DataFrame, known: DataFrame, on: list[str], least: int = 8192, most: int = 100_000) -> DataFrame:
+    """The rows whose key `on` is in known (on, n), n the number of rows with that key; a key is there once.
+
+    Keys of over `least` rows and over 1 / `most` of all are fewer than `most`, so they are broadcast, and their
+    rows aren't shuffled; the others meet theirs in a join. Both tables should be stored ones.
+    """
+    cut = max(least, (known.agg(F.sum("n")).first()[0] or 0) // most)
+    heavy = F.broadcast(known.filter(F.col("n") > cut).select(*on))  # fewer than `most` keys
+    light = known.filter(F.col("n") <= cut).select(*on)
+    return rows.join(heavy, on, "left_semi").unionByName(rows.join(heavy, on, "left_anti").join(light, on, "left_semi"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from probewell import functions as pf
 from probewell.operators import curation, fragments, issues, jobs, linking
+from probewell.operators.stored import shared_folder
 from probewell.plans.views import pings, view, with_views
-from probewell.sources import nest_datamine, upsert_tags
+from probewell.sources import known_ids as known_id_rows
+from probewell.sources import nest_datamine, read_jobs, upsert_tags, write_json, write_known_ids
 from probewell.streaming import failure_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +30,13 @@ def query(sql: str | None = None):
     return add
 
 
-ANSWERED = "a as (select *, lui as compact_id from v_ping where n_hops > 0)"
+ANSWERED = "a as (select * from v_ping where n_hops > 0)"
+TOTALS = "c as (select rid, compact_id, count(*) as total from v_ping group by all)"
+
+
+def _link(url: str) -> str:
+    return f"case when contains({url}, lui) then replace({url}, lui, '{{$id}}') else concat('<', {url}, '>') end"
+
 ERRORS = f"""{ANSWERED}, t as (select rid, count(*) filter (where not random) as valid_total, count(*) filter (where random) as random_total from a group by rid),
  e as (select rid, final_status as status, count(*) filter (where not random) as n_valid, count(*) filter (where random) as n_random from a where final_status >= 300 group by 1, 2),
  x as (select e.*, valid_total, random_total, coalesce(n_valid / nullif(valid_total, 0)::double > 0.2, false) as valid_over, coalesce(n_random / nullif(random_total, 0)::double > 0.3, false) as random_over from e join t using (rid))"""
@@ -39,8 +48,8 @@ def status_error(spark, d):
 
 
 @query(f"""with {ERRORS}, h as (select a.rid, cast(a.final_status as varchar) as signature, compact_id, random, count(*) as n from a join x on a.rid = x.rid and a.final_status = x.status
-  where (not random and valid_over) or (random and random_over) group by all), c as (select rid, lui as compact_id, count(*) as total from v_ping group by all)
- select h.rid, 'HTTPStatusError' as type, 1 as level, signature, h.compact_id, random, n, total from h join c on h.rid = c.rid and h.compact_id = c.compact_id""")
+  where (not random and valid_over) or (random and random_over) group by all), {TOTALS}
+ select h.rid, 'HTTPStatusError' as type, 3 as level, signature, cast(null as double) as value, h.compact_id, random, n, total from h join c on h.rid = c.rid and h.compact_id = c.compact_id""")
 def status_error_examples(spark, d):
     return issues.http_status_error(pings(spark, d), 0.2, 0.3)
 
@@ -50,38 +59,67 @@ def status_frequency(spark, d):
     return issues.status_frequency(pings(spark, d))
 
 
-def _flag_sql(flag: str) -> str:
-    return f"""with h as (select rid, replace(first_url, lui, '{{$id}}') as signature, lui as compact_id, random, count(*) as n from v_ping where n_hops > 0 and {flag} group by all),
- c as (select rid, lui as compact_id, count(*) as total from v_ping group by all) select h.*, total from h join c using (rid, compact_id)"""
-
-
-def _flag(name: str, flag: str) -> None:
+def _flag(name: str, flag: str, kind: str) -> None:
     def f(spark, d):
-        return issues.flag_errors(pings(spark, d), flag)
+        return issues.flag_errors(pings(spark, d), {flag: kind})
 
     f.__name__ = name
-    query(_flag_sql(flag))(f)
+    query(f"""with h as (select rid, '{kind}' as type, {_link("first_url")} as signature, compact_id, random, count(*) as n from v_ping where n_hops > 0 and {flag} group by all),
+    {TOTALS} select h.*, total from h join c using (rid, compact_id)""")(f)
 
 
-for _name in ("dns", "ssl", "invalid"):
-    _flag(f"flag_error_{_name}", {"dns": "dns_error", "ssl": "ssl_error", "invalid": "invalid_response"}[_name])
+_flag("flag_error_dns", "dns_error", "DNSError")
+_flag("flag_error_ssl", "ssl_error", "SSLError")
+_flag("flag_error_invalid", "invalid_response", "InvalidResponseError")
 
 
-@query("""with h as (select rid, concat('http->https ', regexp_replace(replace(first_url, lui, '{$id}'), '^[A-Za-z][A-Za-z0-9+.-]*://', '')) as signature, lui as compact_id, random, count(*) as n from v_ping
-  where n_hops = 2 and first_url <> second_url and substr(first_url, 8) = substr(second_url, 9) group by all), c as (select rid, lui as compact_id, count(*) as total from v_ping group by all)
+@query(f"""with h as (select rid, concat({_link("first_url")}, ' => ', {_link("second_url")}) as signature, compact_id, random, count(*) as n from v_ping
+  where n_hops = 2 and first_url <> second_url and substr(first_url, 8) = substr(second_url, 9) group by all), {TOTALS}
  select h.*, total from h join c using (rid, compact_id)""")
 def scheme_only_redirect(spark, d):
     return issues.scheme_only_redirects(pings(spark, d))
 
 
-@query("""with n as (select *, coalesce(case final_status when 200 then '200 (ok)' when 404 then '404 (not found)' when 500 then '500 (internal server error)' end, 'unknown') as s from v_ping),
- h as (select rid, case n_hops when 0 then '' when 1 then concat(replace(first_url, lui, '{$id}'), ' ', s) else concat(replace(first_url, lui, '{$id}'), ' 301 (moved permanently) > ', replace(second_url, lui, '{$id}'), ' ', s) end as signature,
-  lui as compact_id, random, count(*) as n from n group by all), c as (select rid, lui as compact_id, count(*) as total from v_ping group by all)
+STATUS = "case final_status when 200 then '200 (ok, okay, all ok, all okay, all good, \u2713)' when 404 then '404 (not found, -o-)' when 500 then '500 (internal server error, server error, \u2717)' else 'None (unknown)' end"
+
+
+@query(f"""with n as (select *, {STATUS} as s, {_link("first_url")} as u, {_link("second_url")} as v from v_ping),
+ h as (select rid, concat('[', case n_hops when 0 then '' when 1 then concat('{{"URL":"', u, '","HTTP Status":"', s, '"}}')
+   else concat('{{"URL":"', u, '","HTTP Status":"301 (moved permanently, moved)"}},{{"URL":"', v, '","HTTP Status":"', s, '"}}') end, ']') as signature, compact_id, random, count(*) as n from n group by all), {TOTALS}
  select h.*, total from h join c using (rid, compact_id)""")
 def redirect_chain(spark, d):
     return issues.redirect_chains(pings(spark, d))
 
 
+@query(f"""with {ERRORS}, s as (select distinct a.rid, a.final_status from a join x on a.rid = x.rid and a.final_status = x.status where (not random and valid_over) or (random and random_over)),
+  h as (select rid, concat('{{"rid":', rid, ',"status_code":[', string_agg(final_status, ',' order by final_status), '],"type":"HTTPStatusError"}}') as identity, 'HTTPStatusError' as type from s group by rid),
+  f as (select distinct rid, concat({_link("first_url")}, ' => ', {_link("second_url")}) as l from v_ping where n_hops = 2 and first_url <> second_url and substr(first_url, 8) = substr(second_url, 9)),
+  g as (select rid, concat('{{"redirects":["', string_agg(l, '","' order by l), '"],"rid":', rid, ',"type":"SchemaRedirectError"}}') as identity, 'SchemaRedirectError' as type from f group by rid),
+  z as (select distinct rid, concat('{{"rid":', rid, ',"type":"SSLError"}}') as identity, 'SSLError' as type from v_ping where ssl_error and n_hops > 0)
+ select rid, type, identity from h union all select rid, type, identity from g union all select rid, type, identity from z""")
+def issue_identities(spark, d):
+    """The keys under which curators tag issues."""
+    found = issues.find_issues(pings(spark, d), view(spark, d, "v_resource"), ["http-status-error:valid_rate=0.2,random_rate=0.3", "scheme-only-redirect", "ssl-error"])
+    return issues.identities(found)
+
+
+#: An analysis of ids by arithmetic on the pings, so that the oracle has it too.
+ANALYSIS = "y as (select rid, lui, count(*) % 11 / 100.0::double + (rid % 9) / 100.0::double as information_content, count(*) as length, min(cast(lui as bigint)) % 4 as noise from v_ping group by rid, lui)"
+LOW = f"""{ANALYSIS}, b as (select rid, max(information_content) as value from y group by rid having max(information_content) <= 0.1),
+ h as (select v.rid, v.lui, v.compact_id, random, value, count(*) as n from v_ping v join b on v.rid = b.rid where n_hops > 0 and final_status = 200 and not empty_content group by all), {TOTALS}"""
+
+
+def _analysis(spark, d) -> DataFrame:
+    per = (F.count("*") % 11).cast("double") / 100.0 + (F.col("rid") % 9).cast("double") / 100.0
+    return view(spark, d, "v_ping").groupBy("rid", "lui").agg(per.alias("information_content"), F.count("*").alias("length"), (F.min(F.col("lui").cast("bigint")) % 4).alias("noise"))
+
+
+@query(f"with {LOW} select h.rid, h.compact_id, random, h.n, total, value, information_content, length, noise from h join c on h.rid = c.rid and h.compact_id = c.compact_id join y on h.rid = y.rid and h.lui = y.lui")
+def information_content_issue(spark, d):
+    """Examples of providers whose best id has little content of its own, with each id's analysis."""
+    return issues.low_content(pings(spark, d), _analysis(spark, d)).drop("signature")
+
+
 ISSUES = """i as (select distinct rid, 'DNSError' as type from v_ping where dns_error and n_hops > 0 union all select distinct rid, 'SSLError' from v_ping where ssl_error union all
  select distinct rid, 'InvalidResponseError' from v_ping where invalid_response), j as (select rid, type, rid % 7 = 0 and type = 'DNSError' as ignored from i)"""
 
@@ -179,6 +217,19 @@ def job_plan(spark, d):
     return jobs.plan(r, jobs.sample_ids(r, 2), known, num_valid=10, pings=2)
 
 
+@query(f"""with {JOBS}, g as (select q.rid, available, wanted, (select count(*) from s where s.rid = q.rid) as have, (select count(*) from s join r on r.rid = s.rid left join v_known k on k.prefix = r.prefix and k.lui = s.lui where s.rid = q.rid and k.lui is null) as unknown from q)
+ select rid, 2 * (have + least(available, greatest(0, 6 - have))) as jobs, 2 * unknown as random, 0 as wrong from g where available >= 6""")
+def job_plan_counts(spark, d):
+    """Jobs, random ones, and addresses that aren't the filled pattern, for each resource whose namespace knows enough ids."""
+    r = _resources(spark, d)
+    known = view(spark, d, "v_known").withColumnRenamed("prefix", "namespace")
+    s = jobs.sample_ids(r, 2)
+    free = jobs.available(r, known.withColumnRenamed("namespace", "prefix"), s).filter("available >= 6").select("rid")
+    plan = jobs.plan(r, s, known, num_valid=6, pings=2).join(free, "rid", "left_semi")
+    good = F.concat(F.lit("https://p"), F.col("rid").cast("string"), F.lit(".example.org/"), F.col("lui"))
+    return plan.groupBy("rid").agg(F.count("*").alias("jobs"), F.count_if("random").alias("random"), F.count_if(F.col("url") != good).alias("wrong"))
+
+
 def _plain(spark, d, table="v_content") -> DataFrame:
     c = view(spark, d, table)
     return c.select("grp", F.col("lui").alias("doc"), F.filter(F.split(F.regexp_replace(F.lower("content"), "[^a-z]+", " "), " "), lambda t: t != "").alias("tokens"))
@@ -192,15 +243,37 @@ def tokenise_plain(spark, d):
 
 
 @query("""with w as (select grp, lui as doc, list_filter(string_split(regexp_replace(lower(content), '[^a-z]+', ' ', 'g'), ' '), lambda t: t <> '') as tokens from v_content),
- s as (select grp, doc, tokens, unnest(generate_series(1, 3)) as k from w), p as (select grp, doc, k, tokens, unnest(generate_series(1, len(tokens) - k + 1)) as pos from s where len(tokens) >= k),
- h as (select grp, doc, k, pos, array_to_string(tokens[pos:pos + k - 1], ' ') as t from p), c as (select grp, k, t from h group by all having count(distinct doc) > 1),
+ s as (select grp, doc, tokens, unnest(generate_series(1, 5)) as k from w), p as (select grp, doc, k, tokens, unnest(generate_series(1, len(tokens) - k + 1)) as pos from s where len(tokens) >= k),
+ h as (select grp, doc, k, pos, array_to_string(tokens[pos:pos + k - 1], ' ') as t from p), c as (select grp, k, t from h group by all having min(doc) <> max(doc)),
  m as (select h.grp, doc, pos, max(h.k) as m from h join c on h.grp = c.grp and h.k = c.k and h.t = c.t group by 1, 2, 3)
  select grp, doc, count(*) as matched, cast(sum(m) as bigint) as total from m group by 1, 2""")
 def shingle_match_any(spark, d):
-    m = fragments.shingle_matches(_plain(spark, d), 3, "any")
+    """Longest matches of up to five tokens with any other document of the source."""
+    m = fragments.shingle_matches(_plain(spark, d), 5, "any")
     return m.groupBy("grp", "doc").agg(F.count("*").alias("matched"), F.sum("m").cast("long").alias("total"))
 
 
+@query("""with w as (select cast(lui as bigint) // 2 as grp, lui as doc, list_filter(string_split(regexp_replace(lower(content), '[^a-z]+', ' ', 'g'), ' '), lambda t: t <> '') as tokens from v_content),
+ q as (select grp, count(distinct doc) as need from w group by grp), s as (select grp, doc, tokens, unnest(generate_series(1, 3)) as k from w), p as (select grp, doc, k, tokens, unnest(generate_series(1, len(tokens) - k + 1)) as pos from s where len(tokens) >= k),
+ h as (select grp, doc, k, pos, array_to_string(tokens[pos:pos + k - 1], ' ') as t from p), c as (select h.grp, k, t from h join q using (grp) group by h.grp, k, t, need having count(distinct doc) = need),
+ m as (select h.grp, doc, pos, max(h.k) as m from h join c on h.grp = c.grp and h.k = c.k and h.t = c.t group by 1, 2, 3)
+ select grp, doc, count(*) as matched, cast(sum(m) as bigint) as total from m group by 1, 2""")
+def shingle_match_all(spark, d):
+    """Longest matches of up to three tokens with all other documents of a pair of neighbouring ids."""
+    pairs = _plain(spark, d).withColumn("grp", F.expr("cast(doc as bigint) div 2"))
+    m = fragments.shingle_matches(pairs, 3, "all")
+    return m.groupBy("grp", "doc").agg(F.count("*").alias("matched"), F.sum("m").cast("long").alias("total"))
+
+
+@query("""with w as (select grp, lui as doc, list_filter(string_split(regexp_replace(lower(content), '[^a-z]+', ' ', 'g'), ' '), lambda t: t <> '') as tokens from v_content),
+ p as (select grp, doc, tokens, unnest(generate_series(1, len(tokens) - 2)) as pos from w where len(tokens) >= 3), h as (select grp, doc, pos, array_to_string(tokens[pos:pos + 2], ' ') as t from p),
+ c as (select grp, t from h group by all having min(doc) <> max(doc)), v as (select distinct h.grp, doc, pos + unnest([0, 1, 2]) as at from h join c on h.grp = c.grp and h.t = c.t) select grp, doc, count(*) as covered from v group by 1, 2""")
+def shared_coverage(spark, d):
+    """How many tokens of each document lie in runs of three or more that another document of its source has too."""
+    m = fragments.shingle_matches(_plain(spark, d), 3, "any").filter("m = 3")
+    return m.select("grp", "doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("at")).distinct().groupBy("grp", "doc").agg(F.count("*").alias("covered"))
+
+
 @query()
 def tokens_of_pages(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
@@ -209,8 +282,9 @@ def tokens_of_pages(spark, d):
 
 @query()
 def information_content(spark, d):
-    """Content of each document that its source's other documents don't hold."""
-    t = view(spark, d, "v_content").select("grp", "lui", F.lit(0).alias("ord"), pf.plain_tokens(F.col("content")).alias("tokens"))
+    """What two pings of an id have in common and their source's other ids don't hold; two neighbouring documents are an id's pings."""
+    doc = F.col("lui").cast("long")
+    t = view(spark, d, "v_content").select("grp", F.floor(doc / 2).cast("string").alias("lui"), (doc % 2).alias("ord"), pf.plain_tokens(F.col("content")).alias("tokens"))
     return fragments.content_scores(fragments.shared_by_group(fragments.common_by_id(t)))
 
 
@@ -223,14 +297,35 @@ def class_closure(spark, d):
 ORACLES["class_closure"] = ORACLES["class_closure"].replace("with v_kb_class", "with recursive v_kb_class", 1)
 
 
-@query("""with a as (select n.iid, n.string, l.qid, l.label, list_distinct(string_split(lower(replace(n.string, ' / ', ' ')), ' ')) as x, list_distinct(string_split(lower(l.label), ' ')) as y
-   from v_name n join v_kb_label l on l.qid between n.iid and n.iid + 9),
- s as (select *, len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) as iou from a), r as (select *, row_number() over (partition by iid order by iou desc, qid) as k from s)
- select iid, qid, label, iou from r where k = 1""")
+WORDS = "list_sort(list_distinct(list_filter(string_split(lower(replace({0}, ' / ', ' ')), ' '), lambda t: t <> '')))"
+PAIRS = f"""n as (select distinct string, {WORDS.format("string")} as x from v_name), l as (select qid, label, {WORDS.format("label")} as y from v_kb_label),
+ nw as (select distinct x, unnest(x) as word from n), ly as (select distinct y from l), lw as (select y, unnest(y) as word from ly), xy as (select x, y, count(*)::double / (len(x) + len(y) - count(*)) as iou from nw join lw using (word) group by x, y)"""
+
+
+@query(f"""with {PAIRS}, b as (select x, max(iou) as iou from xy group by x), r as (select xy.x, l.qid, l.label, xy.iou, row_number() over (partition by xy.x order by l.qid, l.label) as k from xy join b on xy.x = b.x and xy.iou = b.iou join l on l.y = xy.y)
+ select string, qid, label, iou from n join r using (x) where k = 1""")
 def name_iou_top1(spark, d):
-    n, l_ = view(spark, d, "v_name"), view(spark, d, "v_kb_label")
-    near = n.withColumn("qid", F.explode(F.sequence(F.col("iid"), F.col("iid") + 9))).join(l_, "qid")
-    return linking.best_by_overlap(near.withColumnRenamed("string", "match"), ["iid"]).select("iid", "qid", "label", "iou")
+    """The label with the largest word overlap for each name, among all labels that share a word with it."""
+    n = view(spark, d, "v_name").select(F.col("string").alias("candidate")).distinct()
+    best = linking.search(n, view(spark, d, "v_kb_label"), strict=False, limit=1)
+    return linking.best_by_overlap(best.withColumnRenamed("candidate", "match")).select(F.col("match").alias("string"), "qid", "label", "iou")
+
+
+@query(f"""with {PAIRS.replace("from v_name", "from (select label as string from v_kb_label where qid % 3 = 0)")}, f as (select n.string as candidate, l.qid, l.label, len(n.x)::double / len(l.y) as score from n join lw on lw.word = n.x[1] join l on l.y = lw.y where len(list_intersect(n.x, l.y)) = len(n.x)),
+ r as (select candidate, qid, label, count(*) over (partition by candidate) as hits, row_number() over (partition by candidate order by score desc, qid, label) as rank from f) select candidate, qid, label, hits, rank from r where rank <= 10""")
+def strict_search(spark, d):
+    """Labels that hold all words of a candidate, the best ten."""
+    l_ = view(spark, d, "v_kb_label")
+    return linking.search(l_.filter("qid % 3 = 0").select(F.col("label").alias("candidate")), l_)
+
+
+@query("""with recursive_c as (select class_id, class_id as a from v_kb_class), i as (select qid, qid % 40 + 2 as class_id from v_kb_label), p as (select qid, class_id, floor(class_id / 2)::bigint as s1, floor(class_id / 4)::bigint as s2, floor(class_id / 8)::bigint as s3, floor(class_id / 16)::bigint as s4, floor(class_id / 32)::bigint as s5 from i),
+ f as (select qid, 4 in (class_id, s1, s2, s3, s4, s5) as o, 9 in (class_id, s1, s2, s3, s4, s5) as t, 17 in (class_id, s1, s2, s3, s4, s5) as p, 5 in (class_id, s1, s2, s3, s4, s5) as l from p)
+ select qid, case when o and not t and not p then 'ORGANISATION' else 'LOCATION' end as type from f where (o and not t and not p) or l""")
+def entity_types(spark, d):
+    """Organisations and places among the labels, by the closure of their classes."""
+    i = view(spark, d, "v_kb_label").select("qid", (F.col("qid") % 40 + 2).alias("class_id"))
+    return linking.entity_types(i, linking.class_closure(view(spark, d, "v_kb_class").filter("class_id <= 64")), 4, 9, 17, 5)
 
 
 @query("""with e as (select p_partkey as uuid, p_partkey % 5 as iid from part), x as (select e.uuid, r.rid from e join v_resource r on e.iid = r.iid)
@@ -272,6 +367,101 @@ ORACLES["institution_diff"] = f"with {DIFF_ROWS} select * from v"
 ORACLES["diff_verdict"] = f"with {DIFF_ROWS} select r.iid, coalesce(bool_and(verdict in ('KEEP', 'SAME')), true) as ok from r left join v on r.iid = v.iid group by 1"
 
 
+@query()
+def candidate_order(spark, d):
+    """Candidates of each institution by the number of equal, then of filled properties."""
+    return linking.candidate_order(linking.property_differences(*_diff(spark, d)))
+
+
+@query()
+def institution_issues(spark, d):
+    """One issue for each candidate of an institution that is to change."""
+    registry, linked = _diff(spark, d)
+    found = linking.institution_issues(registry, linking.property_differences(registry, linked))
+    return found.select("iid", "uuid", "name", "level", "identity")
+
+
+ORACLES["candidate_order"] = f"""with {DIFF_ROWS}, g as (select iid, uuid, count(*) filter (where verdict = 'SAME') as same, count(*) filter (where "new" is not null) as filled from v group by 1, 2)
+ select *, row_number() over (partition by iid order by same desc, filled desc, uuid) as rank from g"""
+ORACLES["institution_issues"] = f"""with {DIFF_ROWS}, x as (select iid from v group by iid having not bool_and(verdict in ('KEEP', 'SAME'))),
+ y as (select iid, uuid, max(case when property = 'name' then case when verdict = 'SAME' then old else coalesce("new", old) end end) as name,
+  max(case when property = 'rorId' then concat(case when verdict <> 'SAME' and "new" is not null then concat('"new":"<', "new", '>",') else '' end, case when verdict <> 'SAME' and old is not null then concat('"old":"<', old, '>",') else '' end, case when verdict = 'SAME' then concat('"same":"<', old, '>",') else '' end, '"type":"', verdict, '"') end) as ror
+  from v where iid in (select iid from x) group by 1, 2)
+ select iid, uuid, name, 3 as level, concat('{{"iid":', iid, ',"name":"', name, '","rorId":{{', ror, '}},"type":"InstitutionValidator"}}') as identity from y"""
+
+
+@query("""with c as (select 'c0' as code, 'Country 0' as name union all select 'c1', 'Country 1'), d as (select qid // 2 as uuid, qid as ord, label as name, case when qid % 5 = 0 then null else concat('http://', qid) end as homeUrl, cast(qid as varchar) as r, concat('c', qid % 3) as country from v_kb_label),
+ l as (select *, row_number() over (partition by uuid order by ord desc) as k from d) select uuid, l.name, homeUrl, concat('https://ror.org/', r) as rorId, c.name as country from l left join c on country = code where k = 1 and uuid % 2 = 0""")
+def entity_details(spark, d):
+    """Details of entities, the last row of each, with addresses of their ROR ids and names of their countries."""
+    l_ = view(spark, d, "v_kb_label")
+    details = l_.select(F.expr("qid div 2").alias("uuid"), F.col("qid").alias("ord"), F.col("label").alias("name"), F.when(F.col("qid") % 5 != 0, F.concat(F.lit("http://"), F.col("qid").cast("string"))).alias("homeUrl"), F.lit(None).cast("string").alias("description"), F.col("qid").cast("string").alias("rorId"), F.concat(F.lit("c"), (F.col("qid") % 3).cast("string")).alias("country"))
+    countries = spark.createDataFrame([("c0", "Country 0"), ("c1", "Country 1")], "code string, name string")
+    found = linking.entity_details(details.filter("uuid % 2 = 0").select("uuid"), details, countries)
+    return found.select("uuid", "name", "homeUrl", "rorId", F.col("location.countryName").alias("country"))
+
+
+@query("""with m as (select l_orderkey as id, l_linenumber * 2 as s, l_linenumber * 2 + 1 + l_partkey % 3 as e, concat('m', l_partkey % 20) as text from lineitem), x as (select distinct * from m),
+ n as (select a.*, (select min(b.s) from x b where b.id = a.id and b.s >= a.e) as t from x a) select n.id, n.s as start, n.e as "end", n.text, n.t as next_start, y.e as next_end, y.text as next_text from n left join x y on y.id = n.id and y.s = n.t""")
+def next_mentions(spark, d):
+    """Each mention in a text with those that start first after its end."""
+    l_ = spark.read.parquet(f"{d}/lineitem.parquet")
+    m = l_.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 2).alias("start"), (F.col("l_linenumber") * 2 + 1 + F.col("l_partkey") % 3).alias("end"), F.concat(F.lit("m"), (F.col("l_partkey") % 20).cast("string")).alias("text")).distinct()
+    return linking.next_mentions(m)
+
+
+@query("""select event_id, case when event_type = 'error' then case when user_id % 3 = 0 then 408 else 434 end else coalesce(case when user_id % 4 = 0 then 226 end, 200) end as ftp_status, event_type = 'error' and user_id % 3 <> 0 as ftp_dns,
+  case when user_id % 5 in (0, 4) then case when event_type = 'error' then 408 end else 200 + user_id % 5 end as http_status, concat('10.0.0.', user_id % 250, ':', 80 + event_id % 2) as ip_port, case user_id % 3 when 0 then 'http' when 1 then 'ftp' else 'unsupported' end as client from events""")
+def hop_outcomes(spark, d):
+    """Outcomes of HTTP and FTP probes, addresses as text, and the client that a URL needs."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    failed, u = F.col("event_type") == "error", F.col("user_id")
+    e = e.withColumn("code", F.when(u % 4 == 0, 226)).withColumn("message", F.when(failed, F.when(u % 3 == 0, "reply 115 timed out").otherwise("error 434: no host")))
+    e = e.withColumn("status", F.when(u % 5 == 0, 204).otherwise(200 + u % 5)).withColumn("url", F.concat(F.element_at(F.array(F.lit("https"), F.lit("ftp"), F.lit("gopher")), (u % 3 + 1).cast("int")), F.lit("://a/b")))
+    e = e.withColumn("late", failed).withColumn("ip", F.concat(F.lit("10.0.0."), (u % 250).cast("string"))).withColumn("port", 80 + F.col("event_id") % 2)
+    ftp = pf.ftp_outcome("code", "message")
+    return e.select("event_id", ftp["status"].alias("ftp_status"), ftp["dns_error"].alias("ftp_dns"), pf.http_status("status", "late").alias("http_status"), pf.ip_port("ip", "port").alias("ip_port"), pf.scheme_class("url").alias("client"))
+
+
+@query("""with u as (select distinct lower(n_name) as prefix, l_partkey from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey), i as (select prefix, case l_partkey % 3 when 0 then concat('x', l_partkey) else cast(l_partkey as varchar) end as lui from u)
+ select distinct i.prefix as namespace, i.lui from i join v_namespace n on n.prefix = i.prefix where not deprecated and regexp_matches(lui, '^[0-9]+$')""")
+def mined_ids(spark, d):
+    """Ids known from requests: those that live namespaces accept."""
+    t = {n: spark.read.parquet(f"{d}/{n}.parquet") for n in ("lineitem", "supplier", "nation")}
+    u = t["lineitem"].join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
+    lui = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("x"), F.col("l_partkey").cast("string"))).otherwise(F.col("l_partkey").cast("string"))
+    log = u.select(F.concat(F.lit("https://identifiers.org/"), F.lower("n_name"), F.lit(":"), lui, F.lit("?via=log")).alias("url"))
+    ns = view(spark, d, "v_namespace").select("prefix", "pattern", "deprecated", F.lit(False).alias("namespaceEmbeddedInLui"))
+    return jobs.mined_ids(log, ns)
+
+
+@query("select rid, lui, random, url from v_job where rid % 5 = 0")
+def jobs_round_trip(spark, d):
+    """Jobs written as JSON lines to the shared folder and read again by their schema."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    write_json(view(spark, d, "v_job").filter("rid % 5 = 0"), path, gzip=True)
+    return read_jobs(spark, path).select("rid", "lui", "random", "url")
+
+
+@query("select distinct prefix as namespace, lui from v_known")
+def known_id_maps(spark, d):
+    """Known ids written as a map for each namespace and read again."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    write_known_ids(view(spark, d, "v_known").withColumnRenamed("prefix", "namespace"), path)
+    maps = spark.read.schema("namespace string, luis array<string>").json(path)
+    return known_id_rows(maps.select(F.create_map("namespace", "luis").alias("known")))
+
+
+@query("""with j as (select s_suppkey, s_suppkey % 4 as r from supplier) select s_suppkey as iid, case when r = 0 then null else concat('e', s_suppkey % 7) end as uuid, case when r = 1 or r = 0 then null else concat('Name ', s_suppkey % 7) end as name from j where r <> 1 or true""".replace(" where r <> 1 or true", ""))
+def entities_with_details(spark, d):
+    """Entities with details, those without any field left empty."""
+    s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("r", F.col("s_suppkey") % 4)
+    e = s.select(F.col("s_suppkey").alias("iid"), "r", F.when(F.col("r") != 0, F.concat(F.lit("e"), (F.col("s_suppkey") % 7).cast("string"))).alias("uuid"))
+    e = e.withColumn("key", F.when(F.col("r") > 1, F.col("uuid")).otherwise(F.concat(F.lit("no"), F.col("iid").cast("string"))))
+    details = e.filter("r > 1").select(F.col("key").alias("uuid"), F.concat(F.lit("Name "), (F.substring("uuid", 2, 9))).alias("name")).distinct().unionByName(e.filter("r <= 1").select(F.col("key").alias("uuid"), F.lit(None).cast("string").alias("name")))
+    return linking.with_details(e.select("iid", F.col("uuid").alias("own"), F.col("key").alias("uuid")), details).select("iid", F.col("own").alias("uuid"), "name")
+
+
 @query()
 def greedy_linking(spark, d):
     """Names linked by their runs of words that are labels as a whole, few hits first."""

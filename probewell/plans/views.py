@@ -9,9 +9,9 @@ VIEWS = {
     "v_namespace": "select n_nationkey as nid, lower(n_name) as prefix, '^[0-9]+$' as pattern, '1' as sample_id, (n_nationkey % 10 = 9) as deprecated, (n_nationkey % 4 = 0) as embedded from nation",
     "v_institution": "select r_regionkey as iid, r_name as name from region",
     "v_resource": "select s.s_suppkey as rid, s.s_nationkey as nid, n.n_regionkey as iid, s.s_name as name, concat('https://p', cast(s.s_suppkey as varchar(20)), '.example.org/{$id}') as url_pattern, cast(1 + s.s_suppkey % 50 as varchar(20)) as sample_id, (s.s_suppkey % 9 = 8) as deprecated from supplier s join nation n on s.s_nationkey = n.n_nationkey",
-    "v_ping": """select l_suppkey as rid, cast(l_partkey as varchar(20)) as lui, (l_linestatus = 'O') as random, l_shipdate as ts, (l_returnflag = 'R') as empty_content,
+    "v_ping": """select l_suppkey as rid, cast(l_partkey as varchar(20)) as lui, concat('ns', cast(l_suppkey % 25 as varchar(20)), ':', cast(l_partkey as varchar(20))) as compact_id, (l_linestatus = 'O') as random, l_shipdate as ts, (l_returnflag = 'R') as empty_content,
         case when l_quantity = 3 then 0 when l_linenumber % 2 = 0 then 2 else 1 end as n_hops,
-        case when l_quantity = 3 then null else concat('http://p', cast(l_suppkey as varchar(20)), '.example.org/', cast(l_partkey as varchar(20))) end as first_url,
+        case when l_quantity = 3 then null else concat('http://p', cast(l_suppkey as varchar(20)), '.example.org/', case when l_partkey % 10 = 0 then 'home' else cast(l_partkey as varchar(20)) end) end as first_url,
         case when l_quantity = 3 or l_linenumber % 2 = 1 then null else concat('https://p', cast(l_suppkey as varchar(20)), '.example.org/', cast(l_partkey as varchar(20))) end as second_url,
         case when l_quantity = 3 or l_quantity = 13 then null when l_returnflag = 'R' then 500 when l_returnflag = 'N' and l_quantity > 25 then 404 else 200 end as final_status,
         (l_quantity = 7 and l_linenumber % 2 = 1) as dns_error, (l_quantity = 8) as ssl_error, (l_quantity = 9) as invalid_response from lineitem""",
@@ -39,6 +39,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """sql with the views it names as common table expressions."""
     used = [v for v in VIEWS if v in sql]
+    if not used:
+        return sql
     ctes = ", ".join(f"{v} as ({VIEWS[v]})" for v in used)
     return f"with {ctes}, {sql[5:]}" if sql.lower().startswith("with ") else f"with {ctes} {sql}"
 
@@ -50,4 +52,4 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(F.col("first_url").alias("url"), F.when(F.col("n_hops") == 2, 301).otherwise(F.col("final_status")).alias("status"), "dns_error", "ssl_error", "invalid_response")
     second = F.struct(F.col("second_url").alias("url"), F.col("final_status").alias("status"), no.alias("dns_error"), no.alias("ssl_error"), no.alias("invalid_response"))
     hops = F.slice(F.array(first, second), F.lit(1), F.col("n_hops"))
-    return p.select("rid", "lui", "random", "ts", "empty_content", hops.alias("redirects"), F.col("lui").alias("compact_id"))
+    return p.select("rid", "lui", "random", "ts", "empty_content", hops.alias("redirects"), "compact_id")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from probewell import schemas
 
@@ -18,8 +22,23 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 
 def bad_records(df: DataFrame) -> DataFrame:
-    """(file, n) of damaged records for each source file."""
-    return df.select(F.input_file_name().alias("file"), CORRUPT).filter(F.col(CORRUPT).isNotNull()).groupBy("file").agg(F.count("*").alias("n"))
+    """(file, n) of damaged records for each source file, from what read_json() returns."""
+    # The reader gives no damaged records unless another column is read along.
+    others = F.to_json(F.struct(*[c for c in df.columns if c != CORRUPT]))
+    bad = df.filter(F.col(CORRUPT).isNotNull() & (F.coalesce(F.length(others), F.lit(0)) >= 0))
+    return bad.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@F.pandas_udf(StringType())
+def _opened(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace"))
+
+
+def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One record for each file, gzip or plain by its first bytes, whatever its name: (file, record). A damaged file's record is null."""
+    files = spark.read.format("binaryFile").load(path)
+    text = _opened("content")
+    return files.select(F.col("path").alias("file"), F.from_json(text, schema, {"mode": "PERMISSIVE"}).alias("record"), text.alias("text")).select("file", F.when(F.try_parse_json("text").isNotNull(), F.col("record")).alias("record"))
 
 
 def broken_rules(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -29,9 +48,17 @@ def broken_rules(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def unknown_fields(spark: SparkSession, path: str, schema: str) -> list[str]:
-    """Top-level fields in the files that a closed schema doesn't have."""
-    known = {f.name for f in spark.createDataFrame([], schema).schema}
-    return sorted(f.name for f in spark.read.json(path).schema if f.name not in known)
+    """Paths of fields in the files that a closed schema doesn't have, nested ones as a.b."""
+
+    def paths(kind, at: str = "") -> set[str]:
+        if isinstance(kind, ArrayType):
+            return paths(kind.elementType, at)
+        if isinstance(kind, StructType):
+            return {p for f in kind for p in ({at + f.name} | paths(f.dataType, f"{at}{f.name}."))}
+        return set()
+
+    new = paths(spark.read.json(path).schema) - paths(spark.createDataFrame([], schema).schema)
+    return sorted(p for p in new if p.rpartition(".")[0] not in new)
 
 
 def access_log(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +66,11 @@ def access_log(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, schemas.ACCESS_LOG, multi_line=True, recursive=True).select(F.col("httpRequest.requestUrl").alias("url")).filter("url is not null")
 
 
+def unreadable_logs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n): the files of access_log() that can't be parsed."""
+    return bad_records(read_json(spark, path, schemas.ACCESS_LOG, multi_line=True, recursive=True))
+
+
 def first_by_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in the given order."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -140,3 +172,14 @@ def save_session(session: DataFrame, seen: DataFrame) -> DataFrame:
     s = seen.agg(F.array_sort(F.collect_set("position")).alias("new"), F.max("position").alias("last"))
     out = session.crossJoin(F.broadcast(s))  # one row each
     return out.withColumn("visited", F.array_sort(F.array_union("visited", "new"))).withColumn("position", F.coalesce("last", "position")).drop("new", "last")
+
+
+def session_complete(session: DataFrame, entries: int) -> DataFrame:
+    """session with `complete`: whether all of so many entries were visited."""
+    return session.withColumn("complete", F.size("visited") >= entries)
+
+
+def discard_session(spark: SparkSession, path: str) -> None:
+    """Removes a saved session."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import duckdb
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from probewell import functions as pf
 from probewell import sources
 from probewell.operators import curation, issues, jobs, linking
 from probewell.plans.queries import ORACLES, QUERIES
@@ -65,8 +67,41 @@ def test_scheme_only_redirects(spark):
         (1, "8", False, [hop("http://a/8", 301), hop("https://a/8/x", 200)], False, "8"),
         (1, "9", False, [hop("http://a/9", 301), hop("http://a/9", 200, True)], False, "9"),
     ]
-    assert [(r["compact_id"], r["signature"]) for r in issues.scheme_only_redirects(ping(spark, data)).collect()] == [("7", "http->https a/{$id}")]
-    assert [r["compact_id"] for r in issues.flag_errors(ping(spark, data), "dns_error").collect()] == ["9"]
+    assert [(r["compact_id"], r["signature"]) for r in issues.scheme_only_redirects(ping(spark, data)).collect()] == [("7", "http://a/{$id} => https://a/{$id}")]
+    assert [(r["compact_id"], r["type"]) for r in issues.flag_errors(ping(spark, data), {"dns_error": "D", "ssl_error": "S"}).collect()] == [("9", "D")]
+
+
+def test_links_hold_the_id_not_the_compact_id(spark):
+    p = ping(spark, [(1, "7", False, [hop("http://a/7", 301, True), hop("http://b/home", None)], False, "go:7")])
+    assert [r["signature"] for r in issues.flag_errors(p, {"dns_error": "DNSError"}).collect()] == ["http://a/{$id}"]
+    chain = json.loads(issues.redirect_chains(p).first()["signature"])
+    assert chain == [{"URL": "http://a/{$id}", "HTTP Status": "301 (moved permanently, moved)"}, {"URL": "<http://b/home>", "HTTP Status": "None (unknown)"}]
+
+
+def test_identities_and_texts(spark):
+    p = ping(spark, [(1, "7", False, [hop("http://a/7", s)], False, "go:7") for s in (500, 404, 500)] + [(1, "8", True, [hop("http://a/8", 301), hop("https://a/8", 404)], False, "go:8")])
+    a = spark.createDataFrame([(1, "7", 0.05, 9, 0)], "rid bigint, lui string, information_content double, length bigint, noise bigint")
+    registry = spark.createDataFrame([(1,)], "rid bigint")
+    found = issues.find_issues(p, registry, ["http-status-error", "scheme-only-redirect", "redirection-chain"])
+    assert {r["identity"] for r in issues.identities(found).collect()} == {'{"rid":1,"status_code":[404,500],"type":"HTTPStatusError"}', '{"redirects":["http://a/{$id} => https://a/{$id}"],"rid":1,"type":"SchemaRedirectError"}', '{"rid":1,"type":"RedirectChain"}'}
+    texts = {r["signature"]: list(r["examples"]) for r in issues.example_text(found).filter("type = 'HTTPStatusError'").collect()}
+    assert texts["500"] == ["2/3 x [go:7](https://identifiers.org/resolve?query=go:7) (non-random)"]
+    ok = ping(spark, [(1, "7", False, [hop("u", 200)], False, "go:7"), (1, "9", False, [hop("u", 200)], False, "go:9")])
+    low = issues.find_issues(ok, registry, ["information-content"], analysis=a)
+    assert [r["identity"] for r in issues.identities(low).collect()] == ['{"rid":1,"total_information_content":0.1,"type":"InformationContent"}']
+    report = issues.content_report(ok, a).first()
+    assert report["content"] == "5.0%" and [tuple(e) for e in report["examples"]] == [("1/1 x [go:7](https://identifiers.org/resolve?query=go:7) (non-random)", "5.0%", "9 words", 0)]
+
+
+def test_a_validator_may_exclude_an_entry(spark):
+    p = ping(spark, [(i, "7", False, [hop("http://a/7", 500)], False, "go:7") for i in (1, 2)])
+    none = lambda pings, **_: issues.Verdict(issues.http_status_error(pings).limit(0), spark.createDataFrame([(2,)], "rid bigint"))
+    issues.register("not-two", none)
+    try:
+        found = issues.find_issues(p, p.select("rid"), ["http-status-error", "not-two"])
+        assert [r["rid"] for r in found.collect()] == [1]
+    finally:
+        del issues.VALIDATORS["not-two"], issues.PARAMETERS["not-two"]
 
 
 def test_specs():
@@ -140,6 +175,50 @@ def test_linking(spark):
     assert [r["qid"] for r in linking.search(c, labels).collect()] == [1] and linking.search(c, labels, strict=False).count() == 3
 
 
+def test_mentions_and_chains(spark):
+    m = spark.createDataFrame([(1, 0, 2, "Uni A"), (1, 2, 3, "of"), (1, 2, 4, "of B"), (1, 5, 6, "C"), (2, 0, 1, "x")], "id int, start int, end int, text string")
+    got = {(r["text"], r["next_text"]) for r in linking.next_mentions(m).collect()}
+    assert got == {("Uni A", "of"), ("Uni A", "of B"), ("of", "C"), ("of B", "C"), ("C", None), ("x", None)}
+    hits = spark.createDataFrame([("uni a",), ("of b",), ("c",)], "text string")
+    got = {(r["candidate"], r["strict"]) for r in linking.chained_candidates(m, hits, 3).collect()}
+    assert got == {("uni a", True), ("of b", True), ("c", True), ("uni a of b", True), ("of b c", True), ("uni a of b c", True), ("of", False), ("x", False)}
+
+
+def test_institution_issues(spark):
+    registry = spark.createDataFrame([(1, "A", "http://a", None, "0x"), (2, "B", "http://b", "d", "r")], "iid int, name string, homeUrl string, description string, rorId string")
+    linked = spark.createDataFrame([(1, "A", "u", "A", "https://b", None, "0y"), (2, "B", "v", "B", None, None, "r")], "iid int, string string, uuid string, name string, homeUrl string, description string, rorId string")
+    got = linking.institution_issues(registry, linking.property_differences(registry, linked)).collect()
+    assert [(r["iid"], r["name"]) for r in got] == [(1, "A")]
+    assert json.loads(got[0]["identity"]) == {"iid": 1, "name": "A", "rorId": {"new": "<0y>", "old": "<0x>", "type": "REPLACE"}, "type": "InstitutionValidator"}
+
+
+def test_damaged_and_unknown(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"rid": 1, "lui": "x"}\nbroken\nbroken too\n')
+    (tmp_path / "b.json").write_text('{"rid": 2, "lui": "y"}\n')
+    bad = sources.bad_records(sources.read_json(spark, str(tmp_path), "rid bigint, lui string"))
+    assert [(r["file"].rpartition("/")[2], r["n"]) for r in bad.collect()] == [("a.json", 2)]
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "c.json").write_text("[broken")
+    assert [(r["file"].rpartition("/")[2], r["n"]) for r in sources.unreadable_logs(spark, str(tmp_path / "log")).collect()] == [("c.json", 1)]
+    (tmp_path / "z").mkdir()
+    (tmp_path / "z" / "packed.json").write_bytes(gzip.compress(b'{"n": 1}'))
+    (tmp_path / "z" / "plain.gz").write_text('{"n": 2}')
+    (tmp_path / "z" / "bad").write_text('{"n": ')
+    got = {r["file"].rpartition("/")[2]: r["record"] and r["record"]["n"] for r in sources.read_json_files(spark, str(tmp_path / "z"), "n int").collect()}
+    assert got == {"packed.json": 1, "plain.gz": 2, "bad": None}
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "u.json").write_text('{"a": {"b": 1, "c": 2}, "d": {"e": 1}, "l": [{"x": 1}]}')
+    assert sources.unknown_fields(spark, str(tmp_path / "u"), "a struct<b bigint>, l array<struct<y bigint>>") == ["a.c", "d", "l.x"]
+
+
+def test_functions_of_hops(spark):
+    df = spark.createDataFrame([("::1", 80, {"x-dns-error": "1", "x-ssl-error": ""}), (None, 1, {})], "ip string, port int, h map<string, string>")
+    got = df.select(pf.ip_port("ip", "port").alias("t"), pf.hop_flags(F.col("h")).alias("f")).collect()
+    assert [(r["t"], tuple(r["f"])) for r in got] == [("[::1]:80", (True, False, False)), (None, (False, False, False))]
+    e = spark.createDataFrame([("<p>caf&eacute; &#233;&lt;b",)], "t string").select(pf.markup_text(F.col("t")).alias("t")).first()
+    assert e["t"].strip() == "café é<b"
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "log" / "sub").mkdir(parents=True)
     (tmp_path / "log" / "a.json").write_text(json.dumps([{"httpRequest": {"requestUrl": "https://identifiers.org/a:1"}}, {"x": 1}]))
@@ -166,6 +245,13 @@ def test_session(spark):
     s = spark.createDataFrame([(["a"], 0, 100, 0, [0])], "validators array<string>, valid_luis_threshold int, random_luis_threshold int, position int, visited array<int>")
     got = sources.save_session(s, spark.createDataFrame([(2,), (1,)], "position int")).first()
     assert got["visited"] == [0, 1, 2] and got["position"] == 2
+    assert [sources.session_complete(s, n).first()["complete"] for n in (1, 2)] == [True, False]
+
+
+def test_session_is_discarded(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "s"))
+    sources.discard_session(spark, str(tmp_path / "s"))
+    assert not (tmp_path / "s").exists()
 
 
 def test_stream(spark, tmp_path):
