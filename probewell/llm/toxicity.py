@@ -152,17 +152,23 @@ def document_features(d: np.ndarray) -> tuple[float, ...]:
     return max(d.max(initial=LOWEST), LOWEST), np.log1p(over), np.log1p((d > CLEAR).sum()), over / max(1, len(d))
 
 
+def decisions(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The decision for each row of z, in lots, as z is kept in half precision."""
+    v = w[:-1].astype(np.float32)
+    return np.concatenate([np.empty(0), *(z[i : i + 8192].astype(np.float32) @ v for i in range(0, len(z), 8192))]) + w[-1]
+
+
 def train_svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, steps: int = 30) -> np.ndarray:
     """Weights of a linear machine for the rows of z with labels y, the last one the bias: squared hinge loss, Newton steps on the
     active set. Weights sum up to 1."""
     w = np.zeros(z.shape[1] + 1)
     penalty = np.diag(np.append(np.full(z.shape[1], ridge), 1e-9))
     for _ in range(steps):
-        active = np.flatnonzero(1 - y * ((z @ w[:-1].astype(np.float32))[rows] + w[-1]) > 0)
+        active = np.flatnonzero(1 - y * decisions(z, w)[rows] > 0)
         left, right = penalty.copy(), np.zeros(len(w))
         for i in range(0, len(active), 8192):
             at = active[i : i + 8192]
-            x = np.column_stack([z[rows[at]], np.ones(len(at), np.float32)])
+            x = np.column_stack([z[rows[at]].astype(np.float32), np.ones(len(at), np.float32)])
             left += x.T @ (weight[at, None].astype(np.float32) * x)
             right += x.T @ (weight[at] * y[at])
         new = np.linalg.solve(left, right)
@@ -200,7 +206,7 @@ class Landmarks:
 
     def features(self, words: list[bytes]) -> np.ndarray:
         """A row for each word."""
-        out, root = np.empty((len(words), len(self.root)), np.float32), self.root.astype(np.float32)
+        out, root = np.empty((len(words), len(self.root)), np.float16), self.root.astype(np.float32)
         for at, s in by_length(words):
             index, weight = subsequences(s)
             norm, weight = np.sqrt(kernel(s, s))[:, None], weight.astype(np.float32)
@@ -219,17 +225,13 @@ class Landmarks:
         return table
 
 
-def bags_of(texts: list[str]) -> tuple[list[bytes], list[list[np.ndarray]]]:
-    """All distinct words, as windows of codes, and for each text its sentences, each as the numbers of its words."""
+def bags_of(texts: list[str]) -> tuple[list[bytes], list[np.ndarray]]:
+    """All distinct words, as windows of codes, and the numbers of those in the sentences of each text."""
     number: dict[bytes, int] = {}
     bags = []
     for text in texts:
-        bag = []
-        for sentence in SENTENCE.split(text):
-            own = {w for c in letters(list(words_of(sentence))) for w in windows(c)}
-            if own:
-                bag.append(np.array(sorted(number.setdefault(w, len(number)) for w in sorted(own)), np.int64))
-        bags.append(bag)
+        own = {w for sentence in SENTENCE.split(text) for c in letters(sorted(words_of(sentence))) for w in windows(c)}
+        bags.append(np.array(sorted(number.setdefault(w, len(number)) for w in sorted(own)), np.int32))
     return list(number), bags
 
 
@@ -241,9 +243,8 @@ def train(sample: pd.DataFrame, landmarks: int = 256, rounds: int = 3, ridge: fl
     of the landmarks are witnesses at most, the others clean words, at random and of those that the first machine found worst.
     """
     toxic = sample["toxic"].to_numpy() == 1
-    words, bags = bags_of(sample["text"].tolist())
-    held = [np.unique(np.concatenate(b)) if b else np.empty(0, np.int64) for b in bags]
-    in_toxic, in_clean = (np.bincount(np.concatenate([*(h for h, t in zip(held, toxic) if t == kind), np.empty(0, np.int64)]), minlength=len(words)) for kind in (True, False))
+    words, held = bags_of(sample["text"].tolist())
+    in_toxic, in_clean = (np.bincount(np.concatenate([*(h for h, t in zip(held, toxic) if t == kind), np.empty(0, np.int32)]), minlength=len(words)) for kind in (True, False))
     due = (in_toxic + in_clean) * (toxic.sum() / max(1, len(toxic)))
     over = (in_toxic - due) / np.sqrt(np.maximum(due, 1e-9))
     share, clean = np.where(over >= surprise, in_toxic, 0).astype(float), np.flatnonzero((in_clean > 0) & (over < 2))
@@ -251,7 +252,7 @@ def train(sample: pd.DataFrame, landmarks: int = 256, rounds: int = 3, ridge: fl
         rate = min(-0.1, np.log((toxic.sum() + 0.5) / ((~toxic).sum() + 5.0)))
         return Model(np.zeros(LETTERS**3), -1.0, np.array([rate, 0.0, 0.0, 0.0, 0.0]))
     shuffled, hard = np.random.default_rng(seed).permutation(clean), clean[:0]
-    sick = [np.unique(np.concatenate(b)) for b, t in zip(bags, toxic) if t and b]
+    sick = [h for h, t in zip(held, toxic) if t]
     for n in range(rounds):
         positive = np.flatnonzero(share)
         if n < 2:
@@ -261,7 +262,7 @@ def train(sample: pd.DataFrame, landmarks: int = 256, rounds: int = 3, ridge: fl
             z = marks.features(words)
         weight = np.append(share[positive] / share.sum(), np.full(len(clean), 1 / len(clean))) / 2
         w = train_svm(z, np.append(positive, clean), np.append(np.ones(len(positive)), -np.ones(len(clean))), weight, ridge)
-        decision = (z @ w[:-1].astype(np.float32)).astype(float) + w[-1]
+        decision = decisions(z, w)
         hard = clean[np.argsort(-decision[clean], kind="stable")][: landmarks // 4]
         if n:
             # Witnesses of the next round: what is toxic in the sentences of toxic documents, as far as clean ones don't hold it as often.
