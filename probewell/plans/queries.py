@@ -178,6 +178,15 @@ def final_hop(spark, d):
     return p.groupBy("rid", "lui", F.col("hop.url").alias("url"), F.col("hop.status").alias("status")).agg(F.count("*").alias("n"))
 
 
+@query("""select rid as id, lui, random, cast(cast(ts as date) as varchar) as day, empty_content, n_hops, count(*) as n from v_ping group by all""")
+def datamine_flattened(spark, d):
+    """Pings nested in rows of about a thousand for each provider and taken out again."""
+    p = pings(spark, d).withColumn("content", F.when(~F.col("empty_content"), "x")).withColumn("date", F.col("ts").cast("date").cast("string"))
+    nested = nest_datamine(p.select("rid", "lui", "random", "date", "redirects", "content"), part_size=1000)
+    flat = nested.select("id", F.explode("pings").alias("p")).select("id", "p.lui", "p.random", F.col("p.date").alias("day"), "p.empty_content", F.size("p.redirects").alias("n_hops"))
+    return flat.groupBy(*flat.columns).agg(F.count("*").alias("n"))
+
+
 @query("select rid as id, count(*) as pings, count(*) filter (where not empty_content) as with_content from v_ping group by rid")
 def datamine(spark, d):
     p = pings(spark, d).withColumn("content", F.when(~F.col("empty_content"), "x")).withColumn("date", F.col("ts").cast("string"))

@@ -125,15 +125,24 @@ def tags_of(identities: DataFrame, tags: DataFrame) -> DataFrame:
     return identities.join(tags, "identity", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def nest_datamine(pings: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
-    """One row for each provider: its pings in order of date and id, and its analysis, null where there is none."""
-    p = pings.withColumn("empty_content", F.col("content").isNull())
-    p = p.groupBy(F.col("rid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("date", "lui", "random", "redirects", "empty_content"))).alias("pings"))
+def nest_datamine(pings: DataFrame, analysis: DataFrame | None = None, part_size: int | None = None) -> DataFrame:
+    """One row for each provider: its pings in order of date and id, and its analysis, null where there is none.
+
+    With part_size a provider's pings are dealt to rows (id, part, ...) of about so many, by hash, each in that order: for
+    providers with more pings than a row should hold. The analysis is on part 0 then.
+    """
+    p = pings.select(F.col("rid").alias("id"), F.lit(0).cast("long").alias("part"), F.struct("date", "lui", "random", "redirects", F.col("content").isNull().alias("empty_content")).alias("p"))
+    if part_size:
+        parts = p.groupBy("id").agg(F.ceil(F.count("*") / part_size).alias("parts"))
+        p = p.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("p.lui", "p.date", "p.random"), "parts")).drop("parts")
+    p = p.groupBy("id", "part").agg(F.sort_array(F.collect_list("p")).alias("pings"))
     p = p.withColumn("pings", F.transform("pings", lambda x: F.struct(x.lui.alias("lui"), x.random.alias("random"), x.date.alias("date"), x.redirects.alias("redirects"), x.empty_content.alias("empty_content"))))
     if analysis is None:
-        return p.withColumn("analysis", F.lit(None).cast(f"array<{schemas.ANALYSIS}>"))
-    a = analysis.groupBy(F.col("rid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("lui", "information_content", "length", "noise"))).alias("analysis"))
-    return p.join(a, "id", "left")
+        p = p.withColumn("analysis", F.lit(None).cast(f"array<{schemas.ANALYSIS}>"))
+    else:
+        a = analysis.groupBy(F.col("rid").alias("id")).agg(F.sort_array(F.collect_list(F.struct("lui", "information_content", "length", "noise"))).alias("analysis"))
+        p = p.join(a.withColumn("part", F.lit(0).cast("long")), ["id", "part"], "left")
+    return p if part_size else p.drop("part")
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists", gzip: bool = False) -> None:
