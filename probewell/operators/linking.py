@@ -61,10 +61,15 @@ def search(candidates: DataFrame, labels: DataFrame, strict: bool = True, limit:
     if strict:
         pairs = pairs.filter(F.size(F.array_except("cw", "lw")) == 0)
     pairs = pairs.select("cw", "lw").distinct()
-    found = pairs.withColumn("score", iou(F.col("cw"), F.col("lw"))).join(l_, "lw").join(c, "cw")
-    w = Window.partitionBy("candidate")
-    found = found.withColumn("hits", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "qid", "label")))
-    return found.filter(F.col("rank") <= limit).select("candidate", "qid", "label", "hits", "rank")
+    # Labels of equal words are counted first, and only those of word sets that can be among the best are looked up.
+    sized = l_.groupBy("lw").agg(F.count("*").alias("n"))
+    sets = pairs.join(sized, "lw").withColumn("score", iou(F.col("cw"), F.col("lw")))
+    tier, whole = Window.partitionBy("cw", "score"), Window.partitionBy("cw")
+    higher = F.sum("n").over(whole.orderBy(F.desc("score"))) - F.sum("n").over(tier)
+    sets = sets.withColumn("hits", F.sum("n").over(whole)).withColumn("higher", higher).filter(F.col("higher") < limit)
+    found = sets.select("cw", "lw", "score", "hits").join(l_, "lw")
+    found = found.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("score"), "qid", "label"))).filter(F.col("rank") <= limit)
+    return found.join(c, "cw").select("candidate", "qid", "label", "hits", "rank")
 
 
 def next_mentions(mentions: DataFrame) -> DataFrame:
