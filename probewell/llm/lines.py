@@ -79,9 +79,9 @@ class LineRuns:
         if runs:
             batch = self._write(own)
             own = self.spark.table(batch)
-            known = functools.reduce(DataFrame.unionByName, [own.join(r, "h", "left_semi") for r in runs])
+            known = functools.reduce(DataFrame.unionByName, [own.join(r.hint("merge"), "h", "left_semi") for r in runs])
             self.repeats.append(stored(known))
-            self.levels[0].append(self._write(functools.reduce(lambda left, r: left.join(r, "h", "left_anti"), runs, own)))
+            self.levels[0].append(self._write(functools.reduce(lambda left, r: left.join(r.hint("merge"), "h", "left_anti"), runs, own)))
             self._remove(batch)
         else:
             self.levels[0].append(self._write(own))
