@@ -30,11 +30,12 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Removes a table that stored() returned and nothing reads any more."""
-    spark = table.sparkSession
-    place = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() returned and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def keep_known(rows: DataFrame, known: DataFrame, on: list[str], least: int = 8192, most: int = 100_000) -> DataFrame:

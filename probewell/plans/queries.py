@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewell import functions as pf
-from probewell.operators import curation, fragments, issues, jobs, linking
+from probewell.operators import curation, fragments, issues, jobs, linking, suffixes
 from probewell.operators.stored import shared_folder
 from probewell.plans.views import pings, view, with_views
 from probewell.sources import known_ids as known_id_rows
@@ -283,6 +283,68 @@ def shared_coverage(spark, d):
     return m.select("grp", "doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + 2)).alias("at")).distinct().groupBy("grp", "doc").agg(F.count("*").alias("covered"))
 
 
+PLAIN = "list_filter(string_split(regexp_replace(lower(content), '[^a-z]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+def _match_sql(documents: str, levels: int = 15) -> str:
+    """Longest matches without a limit, in SQL: ranks of suffixes by doubling, then the common prefixes of neighbours in the order, down the
+    levels. documents: (grp, doc, tokens); gives y (grp, doc, pos, m)."""
+    parts = [
+        f"w as materialized ({documents})",
+        "u as materialized (select grp, tokens, min(doc) as d, count(*) as copies from w where len(tokens) > 0 group by grp, tokens)",
+        "p as materialized (select grp, d, len(tokens) as size, unnest(tokens) as t, generate_subscripts(tokens, 1) as pos from u)",
+        "r0 as materialized (select d, pos, dense_rank() over (order by grp, t) as r from p)",
+    ]
+    for k in range(levels):
+        parts.append(f"r{k + 1} as materialized (select a.d, a.pos, dense_rank() over (order by a.r, coalesce(b.r, 0)) as r from r{k} a left join r{k} b on b.d = a.d and b.pos = a.pos + {2**k})")
+    parts += [
+        f"o as (select *, row_number() over (order by r, d, pos) as i from r{levels})",
+        "c as (select *, sum(case when d = before then 0 else 1 end) over (order by i rows unbounded preceding) as run from (select *, coalesce(lag(d) over (order by i), '') as before from o))",
+        "e as materialized (select run, arg_min(d, i) as d1, arg_min(pos, i) as p1, arg_max(d, i) as d2, arg_max(pos, i) as p2 from c group by run)",
+        f"q{levels} as materialized (select c.d, c.pos, e.d2 as od, e.p2 as opos, 0 as n from c join e on e.run = c.run - 1 union all select c.d, c.pos, e.d1, e.p1, 0 from c join e on e.run = c.run + 1)",
+    ]
+    for k in reversed(range(levels)):
+        parts.append(f"q{k} as materialized (select q.d, q.pos, od, opos, case when a.r = b.r then n + {2**k} else n end as n from q{k + 1} q left join r{k} a on a.d = q.d and a.pos = q.pos + q.n left join r{k} b on b.d = q.od and b.pos = q.opos + q.n)")
+    parts += [
+        "x as (select d, pos, max(n) as n from q0 group by d, pos)",
+        "y as (select w.grp, w.doc, p.pos, case when copies > 1 then size - p.pos + 1 else least(coalesce(n, 0), size - p.pos + 1) end as m from w join u on w.grp = u.grp and w.tokens = u.tokens join p on p.d = u.d left join x on x.d = p.d and x.pos = p.pos)",
+    ]
+    return ", ".join(parts)
+
+
+@query(f"""with {_match_sql(f"select grp, lui as doc, {PLAIN} as tokens from v_content")}
+ select grp, doc, count(*) as size, count(*) filter (where m > 0) as matched, cast(sum(m) as bigint) as total, max(m) as longest, cast(sum(m * (pos % 1009)) as bigint) as mark from y group by grp, doc""")
+def match_lengths(spark, d):
+    """Longest matches of any length with any other document of the source: counts, sums and a checksum of each document's positions."""
+    return _match_marks(suffixes.match_lengths(_plain(spark, d)))
+
+
+def _match_marks(found) -> DataFrame:
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    marked = F.transform("m", lambda x, i: x.cast("long") * ((i + 1) % 1009))
+    out = found.select("grp", "doc", F.size("m").cast("long").alias("size"), F.size(F.filter("m", lambda x: x > 0)).cast("long").alias("matched"), total("m").alias("total"), F.array_max("m").alias("longest"), total(marked).alias("mark"))
+    return out.filter("size > 0")
+
+
+THREES = f"select cast(lui as bigint) // 3 as g, cast(lui as bigint) % 3 as k, {PLAIN} as tokens from v_content"
+
+
+@query(f"""with thr as materialized ({THREES}), fst as (select g, k, tokens from thr qualify row_number() over (partition by g order by k) = 1),
+ oth as (select thr.g, thr.k, thr.tokens, fst.tokens as head from thr join fst on thr.g = fst.g and thr.k <> fst.k),
+ {_match_sql("select concat(g, '-', k) as grp, concat(g, '-', k, 'o') as doc, tokens from oth union all select concat(g, '-', k), concat(g, '-', k, 'h'), head from oth")},
+ low as (select string_split(grp, '-')[1] as g, pos, min(m) as m from y where doc like '%h' group by 1, 2),
+ lone as (select g from thr group by g having count(*) = 1),
+ l as (select cast(fst.g as varchar) as grp, case when fst.g in (select g from lone) then len(tokens) - i + 1 else coalesce(low.m, 0) end as m from (select *, unnest(generate_series(1, len(tokens))) as i from fst where len(tokens) > 0) fst left join low on low.g = cast(fst.g as varchar) and low.pos = fst.i)
+ select grp, count(*) as size, count(*) filter (where m > 0) as matched, cast(sum(m) as bigint) as total from l group by grp""")
+def common_lengths(spark, d):
+    """Longest runs of the first of three neighbouring documents that all of them hold; where it stands alone, all of it."""
+    doc = F.col("doc").cast("long")
+    t = _plain(spark, d).select(F.floor(doc / 3).cast("string").alias("grp"), (doc % 3).alias("ord"), "tokens")
+    total = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x)
+    found = suffixes.first_common(t, "ord")
+    return found.filter(F.size("m") > 0).select("grp", F.size("m").cast("long").alias("size"), F.size(F.filter("m", lambda x: x > 0)).cast("long").alias("matched"), total.alias("total"))
+
+
 @query()
 def tokens_of_pages(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
