@@ -113,18 +113,46 @@ def resource_label(provider_code: str, mir_id: str, prefix: str) -> Column:
     return F.concat(F.coalesce(placeholder_to_null(F.col(provider_code)), F.col(mir_id)), F.lit("/"), F.col(prefix))
 
 
+def registry_link(provider_code: str, mir_id: str, prefix: str) -> Column:
+    """A resource as reports name it, with the address of its namespace in the registry."""
+    return F.concat(F.lit("["), resource_label(provider_code, mir_id, prefix), F.lit("](https://registry.identifiers.org/registry/"), F.col(prefix), F.lit(")"))
+
+
 def ror_url(ror_id: str) -> Column:
     return F.concat(F.lit("https://ror.org/"), F.col(ror_id))
 
 
 def percent(x) -> Column:
-    return F.concat(F.format_number(x * 100, 1), F.lit("%"))
+    """One digit after the point, no separators of thousands."""
+    return F.format_string("%.1f%%", x * 100)
+
+
+def ascii_json(text) -> Column:
+    """JSON with all code points but printable ASCII as \\u escapes of four lower-case digits, those beyond U+FFFF as two: so keys are
+    written the same whatever wrote them."""
+    t = F.col(text) if isinstance(text, str) else text
+    escape = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(c):
+        n = F.ascii(c)
+        pair = F.concat(escape(F.shiftright(n - 0x10000, 10) + 0xD800), escape((n - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
+        return F.when(n > 0xFFFF, pair).when(n > 0x7E, escape(n)).otherwise(c)
+
+    # Escapes that are there already (control characters, in upper case), other escaped characters, runs of ASCII, and single code points.
+    parts = F.regexp_extract_all(t, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\.|[ -\[\]-~]+|."), F.lit(0))
+    whole = F.array_join(F.transform(parts, lambda c: F.when(c.startswith("\\u"), F.lower(c)).otherwise(escaped(c))), "")
+    return F.when(t.rlike(r"[^ -~]|\\u"), whole).otherwise(t)
+
+
+def canonical_json(struct) -> Column:
+    """A struct (its fields in alphabetical order) as the JSON under which issues are tagged: no spaces, ASCII only."""
+    return ascii_json(F.to_json(struct))
 
 
 def identity(kind: str, **fields) -> Column:
     """Canonical JSON with sorted keys: the key under which an issue is tagged."""
     cols = {"type": F.lit(kind), **fields}
-    return F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]))
+    return canonical_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]))
 
 
 def identity_type(column: str) -> Column:
@@ -136,14 +164,20 @@ def words(column) -> Column:
     return F.filter(F.split(F.lower(column), r"(?U)\W+"), lambda w: w != "")
 
 
+def bare_address(url) -> Column:
+    """An address for comparison: without its scheme, all slashes at its end, and an empty query or fragment."""
+    c = F.regexp_replace(url, "/+$", "")
+    c = F.regexp_replace(F.regexp_replace(c, "#$", ""), r"^([^?#]*)[?](?=#|$)", "$1")
+    return without_scheme(c)
+
+
 def property_verdict(kind: str, old: str, new: str, single) -> Column:
     """MISSING, ADD, KEEP, REPLACE or SAME for a property of a registry entry against a linked entity.
 
-    Addresses that differ in scheme or a last slash are kept; so is a description if there is only one entity.
+    Addresses that differ in scheme or last slashes are kept; so is a description if there is only one entity.
     """
     o, n, k = F.col(old).cast("string"), F.col(new).cast("string"), F.col(kind)
-    bare = lambda c: F.regexp_replace(without_scheme(c), "/$", "")
-    keep = ((k == "homeUrl") & (bare(o) == bare(n))) | ((k == "description") & single)
+    keep = ((k == "homeUrl") & (bare_address(o) == bare_address(n))) | ((k == "description") & single)
     return F.when(o.isNull() & n.isNull(), "MISSING").when(o.isNull(), "ADD").when(n.isNull(), "KEEP").when(o == n, "SAME").when(keep, "KEEP").otherwise("REPLACE")
 
 

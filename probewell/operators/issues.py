@@ -126,8 +126,12 @@ def collected(examples: DataFrame, pings: DataFrame, keys: tuple[str, ...] = ("s
     Only the pings of ids with examples are counted.
     """
     n = examples.groupBy("rid", *keys, "compact_id", "random").agg(F.count("*").alias("n"))
-    total = pings.select("rid", "compact_id").join(n.select("rid", "compact_id").distinct(), ["rid", "compact_id"], "left_semi").groupBy("rid", "compact_id").agg(F.count("*").alias("total"))
-    return n.join(total, ["rid", "compact_id"])
+    return n.join(_totals(n, pings), ["rid", "compact_id"])
+
+
+def _totals(n: DataFrame, pings: DataFrame) -> DataFrame:
+    """(rid, compact_id, total): all pings of the compact ids in n."""
+    return pings.select("rid", "compact_id").join(n.select("rid", "compact_id").distinct(), ["rid", "compact_id"], "left_semi").groupBy("rid", "compact_id").agg(F.count("*").alias("total"))
 
 
 def _example(x) -> Column:
@@ -146,9 +150,14 @@ def _issue(df: DataFrame, kind, level: int, value=None) -> DataFrame:
 
 
 def http_status_error(pings: DataFrame, valid_rate: float = 0.0, random_rate: float = 1.0, **_) -> DataFrame:
+    """Examples of the statuses of status_errors() by the final URL: a signature is the status with its names and the URL as a link of lui_link()."""
     errors = status_errors(pings, valid_rate, random_rate).select("rid", "status", "valid_over", "random_over")
     hit = answered(pings).join(errors, ["rid", "status"]).filter((~F.col("random") & F.col("valid_over")) | (F.col("random") & F.col("random_over")))
-    return _issue(collected(hit.withColumn("signature", F.col("status")), pings), "HTTPStatusError", 3)
+    # The same id gives the same few URLs again and again, so links are made of counted rows.
+    n = hit.groupBy("rid", "lui", "compact_id", "random", "status", pf.final_hop()["url"].alias("url")).agg(F.count("*").alias("same"))
+    n = n.withColumn("signature", F.concat_ws(" ", status_name(F.col("status")), pf.lui_link("url", "lui")))
+    n = n.groupBy("rid", "signature", "compact_id", "random").agg(F.sum("same").alias("n"))
+    return _issue(n.join(_totals(n, pings), ["rid", "compact_id"]), "HTTPStatusError", 3)
 
 
 #: The flag of a hop and the type of issue that it makes, by validator.
@@ -192,7 +201,7 @@ def redirect_chains(pings: DataFrame) -> DataFrame:
 
 
 def redirection_chain(pings: DataFrame, **_) -> DataFrame:
-    return _issue(redirect_chains(pings), "RedirectChain", 0)
+    return _issue(redirect_chains(pings), "RedirectChain", 2)
 
 
 def _by_compact_id(pings: DataFrame, analysis: DataFrame) -> DataFrame:
@@ -203,6 +212,11 @@ def _by_compact_id(pings: DataFrame, analysis: DataFrame) -> DataFrame:
     return analysis.join(ids, ["rid", "lui"]).groupBy("rid", "compact_id").agg(last.alias("i")).select("rid", "compact_id", "i.*")
 
 
+def analysable(pings: DataFrame) -> DataFrame:
+    """The pings whose text is worth analysing: those that have content and a final status of 200."""
+    return answered(pings).filter("content is not null and status = 200").drop("status")
+
+
 def low_content(pings: DataFrame, analysis: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Pings with content and status 200 of providers whose best id has at most `threshold` of content of its own: counted examples
     with `value`, that best content, and the content, length and noise of each example's id, null where it wasn't analysed."""
@@ -303,7 +317,7 @@ def find_issues(pings: DataFrame, registry: DataFrame, specs: list[str], **share
 def identities(issues: DataFrame) -> DataFrame:
     """(rid, type, identity): one row for each issue of a provider, with the key that tags refer to."""
     g = issues.groupBy("rid", "type").agg(F.array_sort(F.collect_set("signature")).alias("s"), F.round(F.max("value"), 1).alias("v"))
-    codes = F.array_sort(F.transform("s", lambda x: x.try_cast("int")))
+    codes = F.array_sort(F.array_distinct(F.transform("s", lambda x: F.regexp_extract(x, r"^\d+", 0).try_cast("int"))))
     fields = {
         "HTTPStatusError": F.struct("rid", codes.alias("status_code"), "type"),
         "SchemaRedirectError": F.struct(F.col("s").alias("redirects"), "rid", "type"),
@@ -312,4 +326,4 @@ def identities(issues: DataFrame) -> DataFrame:
     id_ = F.to_json(F.struct("rid", "type"))
     for kind, struct in fields.items():
         id_ = F.when(F.col("type") == kind, F.to_json(struct)).otherwise(id_)
-    return g.select("rid", "type", id_.alias("identity"))
+    return g.select("rid", "type", id_.alias("identity")).withColumn("identity", pf.ascii_json("identity"))

@@ -144,18 +144,27 @@ def occurrences(entities: DataFrame, resources: DataFrame) -> DataFrame:
     return entities.join(resources, "iid").groupBy("uuid").agg(F.array_sort(F.collect_set("rid")).alias("resources"))
 
 
-PROPERTIES = ("name", "homeUrl", "description", "rorId")
+PROPERTIES = ("name", "homeUrl", "description", "rorId", "location")
+LOCATION = "struct<countryCode string, countryName string>"
+
+
+def _text(df: DataFrame, name: str):
+    """A property as text, a location as its JSON; null where the table doesn't have it."""
+    if name not in df.columns:
+        return F.lit(None).cast("string")
+    return F.to_json(name) if df.schema[name].dataType.typeName() == "struct" else F.col(name).cast("string")
 
 
 def property_differences(registry: DataFrame, linked: DataFrame) -> DataFrame:
-    """(iid, uuid, property, old, new, verdict) of registry (iid, name, ...) against linked (iid, string, uuid, name, ...).
+    """(iid, uuid, property, old, new, verdict) of registry (iid, name, ...) against linked (iid, string, uuid, name, ...), for each of PROPERTIES;
+    one that a table lacks is null. A location is a struct (countryCode, countryName), compared and given as JSON.
 
     Rows of linked whose string isn't the registry's name any more are stale and dropped.
     """
     single = F.count("*").over(Window.partitionBy("iid")) == 1
     fresh = linked.join(registry.select("iid", F.col("name").alias("string")), ["iid", "string"], "left_semi").withColumn("_single", single)
-    r = registry.select("iid", *[F.col(p).alias(f"old_{p}") for p in PROPERTIES])
-    both = fresh.join(r, "iid")
+    r = registry.select("iid", *[_text(registry, p).alias(f"old_{p}") for p in PROPERTIES])
+    both = fresh.select("iid", "uuid", "_single", *[_text(fresh, p).alias(p) for p in PROPERTIES]).join(r, "iid")
     stack = ", ".join(f"'{p}', old_{p}, {p}" for p in PROPERTIES)
     rows = both.select("iid", "uuid", "_single", F.expr(f"stack({len(PROPERTIES)}, {stack}) as (property, old, new)"))
     rows = rows.withColumn("old", pf.placeholder_to_null(F.col("old")))
@@ -190,11 +199,13 @@ def with_details(entities: DataFrame, details: DataFrame) -> DataFrame:
     return entities.join(some, "uuid", "left")
 
 
-def institution_issues(registry: DataFrame, differences: DataFrame) -> DataFrame:
+def institution_issues(registry: DataFrame, differences: DataFrame, found: DataFrame | None = None, resources: DataFrame | None = None) -> DataFrame:
     """(iid, uuid, name, identity, level, detail): one issue for each candidate of the institutions that aren't ok.
 
     name is what the candidate and the registry share, else the candidate's, else the registry's. detail is the JSON of all properties
-    with verdict and values, addresses in angle brackets; the identity holds that of the ROR id.
+    with verdict and values, addresses in angle brackets; the identity holds that of the ROR id. With found (iid, uuid, matches), all
+    entities of all institutions, detail holds the `matches` of the candidate; with resources (rid, iid, providerCode, mirId, prefix) too, its
+    `occurrences`: links of the resources of every institution that it was found in.
     """
     bad = verdicts(registry, differences).filter("not ok").select("iid")
     d = differences.join(bad, "iid", "left_semi")
@@ -203,6 +214,15 @@ def institution_issues(registry: DataFrame, differences: DataFrame) -> DataFrame
     entry = F.struct(F.when(~same, show("new")).alias("new"), F.when(~same, show("old")).alias("old"), F.when(same, show("old")).alias("same"), F.col("verdict").alias("type"))
     of = lambda p: F.max(F.when(F.col("property") == p, entry))
     g = d.groupBy("iid", "uuid").agg(*[of(p).alias(p) for p in PROPERTIES])
+    place = lambda c: F.from_json(F.col(f"location.{c}"), LOCATION).alias(c)
+    g = g.withColumn("location", F.struct(place("new"), place("old"), place("same"), "location.type"))
     g = g.withColumn("title", F.coalesce("name.same", "name.new", "name.old"))
-    key = F.to_json(F.struct("iid", F.col("title").alias("name"), "rorId", F.lit("InstitutionValidator").alias("type")))
-    return g.select("iid", "uuid", F.col("title").alias("name"), key.alias("identity"), F.lit(3).alias("level"), F.to_json(F.struct(*PROPERTIES)).alias("detail"))
+    fields = list(PROPERTIES)
+    if found is not None and resources is not None:
+        link = F.struct("rid", pf.registry_link("providerCode", "mirId", "prefix").alias("link"))
+        at = found.select("uuid", "iid").distinct().join(resources.select("iid", link.alias("r")), "iid").groupBy("uuid").agg(F.transform(F.array_sort(F.collect_set("r")), lambda r: r.link).alias("occurrences"))
+        g, fields = g.join(at, "uuid", "left").withColumn("occurrences", F.coalesce("occurrences", F.array().cast("array<string>"))), ["occurrences", *fields]
+    if found is not None:
+        g, fields = g.join(found.select("iid", "uuid", "matches"), ["iid", "uuid"], "left"), ["matches", *fields]
+    key = pf.canonical_json(F.struct("iid", F.col("title").alias("name"), "rorId", F.lit("InstitutionValidator").alias("type")))
+    return g.select("iid", "uuid", F.col("title").alias("name"), key.alias("identity"), F.lit(3).alias("level"), F.to_json(F.struct(*fields)).alias("detail"))

@@ -47,7 +47,11 @@ def status_error(spark, d):
     return issues.status_errors(pings(spark, d), 0.2, 0.3)
 
 
-@query(f"""with {ERRORS}, h as (select a.rid, cast(a.final_status as varchar) as signature, compact_id, random, count(*) as n from a join x on a.rid = x.rid and a.final_status = x.status
+STATUS = "case final_status when 200 then '200 (ok, okay, all ok, all okay, all good, \u2713)' when 404 then '404 (not found, -o-)' when 500 then '500 (internal server error, server error, \u2717)' else 'None (unknown)' end"
+FINAL = _link("case when n_hops = 2 then second_url else first_url end")
+
+
+@query(f"""with {ERRORS}, h as (select a.rid, concat({STATUS}, ' ', {FINAL}) as signature, compact_id, random, count(*) as n from a join x on a.rid = x.rid and a.final_status = x.status
   where (not random and valid_over) or (random and random_over) group by all), {TOTALS}
  select h.rid, 'HTTPStatusError' as type, 3 as level, signature, cast(null as double) as value, h.compact_id, random, n, total from h join c on h.rid = c.rid and h.compact_id = c.compact_id""")
 def status_error_examples(spark, d):
@@ -80,9 +84,6 @@ def scheme_only_redirect(spark, d):
     return issues.scheme_only_redirects(pings(spark, d))
 
 
-STATUS = "case final_status when 200 then '200 (ok, okay, all ok, all okay, all good, \u2713)' when 404 then '404 (not found, -o-)' when 500 then '500 (internal server error, server error, \u2717)' else 'None (unknown)' end"
-
-
 @query(f"""with n as (select *, {STATUS} as s, {_link("first_url")} as u, {_link("second_url")} as v from v_ping),
  h as (select rid, concat('[', case n_hops when 0 then '' when 1 then concat('{{"URL":"', u, '","HTTP Status":"', s, '"}}')
    else concat('{{"URL":"', u, '","HTTP Status":"301 (moved permanently, moved)"}},{{"URL":"', v, '","HTTP Status":"', s, '"}}') end, ']') as signature, compact_id, random, count(*) as n from n group by all), {TOTALS}
@@ -407,20 +408,24 @@ def entity_occurrences(spark, d):
     return o.select("uuid", F.size("resources").cast("long").alias("n"), F.array_min("resources").alias("first"), F.array_max("resources").alias("last"))
 
 
-DIFF = """r as (select s_suppkey as iid, s_name as name, concat('http://', lower(s_name), '.org') as homeUrl, case when s_suppkey % 3 = 0 then 'CURATOR_REVIEW' else s_name end as description, case when s_suppkey % 4 = 0 then null else cast(s_suppkey as varchar) end as rorId from supplier),
- l as (select s_suppkey as iid, s_name as string, s_suppkey * 10 + k as uuid, s_name as name, concat('https://', lower(s_name), '.org', case k when 0 then '/' else '/x' end) as homeUrl, concat(s_name, '!') as description, case when s_suppkey % 2 = 0 then cast(s_suppkey as varchar) end as rorId from supplier, (select 0 as k union all select 1) t where s_suppkey % 6 <> 5 and (k = 0 or s_suppkey % 5 = 0))"""
+DIFF = """r as (select s_suppkey as iid, s_name as name, concat('http://', lower(s_name), '.org') as homeUrl, case when s_suppkey % 3 = 0 then 'CURATOR_REVIEW' else s_name end as description, case when s_suppkey % 4 = 0 then null else cast(s_suppkey as varchar) end as rorId,
+  case when s_suppkey % 5 <> 0 then concat('c', s_nationkey) end as code, case when s_suppkey % 5 <> 0 then concat('Land ', s_nationkey) end as land from supplier),
+ l as (select s_suppkey as iid, s_name as string, s_suppkey * 10 + k as uuid, s_name as name, concat('https://', lower(s_name), '.org', case k when 0 then case when s_suppkey % 7 = 0 then '//' else '/' end else '/x' end) as homeUrl, concat(s_name, '!') as description, case when s_suppkey % 2 = 0 then cast(s_suppkey as varchar) end as rorId,
+  case when s_suppkey % 7 <> 1 then concat('c', case when s_suppkey % 8 = 0 then s_nationkey + 1 else s_nationkey end) end as code, case when s_suppkey % 7 <> 1 then concat('Land ', s_nationkey) end as land from supplier, (select 0 as k union all select 1) t where s_suppkey % 6 <> 5 and (k = 0 or s_suppkey % 5 = 0))"""
 VERDICT = """case when o is null and n is null then 'MISSING' when o is null then 'ADD' when n is null then 'KEEP' when o = n then 'SAME'
-  when property = 'homeUrl' and regexp_replace(regexp_replace(o, '^[A-Za-z]+://', ''), '/$', '') = regexp_replace(regexp_replace(n, '^[A-Za-z]+://', ''), '/$', '') then 'KEEP' when property = 'description' and single then 'KEEP' else 'REPLACE' end"""
+  when property = 'homeUrl' and regexp_replace(regexp_replace(o, '^[A-Za-z]+://', ''), '/+$', '') = regexp_replace(regexp_replace(n, '^[A-Za-z]+://', ''), '/+$', '') then 'KEEP' when property = 'description' and single then 'KEEP' else 'REPLACE' end"""
 DIFF_ROWS = f"""{DIFF}, c as (select iid, count(*) = 1 as single from l group by iid), b as (
  select l.iid, uuid, single, 'name' as property, r.name as o, l.name as n from l join r using (iid) join c using (iid) union all select l.iid, uuid, single, 'homeUrl', r.homeUrl, l.homeUrl from l join r using (iid) join c using (iid) union all
- select l.iid, uuid, single, 'description', nullif(r.description, 'CURATOR_REVIEW'), l.description from l join r using (iid) join c using (iid) union all select l.iid, uuid, single, 'rorId', r.rorId, l.rorId from l join r using (iid) join c using (iid)),
+ select l.iid, uuid, single, 'description', nullif(r.description, 'CURATOR_REVIEW'), l.description from l join r using (iid) join c using (iid) union all select l.iid, uuid, single, 'rorId', r.rorId, l.rorId from l join r using (iid) join c using (iid) union all
+ select l.iid, uuid, single, 'location', case when r.code is not null then concat('{{"countryCode":"', r.code, '","countryName":"', r.land, '"}}') end, case when l.code is not null then concat('{{"countryCode":"', l.code, '","countryName":"', l.land, '"}}') end from l join r using (iid) join c using (iid)),
  v as (select iid, uuid, property, o as old, n as "new", {VERDICT} as verdict from b)"""
 
 
 def _diff(spark, d):
     spark.read.parquet(f"{d}/supplier.parquet").createOrReplaceTempView("supplier")
-    both = f"with {DIFF} select"
-    return spark.sql(f"{both} * from r".replace("varchar)", "string)")), spark.sql(f"{both} * from l".replace("varchar)", "string)"))
+    place = F.when(F.col("code").isNotNull(), F.struct(F.col("code").alias("countryCode"), F.col("land").alias("countryName")))
+    rows = [spark.sql(f"with {DIFF} select * from {t}".replace("varchar)", "string)")) for t in "rl"]
+    return tuple(t.withColumn("location", place).drop("code", "land") for t in rows)
 
 
 @query()
@@ -448,17 +453,23 @@ def candidate_order(spark, d):
 def institution_issues(spark, d):
     """One issue for each candidate of an institution that is to change."""
     registry, linked = _diff(spark, d)
-    found = linking.institution_issues(registry, linking.property_differences(registry, linked))
-    return found.select("iid", "uuid", "name", "level", "identity")
+    entities = linked.select("iid", "uuid", F.array("string").alias("matches"))
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    code = F.when(F.col("s_suppkey") % 2 == 0, "CURATOR_REVIEW").otherwise(F.concat(F.lit("p"), F.col("s_suppkey").cast("string")))
+    resources = s.select(F.col("s_suppkey").alias("rid"), (F.col("s_suppkey") - F.col("s_suppkey") % 2).alias("iid"), code.alias("providerCode"), F.lit("MIR").alias("mirId"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("prefix"))
+    found = linking.institution_issues(registry, linking.property_differences(registry, linked), entities, resources)
+    of = lambda path: F.get_json_object("detail", path)
+    return found.select("iid", "uuid", "name", "level", "identity", of("$.location.type").alias("place"), of("$.location.new.countryCode").alias("new_code"), of("$.matches[0]").alias("match"), F.coalesce(of("$.occurrences[0]"), F.lit("")).alias("first"), F.coalesce(of("$.occurrences[1]"), F.lit("")).alias("second"))
 
 
 ORACLES["candidate_order"] = f"""with {DIFF_ROWS}, g as (select iid, uuid, count(*) filter (where verdict = 'SAME') as same, count(*) filter (where "new" is not null) as filled from v group by 1, 2)
  select *, row_number() over (partition by iid order by same desc, filled desc, uuid) as rank from g"""
 ORACLES["institution_issues"] = f"""with {DIFF_ROWS}, x as (select iid from v group by iid having not bool_and(verdict in ('KEEP', 'SAME'))),
  y as (select iid, uuid, max(case when property = 'name' then case when verdict = 'SAME' then old else coalesce("new", old) end end) as name,
-  max(case when property = 'rorId' then concat(case when verdict <> 'SAME' and "new" is not null then concat('"new":"<', "new", '>",') else '' end, case when verdict <> 'SAME' and old is not null then concat('"old":"<', old, '>",') else '' end, case when verdict = 'SAME' then concat('"same":"<', old, '>",') else '' end, '"type":"', verdict, '"') end) as ror
-  from v where iid in (select iid from x) group by 1, 2)
- select iid, uuid, name, 3 as level, concat('{{"iid":', iid, ',"name":"', name, '","rorId":{{', ror, '}},"type":"InstitutionValidator"}}') as identity from y"""
+  max(case when property = 'rorId' then concat(case when verdict <> 'SAME' and "new" is not null then concat('"new":"<', "new", '>",') else '' end, case when verdict <> 'SAME' and old is not null then concat('"old":"<', old, '>",') else '' end, case when verdict = 'SAME' then concat('"same":"<', old, '>",') else '' end, '"type":"', verdict, '"') end) as ror,
+  max(case when property = 'location' then verdict end) as place, max(case when property = 'location' and verdict <> 'SAME' then "new" end) as "new" from v where iid in (select iid from x) group by 1, 2),
+ k as (select s_suppkey - s_suppkey % 2 as iid, string_agg(concat('[', case when s_suppkey % 2 = 0 then 'MIR' else concat('p', s_suppkey) end, '/n', s_nationkey, '](https://registry.identifiers.org/registry/n', s_nationkey, ')'), ' ' order by s_suppkey) as links from supplier group by 1)
+ select y.iid, uuid, name, 3 as level, place, json_extract_string("new", '$.countryCode') as new_code, name as match, coalesce(nullif(split_part(links, ' ', 1), ''), '') as "first", coalesce(split_part(links, ' ', 2), '') as "second", concat('{{"iid":', y.iid, ',"name":"', name, '","rorId":{{', ror, '}},"type":"InstitutionValidator"}}') as identity from y left join k on y.iid = k.iid"""
 
 
 @query("""with c as (select 'c0' as code, 'Country 0' as name union all select 'c1', 'Country 1'), d as (select qid // 2 as uuid, qid as ord, label as name, case when qid % 5 = 0 then null else concat('http://', qid) end as homeUrl, cast(qid as varchar) as r, concat('c', qid % 3) as country from v_kb_label),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,9 +30,17 @@ def bad_records(df: DataFrame) -> DataFrame:
     return bad.select(F.col("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
 
 
+def opened(content: bytes) -> str | None:
+    """The text of a file, gzip or plain by its first bytes; None if it can't be unpacked."""
+    try:
+        return (gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content).decode("utf-8", "replace")
+    except (OSError, EOFError, zlib.error):
+        return None
+
+
 @F.pandas_udf(StringType())
 def _opened(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace"))
+    return content.map(opened)
 
 
 def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_identities_and_texts(spark):
     found = issues.find_issues(p, registry, ["http-status-error", "scheme-only-redirect", "redirection-chain"])
     assert {r["identity"] for r in issues.identities(found).collect()} == {'{"rid":1,"status_code":[404,500],"type":"HTTPStatusError"}', '{"redirects":["http://a/{$id} => https://a/{$id}"],"rid":1,"type":"SchemaRedirectError"}', '{"rid":1,"type":"RedirectChain"}'}
     texts = {r["signature"]: list(r["examples"]) for r in issues.example_text(found).filter("type = 'HTTPStatusError'").collect()}
-    assert texts["500"] == ["2/3 x [go:7](https://identifiers.org/resolve?query=go:7) (non-random)"]
+    assert texts["500 (internal server error, server error, \u2717) http://a/{$id}"] == ["2/3 x [go:7](https://identifiers.org/resolve?query=go:7) (non-random)"]
     ok = ping(spark, [(1, "7", False, [hop("u", 200)], False, "go:7"), (1, "9", False, [hop("u", 200)], False, "go:9")])
     low = issues.find_issues(ok, registry, ["information-content"], analysis=a)
     assert [r["identity"] for r in issues.identities(low).collect()] == ['{"rid":1,"total_information_content":0.1,"type":"InformationContent"}']
@@ -185,11 +185,43 @@ def test_mentions_and_chains(spark):
 
 
 def test_institution_issues(spark):
-    registry = spark.createDataFrame([(1, "A", "http://a", None, "0x"), (2, "B", "http://b", "d", "r")], "iid int, name string, homeUrl string, description string, rorId string")
-    linked = spark.createDataFrame([(1, "A", "u", "A", "https://b", None, "0y"), (2, "B", "v", "B", None, None, "r")], "iid int, string string, uuid string, name string, homeUrl string, description string, rorId string")
-    got = linking.institution_issues(registry, linking.property_differences(registry, linked)).collect()
-    assert [(r["iid"], r["name"]) for r in got] == [(1, "A")]
-    assert json.loads(got[0]["identity"]) == {"iid": 1, "name": "A", "rorId": {"new": "<0y>", "old": "<0x>", "type": "REPLACE"}, "type": "InstitutionValidator"}
+    place = "struct<countryCode string, countryName string>"
+    registry = spark.createDataFrame([(1, "Ä \u65e5 \U0001f600", "http://a", None, "0x", ("DE", "Germany")), (2, "B", "http://b", "d", "r", ("FR", "France")), (3, "C", "http://c.org", "d", None, None)], f"iid int, name string, homeUrl string, description string, rorId string, location {place}")
+    linked = spark.createDataFrame([(1, "Ä \u65e5 \U0001f600", "u", "Ä \u65e5 \U0001f600", "https://b", None, "0y", ("DE", "Germany")), (2, "B", "v", "B", None, None, "r", ("FR", "France")), (3, "C", "u", "C", "https://c.org//", "e", None, ("IT", "Italy"))], f"iid int, string string, uuid string, name string, homeUrl string, description string, rorId string, location {place}")
+    found = linked.select("iid", "uuid", F.array("string").alias("matches"))
+    resources = spark.createDataFrame([(10, 1, "p", "M10", "go"), (11, 3, "CURATOR_REVIEW", "M11", "x"), (12, 2, "q", "M12", "y")], "rid int, iid int, providerCode string, mirId string, prefix string")
+    differences = linking.property_differences(registry, linked)
+    assert {(r["property"], r["verdict"]) for r in differences.filter("iid = 3").collect()} == {("name", "SAME"), ("homeUrl", "KEEP"), ("description", "KEEP"), ("rorId", "MISSING"), ("location", "ADD")}
+    got = {r["iid"]: r for r in linking.institution_issues(registry, differences, found, resources).collect()}
+    assert sorted(got) == [1, 3]
+    # Fixed value: what the tag store's keys look like.
+    assert got[1]["identity"] == '{"iid":1,"name":"\\u00c4 \\u65e5 \\ud83d\\ude00","rorId":{"new":"<0y>","old":"<0x>","type":"REPLACE"},"type":"InstitutionValidator"}'
+    detail = json.loads(got[3]["detail"])
+    assert detail["location"] == {"new": {"countryCode": "IT", "countryName": "Italy"}, "type": "ADD"} and detail["matches"] == ["C"]
+    assert detail["occurrences"] == ["[p/go](https://registry.identifiers.org/registry/go)", "[M11/x](https://registry.identifiers.org/registry/x)"]
+    ranks = {(r["iid"], r["same"], r["filled"]) for r in linking.candidate_order(differences).collect()}
+    assert ranks == {(1, 2, 4), (2, 3, 3), (3, 1, 4)}
+
+
+@pytest.mark.parametrize("text", ["plain", "é \u65e5\u672c \U0001f600 \x7f", 'quote " back \\ slash / \\u00', "\x01\x1f\n\t\r\b\f", "\u2028\ufeff"])
+def test_canonical_json_is_ascii(spark, text):
+    got = spark.createDataFrame([(text,)], "t string").select(pf.identity("Kind", name=F.col("t")).alias("i")).first()["i"]
+    assert got == json.dumps({"name": text, "type": "Kind"}, separators=(",", ":"), sort_keys=True)
+
+
+@pytest.mark.parametrize("old,new,want", [("http://a.org", "https://a.org//", "KEEP"), ("http://a.org/x?", "http://a.org/x#", "KEEP"), ("http://a.org/x?y", "http://a.org/x", "REPLACE"), ("ftp://a.org///", "a.org", "KEEP")])
+def test_addresses_are_compared_bare(spark, old, new, want):
+    df = spark.createDataFrame([("homeUrl", old, new)], "p string, o string, n string")
+    assert df.select(pf.property_verdict("p", "o", "n", F.lit(False)).alias("v")).first()["v"] == want
+
+
+def test_content_gate_and_percent(spark):
+    p = spark.createDataFrame([(1, [hop("u", 301), hop("v", 200)], "x"), (2, [hop("v", 200)], None), (3, [hop("v", 404)], "x"), (4, [], "x"), (5, [hop("v", None)], "x")], "rid int, redirects array<struct<url string, status int, dns_error boolean, ssl_error boolean, invalid_response boolean>>, content string")
+    assert [r["rid"] for r in issues.analysable(p).collect()] == [1]
+    assert spark.range(1).select(pf.percent(F.lit(12.3456)).alias("p")).first()["p"] == "1234.6%"
+    assert spark.createDataFrame([("CURATOR_REVIEW", "M", "go")], "p string, m string, n string").select(pf.resource_label("p", "m", "n").alias("l")).first()["l"] == "M/go"
+    h = spark.createDataFrame([("http://a", 30000)], "u string, ms int").select(pf.timeout_hops("u", "ms").alias("h")).first()["h"]
+    assert [(x["url"], x["status"], x["response_time"], x["dns_error"]) for x in h] == [("http://a", 408, 30000, False)]
 
 
 def test_damaged_and_unknown(spark, tmp_path):
@@ -204,8 +236,10 @@ def test_damaged_and_unknown(spark, tmp_path):
     (tmp_path / "z" / "packed.json").write_bytes(gzip.compress(b'{"n": 1}'))
     (tmp_path / "z" / "plain.gz").write_text('{"n": 2}')
     (tmp_path / "z" / "bad").write_text('{"n": ')
+    (tmp_path / "z" / "cut.gz").write_bytes(gzip.compress(b'{"n": 1}' * 99)[:30])
+    (tmp_path / "z" / "torn.gz").write_bytes(gzip.compress(b'{"n": 1}')[:10] + b"\xff" * 20)
     got = {r["file"].rpartition("/")[2]: r["record"] and r["record"]["n"] for r in sources.read_json_files(spark, str(tmp_path / "z"), "n int").collect()}
-    assert got == {"packed.json": 1, "plain.gz": 2, "bad": None}
+    assert got == {"packed.json": 1, "plain.gz": 2, "bad": None, "cut.gz": None, "torn.gz": None}
     (tmp_path / "u").mkdir()
     (tmp_path / "u" / "u.json").write_text('{"a": {"b": 1, "c": 2}, "d": {"e": 1}, "l": [{"x": 1}]}')
     assert sources.unknown_fields(spark, str(tmp_path / "u"), "a struct<b bigint>, l array<struct<y bigint>>") == ["a.c", "d", "l.x"]
