@@ -6,23 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probewell import functions as pf
+from probewell.operators.stored import stored
 
 
-def class_closure(classes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(class_id, ancestor): reflexive, transitive closure of (class_id, super_id) by doubling of paths, cycles included."""
-    from probewell.operators.stored import stored
+def class_closure(classes: DataFrame, acyclic: bool = False) -> DataFrame:
+    """(class_id, ancestor): reflexive, transitive closure of (class_id, super_id), cycles included.
 
-    ids = classes.select("class_id").unionByName(classes.select(F.col("super_id").alias("class_id"))).distinct()
-    paths = ids.select("class_id", F.col("class_id").alias("ancestor")).unionByName(classes.select("class_id", F.col("super_id").alias("ancestor"))).distinct()
-    paths, before = stored(paths), -1
-    for _ in range(rounds):
-        n = paths.count()
-        if n == before:
-            break
-        before = n
-        on = paths.select(F.col("class_id").alias("ancestor"), F.col("ancestor").alias("next"))
-        paths = stored(paths.join(on, "ancestor").select("class_id", F.col("next").alias("ancestor")).distinct())
-    return paths
+    Semi-naive: a round joins the pairs that the last one found, and no others, with the direct superclasses, and keeps those that aren't
+    known yet; it ends with the first round that finds none. Each round's pairs are stored. Null ids take no part. With acyclic, where
+    the classes have no cycle, it is one recursive query, which Spark stops with an error beyond the rows and levels that
+    spark.sql.cteRecursionRowLimit and spark.sql.cteRecursionLevelLimit allow.
+    """
+    spark = classes.sparkSession
+    edges = stored(classes.select("class_id", "super_id").filter("class_id is not null and super_id is not null").distinct())
+    ids = edges.select("class_id").unionByName(edges.select(F.col("super_id").alias("class_id"))).distinct()
+    if acyclic:
+        found = """with recursive c(class_id, ancestor) as (select class_id, class_id from {ids} union all
+            select c.class_id, e.super_id from c join {edges} e on c.ancestor = e.class_id) select distinct class_id, ancestor from c"""
+        return spark.sql(found, ids=ids, edges=edges)
+    new = stored(ids.select("class_id", F.col("class_id").alias("ancestor")))
+    known = new
+    while not new.isEmpty():
+        up = edges.select(F.col("class_id").alias("ancestor"), F.col("super_id").alias("next"))
+        found = new.join(up, "ancestor").select("class_id", F.col("next").alias("ancestor")).distinct()
+        new = stored(found.join(known, ["class_id", "ancestor"], "left_anti"))
+        known = known.unionByName(new)
+    return known
 
 
 def entity_types(instances: DataFrame, closure: DataFrame, organisation: int, territorial: int, publication: int, location: int) -> DataFrame:
@@ -34,10 +43,11 @@ def entity_types(instances: DataFrame, closure: DataFrame, organisation: int, te
     return flags.select("qid", kind.alias("type")).filter("type is not null")
 
 
-def ngrams(names: DataFrame, longest: int = 4) -> DataFrame:
-    """(id, start, end, candidate): runs of 1 to `longest` words of each name (id, name), trimmed, lower case."""
-    w = names.select("id", pf.words("name").alias("w"))
-    w = w.select("id", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).filter(F.size("w") >= F.col("n"))
+def ngrams(names: DataFrame, longest: int | None = None) -> DataFrame:
+    """(id, start, end, candidate): runs of words of each name (id, name), trimmed, lower case: all of them, or those of up to `longest` words."""
+    w = names.select("id", pf.words("name").alias("w")).filter(F.size("w") > 0)
+    most = F.size("w") if longest is None else F.least(F.size("w"), F.lit(longest))
+    w = w.select("id", "w", F.explode(F.sequence(F.lit(1), most)).alias("n"))
     w = w.select("id", "w", "n", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)).alias("start"))
     return w.select("id", "start", (F.col("start") + F.col("n")).alias("end"), F.array_join(F.slice("w", F.col("start"), F.col("n")), " ").alias("candidate"))
 
@@ -72,29 +82,49 @@ def search(candidates: DataFrame, labels: DataFrame, strict: bool = True, limit:
     return found.join(c, "cw").select("candidate", "qid", "label", "hits", "rank")
 
 
-def next_mentions(mentions: DataFrame) -> DataFrame:
+def next_starts(mentions: DataFrame, block: int = 4096) -> DataFrame:
+    """(id, end, next_start): for each end of a mention (id, start, end, ...) the first start at or after it in the same text, null without one.
+
+    An as-of join: starts and ends stand in one order, in which the first start that follows an end is its match. Texts are cut into blocks
+    of `block` places; the first start of later blocks comes from one row for each block, so a task sees a block of a text, not all of it.
+    """
+    starts = mentions.select("id", F.col("start").alias("at"), F.col("start").alias("s"), F.lit(1).alias("kind")).distinct()
+    ends = mentions.select("id", F.col("end").alias("at"), F.lit(None).cast(mentions.schema["start"].dataType).alias("s"), F.lit(0).alias("kind")).distinct()
+    at = starts.unionByName(ends).withColumn("block", F.floor(F.col("at") / block))
+    following = Window.partitionBy("id", "block").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+    near = at.withColumn("next", F.first("s", ignorenulls=True).over(following)).filter("kind = 0").select("id", "block", F.col("at").alias("end"), "next")
+    later = Window.partitionBy("id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = at.groupBy("id", "block").agg(F.min("s").alias("least")).withColumn("later", F.first("least", ignorenulls=True).over(later)).select("id", "block", "later")
+    return near.join(blocks, ["id", "block"]).select("id", "end", F.coalesce("next", "later").alias("next_start"))
+
+
+def next_mentions(mentions: DataFrame, block: int = 4096) -> DataFrame:
     """(id, start, end, text, next_start, next_end, next_text): each mention (id, start, end, text) with all those that start where the
-    first one after its end does; nulls where none follows. A text's starts meet in one array."""
-    starts = mentions.groupBy("id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    m = mentions.join(starts, "id").withColumn("next_start", F.array_min(F.filter("starts", lambda s: s >= F.col("end")))).drop("starts")
+    first one at or after its end does; nulls where none follows. Mentions of a null id take no part."""
+    m = mentions.join(next_starts(mentions.filter("id is not null"), block), ["id", "end"])
     after = mentions.select("id", F.col("start").alias("next_start"), F.col("end").alias("next_end"), F.col("text").alias("next_text")).distinct()
     return m.join(after, ["id", "next_start"], "left").select("id", "start", "end", "text", "next_start", "next_end", "next_text")
 
 
-def chained_candidates(mentions: DataFrame, hits: DataFrame, longest: int = 4) -> DataFrame:
+def chained_candidates(mentions: DataFrame, hits: DataFrame, longest: int | None = None) -> DataFrame:
     """(id, candidate, strict) from mentions (id, start, end, text) and the texts (text, lower case) that a strict search finds.
 
-    A mention with hits is a candidate, and so is each chain of it and of following mentions, of up to `longest`, as long as each has
-    hits of its own. A mention without hits is to be searched loosely.
+    A mention with hits is a candidate, and so is each chain of it and of following mentions, as long as each has hits of its own, of
+    up to `longest` mentions if that is given. A mention without hits is to be searched loosely. A round makes the chains of one
+    more mention from those of the round before; the last one finds none. A chain goes on to a mention that ends later only, so
+    each round moves on and the rounds end, mentions of no length included.
     """
     m = mentions.withColumn("text", F.lower(F.trim("text"))).distinct()
     known = hits.select(F.lower("text").alias("text")).distinct()
     found = m.join(known, "text", "left_semi")
     out = found.select("id", F.col("text").alias("candidate"), F.lit(True).alias("strict")).unionByName(m.join(known, "text", "left_anti").select("id", F.col("text").alias("candidate"), F.lit(False).alias("strict")))
-    follows = next_mentions(m).filter("next_text is not null").join(known.withColumnRenamed("text", "next_text"), "next_text", "left_semi").select("id", "start", "end", "next_start", "next_end", "next_text").distinct()
-    chain = found.select("id", "start", "end", F.col("text").alias("candidate"))
-    for _ in range(longest - 1):
-        chain = chain.join(follows, ["id", "start", "end"]).select("id", F.col("next_start").alias("start"), F.col("next_end").alias("end"), F.concat_ws(" ", "candidate", "next_text").alias("candidate"))
+    follows = next_mentions(m).filter("next_text is not null and next_end > end").join(known.withColumnRenamed("text", "next_text"), "next_text", "left_semi")
+    follows = stored(follows.select("id", "start", "end", "next_start", "next_end", "next_text").distinct())
+    chain, n = stored(found.select("id", "start", "end", F.col("text").alias("candidate"))), 1
+    while (longest is None or n < longest) and not chain.isEmpty():
+        n += 1
+        longer = chain.join(follows, ["id", "start", "end"]).select("id", F.col("next_start").alias("start"), F.col("next_end").alias("end"), F.concat_ws(" ", "candidate", "next_text").alias("candidate"))
+        chain = stored(longer.distinct())
         out = out.unionByName(chain.select("id", "candidate", F.lit(True).alias("strict")))
     return out.distinct()
 
@@ -104,6 +134,55 @@ def iou(a, b):
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
+def top_by_overlap(candidates: DataFrame, labels: DataFrame, k: int = 10, bounds: tuple[float, ...] = (0.8, 0.6, 0.4, 0.2, 0.0), looked_at: list | None = None) -> DataFrame:
+    """(candidate, qid, label, iou, rank): for each candidate the k labels (qid, label) of largest word overlap, ties to the smaller qid, then label.
+
+    A set-similarity join in rounds of falling bounds. Words are ordered from the rarest on. Two sets of overlap t or more share a word among
+    the first |x| - ceil(t |x|) + 1 of either, and their sizes differ by a factor of t at most: only sets that pass both are compared.
+    A candidate whose k-th best label reaches the bound is done, since no other can be better; the rest goes on to the next bound, so
+    that frequent words are looked up only for candidates that rarer ones gave too little. The pairs of sets compared in each round are
+    added to `looked_at`, if given. Labels and candidates of equal words are one in the join; those without words find nothing.
+    """
+    c = stored(candidates.select("candidate").distinct().withColumn("cw", F.array_sort(F.array_distinct(pf.words("candidate")))).filter(F.size("cw") > 0))
+    l_ = stored(labels.select("qid", "label", F.array_sort(F.array_distinct(pf.words("label"))).alias("lw")).filter(F.size("lw") > 0))
+    sized = stored(l_.groupBy("lw").agg(F.count("*").alias("n")))
+    often = sized.select(F.explode("lw").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    often = stored(often)
+
+    def ranked(sets: DataFrame, name: str) -> DataFrame:
+        """The words of each set as rows (name, size, word, place), from the rarest on; words that no label has come first."""
+        words = sets.select(name).distinct().select(name, F.explode(name).alias("word")).join(often, "word", "left")
+        order = F.row_number().over(Window.partitionBy(name).orderBy(F.coalesce("often", F.lit(0)), "word"))
+        return words.select(name, F.size(name).alias(f"{name}_size"), "word", order.alias("place"))
+
+    asked, held = stored(ranked(c, "cw")), stored(ranked(l_, "lw"))
+    left, done = c.select("cw").distinct(), None
+    for t in bounds:
+        prefix = lambda size: F.col(size) - F.ceil(F.col(size) * t - 1e-9) + (1 if t else 0)  # noqa: E731, B023
+        x = asked.join(left, "cw", "left_semi").filter(F.col("place") <= prefix("cw_size"))
+        y = held.filter(F.col("place") <= prefix("lw_size")).select("lw", "lw_size", "word")
+        near = (F.col("lw_size") >= F.col("cw_size") * t - 1e-9) & (F.col("cw_size") >= F.col("lw_size") * t - 1e-9)
+        pairs = x.select("cw", "cw_size", "word").join(y, "word").filter(near).select("cw", "lw").distinct()
+        pairs = stored(pairs.withColumn("iou", iou(F.col("cw"), F.col("lw"))))
+        if looked_at is not None:
+            looked_at.append(pairs.count())
+        # The best sets that hold k labels between them.
+        best = pairs.filter(F.col("iou") >= t - 1e-9).join(sized, "lw")
+        tier, whole = Window.partitionBy("cw", "iou"), Window.partitionBy("cw").orderBy(F.desc("iou"))
+        best = best.withColumn("upto", F.sum("n").over(whole)).withColumn("before", F.col("upto") - F.sum("n").over(tier)).filter(F.col("before") < k)
+        full = best.groupBy("cw").agg(F.max("upto").alias("have")).filter(F.lit(t == 0) | (F.col("have") >= k)).select("cw")
+        kept = stored(best.join(full, "cw", "left_semi").select("cw", "lw", "iou"))
+        done = kept if done is None else done.unionByName(kept)
+        if t == 0:
+            break
+        left = stored(left.join(full, "cw", "left_anti"))
+        if left.isEmpty():
+            break
+    found = done.join(l_, "lw")
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("cw").orderBy(F.desc("iou"), "qid", "label"))).filter(F.col("rank") <= k)
+    return found.join(c, "cw").select("candidate", "qid", "label", "iou", "rank")
+
+
 def best_by_overlap(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The label of each match with the largest word overlap, ties to the smaller qid; pairs: (match, qid, label, ...)."""
     score = iou(F.array_distinct(pf.words("match")), F.array_distinct(pf.words("label")))

@@ -379,8 +379,8 @@ PAIRS = f"""n as (select distinct string, {WORDS.format("string")} as x from v_n
 def name_iou_top1(spark, d):
     """The label with the largest word overlap for each name, among all labels that share a word with it."""
     n = view(spark, d, "v_name").select(F.col("string").alias("candidate")).distinct()
-    best = linking.search(n, view(spark, d, "v_kb_label"), strict=False, limit=1)
-    return linking.best_by_overlap(best.withColumnRenamed("candidate", "match")).select(F.col("match").alias("string"), "qid", "label", "iou")
+    best = linking.top_by_overlap(n, view(spark, d, "v_kb_label"), k=1)
+    return best.select(F.col("candidate").alias("string"), "qid", "label", "iou")
 
 
 @query(f"""with {PAIRS.replace("from v_name", "from (select label as string from v_kb_label where qid % 3 = 0)")}, f as (select n.string as candidate, l.qid, l.label, len(n.x)::double / len(l.y) as score from n join lw on lw.word = n.x[1] join l on l.y = lw.y where len(list_intersect(n.x, l.y)) = len(n.x)),
@@ -492,6 +492,28 @@ def next_mentions(spark, d):
     return linking.next_mentions(m)
 
 
+MENTIONS = "select distinct o_custkey as id, (o_orderkey % 400) * 3 as s, (o_orderkey % 400) * 3 + 1 + o_orderkey % 3 as e, concat('m', o_orderkey % 11) as text from orders"
+
+
+@query(f"""with recursive x as materialized ({MENTIONS}), k as (select distinct text from x where text not in ('m3', 'm7')), n as (select a.*, (select min(b.s) from x b where b.id = a.id and b.s >= a.e) as t from x a),
+ f as materialized (select n.id, n.s, n.e, y.s as ns, y.e as ne, y.text as nt from n join x y on y.id = n.id and y.s = n.t where y.text in (select text from k)),
+ c as (select id, s, e, text as candidate from x where text in (select text from k) union select c.id, f.ns, f.ne, concat(c.candidate, ' ', f.nt) from c join f on c.id = f.id and c.s = f.s and c.e = f.e)
+ select distinct id, candidate, true as strict from c union select distinct id, text, false from x where text not in (select text from k)""")
+def chained_candidates(spark, d):
+    """Mentions and the chains that following mentions make with them, without a limit to their number."""
+    spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    m = spark.sql(MENTIONS).select("id", F.col("s").alias("start"), F.col("e").alias("end"), "text")
+    return linking.chained_candidates(m, m.filter("text not in ('m3', 'm7')").select("text"))
+
+
+@query(f"""with {PAIRS}, r as (select xy.x, l.qid, l.label, xy.iou, row_number() over (partition by xy.x order by iou desc, l.qid, l.label) as rank from xy join l on l.y = xy.y)
+ select string as candidate, qid, label, iou, rank from n join r using (x) where rank <= 10""")
+def loose_search(spark, d):
+    """The ten labels of largest word overlap for each name, among all that share a word with it."""
+    n = view(spark, d, "v_name").select(F.col("string").alias("candidate")).distinct()
+    return linking.top_by_overlap(n, view(spark, d, "v_kb_label"), k=10)
+
+
 @query("""select event_id, case when event_type = 'error' then case when user_id % 3 = 0 then 408 else 434 end else coalesce(case when user_id % 4 = 0 then 226 end, 200) end as ftp_status, event_type = 'error' and user_id % 3 <> 0 as ftp_dns,
   case when user_id % 5 in (0, 4) then case when event_type = 'error' then 408 end else 200 + user_id % 5 end as http_status, concat('10.0.0.', user_id % 250, ':', 80 + event_id % 2) as ip_port, case user_id % 3 when 0 then 'http' when 1 then 'ftp' else 'unsupported' end as client from events""")
 def hop_outcomes(spark, d):
