@@ -238,22 +238,41 @@ def _inline_json(text: pd.Series) -> pd.Series:
     return text.map(json_values, na_action="ignore")
 
 
-def exclusion_pattern(ids) -> Column:
-    """One pattern for a provider's ids (array), longest first; for an id with # also what precedes it, and its first letters and digits."""
-    more = F.flatten(F.transform(ids, lambda x: F.when(x.contains("#"), F.array(x, F.substring_index(x, "#", 1), F.regexp_extract(x, "^[A-Za-z0-9]*", 0))).otherwise(F.array(x))))
-    more = F.array_distinct(F.filter(more, lambda x: x.isNotNull() & (x != "")))
-    ordered = F.transform(F.sort_array(F.transform(more, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: F.concat(F.lit(r"\Q"), F.replace(s.x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+def exclusion_forms(lui) -> Column:
+    """What is taken out of a text for an id: the id, and for one with # also what precedes it, and its first letters and digits."""
+    more = F.when(lui.contains("#"), F.array(lui, F.substring_index(lui, "#", 1), F.regexp_extract(lui, "^[A-Za-z0-9]*", 0))).otherwise(F.array(lui))
+    return F.array_distinct(F.filter(more, lambda x: x.isNotNull() & (x != "")))
+
+
+def pattern_of_forms(forms) -> Column:
+    """One pattern for the forms (array), longest first; null for none."""
+    ordered = F.transform(F.sort_array(F.transform(F.array_distinct(forms), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: F.concat(F.lit(r"\Q"), F.replace(s.x, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     return F.when(F.size(ordered) > 0, F.concat(F.lit(r"(?<![A-Za-z0-9_])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![A-Za-z0-9_])")))
 
 
+def exclusion_pattern(ids) -> Column:
+    """One pattern for the forms of a provider's ids (array)."""
+    return pattern_of_forms(F.flatten(F.transform(ids, exclusion_forms)))
+
+
 def plain_tokens(column) -> Column:
     """Lower-case tokens of plain text: word characters, joined by single - ' . + : between them."""
     return F.transform(F.regexp_extract_all(column, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
-def tokens(content: str, exclusions: Column | None = None) -> Column:
-    """Markup to text, inline JSON to values, addresses and exclusions deleted, then plain_tokens."""
-    c = markup_text(F.col(content))
-    c = F.when(c.rlike(r"[{\[]"), _inline_json(c)).otherwise(c)
+def plain_text(content) -> Column:
+    """Markup to text, inline JSON to values."""
+    c = markup_text(F.col(content) if isinstance(content, str) else content)
+    return F.when(c.rlike(r"[{\[]"), _inline_json(c)).otherwise(c)
+
+
+def tokens_of_text(text, exclusions: Column | None = None) -> Column:
+    """Addresses and exclusions (a pattern) deleted, then plain_tokens."""
+    c = F.col(text) if isinstance(text, str) else text
     pattern = F.lit(f"(?i){URL}") if exclusions is None else F.when(exclusions.isNull(), F.lit(f"(?i){URL}")).otherwise(F.concat(F.lit(f"(?i:{URL})|(?i:"), exclusions, F.lit(")")))
     return plain_tokens(F.regexp_replace(c, pattern, F.lit("")))
+
+
+def tokens(content: str, exclusions: Column | None = None) -> Column:
+    """Markup to text, inline JSON to values, addresses and exclusions deleted, then plain_tokens."""
+    return tokens_of_text(plain_text(content), exclusions)

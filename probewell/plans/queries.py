@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probewell import functions as pf
-from probewell.operators import curation, fragments, issues, jobs, linking, suffixes
+from probewell.operators import content, curation, fragments, issues, jobs, linking, suffixes
 from probewell.operators.stored import shared_folder
 from probewell.plans.views import pings, view, with_views
+from probewell.sources import checks
 from probewell.sources import known_ids as known_id_rows
 from probewell.sources import nest_datamine, read_jobs, upsert_tags, write_json, write_known_ids
 from probewell.streaming import failure_rates
@@ -346,6 +347,36 @@ def common_lengths(spark, d):
     return found.filter(F.size("m") > 0).select("grp", F.size("m").cast("long").alias("size"), F.size(F.filter("m", lambda x: x > 0)).cast("long").alias("matched"), total.alias("total"))
 
 
+@query("""with p as (select qid % 50 as rid, qid, string_split(label, ' ') as w from v_kb_label), ids as (select distinct rid, unnest(w) as word from p where qid % 7 = 0)
+ select p.qid, coalesce(array_to_string(list_filter(w, lambda t: not list_contains(coalesce(x.words, []), t)), ' '), '') as tokens from p left join (select rid, list(word) as words from ids group by rid) x on p.rid = x.rid""")
+def tokens_without_ids(spark, d):
+    """Texts less the ids of their provider: labels less the words of every seventh label of the provider."""
+    l_ = view(spark, d, "v_kb_label").select((F.col("qid") % 50).alias("rid"), F.col("qid").cast("string").alias("lui"), F.col("qid").alias("ord"), F.col("label").alias("content"))
+    ids = l_.filter("ord % 7 = 0").select("rid", F.explode(F.split("content", " ")).alias("lui"))
+    good = F.array(F.struct(F.lit("http://a").alias("url"), F.lit(200).alias("status")))
+    found = content.analysed_tokens(l_.withColumn("redirects", good), ids)
+    return found.select(F.col("ord").alias("qid"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("""with l as (select cast(l_orderkey % 97 as varchar) as grp, l_partkey as p, l_linenumber % 2 as hop from lineitem), json as (select * from l where p % 11 <> 0),
+ e as (select grp, null as path, 'not JSON' as rule from l where p % 11 = 0 union all select grp, 'lui', 'not string' from json where p % 3 = 0 union all select grp, 'redirects[0].status', 'not integer' from json where p % 4 = 0
+  union all select grp, concat('redirects[', hop, '].host'), 'unknown' from json where p % 5 = 0 union all select grp, 'extra', 'unknown' from json where p % 6 = 0)
+ select grp, path, rule, count(*) as n from e group by all""")
+def schema_paths(spark, d):
+    """The places at which records of pings break their schema."""
+    l_ = spark.read.parquet(f"{d}/lineitem.parquet")
+    p = F.col("l_partkey")
+    lui = F.when(p % 3 == 0, p.cast("string")).otherwise(F.concat(F.lit('"'), p.cast("string"), F.lit('"')))
+    status = F.when(p % 4 == 0, F.lit('"ok"')).otherwise(F.lit("200"))
+    host = F.when(p % 5 == 0, F.lit(', "host": {"a": [1]}')).otherwise(F.lit(""))
+    hop = lambda i: F.concat(F.lit('{"url": null, "status": '), status if i == 0 else F.lit("1"), F.when(F.col("l_linenumber") % 2 == i, host).otherwise(F.lit("")), F.lit("}"))
+    text = F.concat(F.lit('{"rid": 1, "lui": '), lui, F.lit(', "redirects": ['), hop(0), F.lit(", "), hop(1), F.lit("]"), F.when(p % 6 == 0, F.lit(', "extra": 1')).otherwise(F.lit("")), F.lit("}"))
+    text = F.when(p % 11 == 0, F.lit('{"rid": ')).otherwise(text)
+    records = l_.select((F.col("l_orderkey") % 97).cast("string").alias("file"), F.col("l_linenumber").alias("record"), text.alias("text"))
+    closed = spark.createDataFrame([], "rid bigint, lui string, redirects array<struct<url string, status int>>").schema
+    return checks.schema_errors(records, closed).groupBy(F.col("file").alias("grp"), "path", "rule").agg(F.count("*").alias("n"))
+
+
 @query()
 def tokens_of_pages(spark, d):
     p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
