@@ -77,7 +77,7 @@ def gray_rank(v: np.ndarray) -> np.ndarray:
     return v
 
 
-def linked(fp: np.ndarray, starts: np.ndarray, limit: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def near_in_groups(fp: np.ndarray, starts: np.ndarray, limit: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs at most `limit` bits apart within each group; fp is in Gray order within groups that start at `starts`."""
     sizes = np.diff(np.append(starts, len(fp)))
     all_and, all_or, child_at, levels = fp, fp, None, []
@@ -120,7 +120,7 @@ def star_edges(table: pa.Table, keys: list[str], limit: int) -> pa.RecordBatch:
     for lo, hi in itertools.pairwise([0, *(np.flatnonzero(np.diff(lot)) + 1), len(sizes)]):
         s = start[lo:hi]
         part = fp[s[0] : start[hi] if hi < len(start) else len(fp)]
-        a, b = linked(part, s - s[0], limit)
+        a, b = near_in_groups(part, s - s[0], limit)
         root = smallest_labels(len(part), a, b)
         at = np.flatnonzero(root != np.arange(len(part)))
         out_a.append(part[root[at]].view(np.int64))
@@ -179,67 +179,86 @@ def shingle_set(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(words_of(text), shingle, seed)]))
 
 
-def set_fingerprints(hashes: np.ndarray, n: int) -> list[int]:
-    """n SimHashes of a set of shingles, by independent hashes."""
-    out = []
-    for m in _MORE[:n]:
-        h = hashes * m
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority([h ^ (h >> np.uint64(29))], len(hashes)))
-    return out
-
-
-def candidates(classes: DataFrame, prints: int, limit: int) -> DataFrame:
-    """(cid, comp): classes (cid, fps) that share a component of equal or near fingerprints, in any of the `prints` sets of them, with others."""
-    links = None
-    for f in range(prints):
-        own = stored(classes.select("cid", F.col("fps")[f].alias("fp")))
-        nodes = stored(own.groupBy("fp").agg(F.min("cid").alias("first")))
-        near = near_edges(nodes.select("fp"), limit).distinct()
-        near = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        same = own.join(nodes, "fp").filter("cid <> first")
-        both = stored(near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("cid").alias("a"), F.col("first").alias("b"))))
-        discard(own, nodes)
-        links = both if links is None else links.unionByName(both)
-    found = components(links)
-    return found.select(F.col("node").alias("cid"), F.col("root").alias("comp")).unionByName(found.select(F.col("root").alias("cid"), F.col("root").alias("comp")).distinct())
+def mixed_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Further hash number n of a set of shingles."""
+    h = hashes * _MORE[n]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash for each band: of the least values of `rows` hashes over the set."""
+    least = np.array([mixed_hashes(hashes, i).min() for i in range(bands * rows)], np.uint64).reshape(bands, rows)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least)], np.uint64).view(np.int64)
+
+
+def simhash_pairs(classes: DataFrame, limit: int) -> DataFrame:
+    """(a, b): pairs of classes (cid, fp) with equal fingerprints, or with ones that the index puts into one component; the smaller one first."""
+    own = stored(classes.select("cid", "fp"))
+    nodes = stored(own.groupBy("fp").agg(F.min("cid").alias("first")))
+    near = near_edges(nodes.select("fp"), limit).distinct()
+    near = near.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    same = own.join(nodes, "fp").filter("cid <> first")
+    both = near.select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(same.select(F.col("first").alias("a"), F.col("cid").alias("b")))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def repeated_classes(members: DataFrame, similarity: float, rounds: int = 6, block: int = 1024) -> DataFrame:
-    """The cid of each member (cid, comp, shingles) that repeats another one with a smaller cid, which may repeat one itself.
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets (cid, shingles) reach the similarity, stored. A set that stands in many pairs is split among tasks at run time."""
+    both = pairs.join(sets.select(F.col("cid").alias("b"), "shingles"), "b").join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("held")), "a")
+    common = F.size(F.array_intersect("shingles", "held"))
+    return stored(both.filter(common >= similarity * (F.size("shingles") + F.size("held") - common)).select("a", "b"))
 
-    Each round groups the members of a component by a min-hash of their shingles, compares each with the smallest cid of its
-    group by the Jaccard similarity of the whole sets, and takes out those that reach `similarity`. Two that do share a
-    min-hash with that probability at least, so six rounds miss 0.2 ** 6 of them at 0.8. A large group is dealt in parts of
-    about `block` members.
+
+def groups_of(classes: DataFrame, sets_of, similarity: float, limit: int, small: int = 24, rounds: int = 4) -> DataFrame:
+    """(node, root): the class that each of classes (cid, fp, bands) is linked to by steps, if it isn't that class itself; root is the smallest cid.
+
+    Candidates share a fingerprint component or a band. In a bucket of up to `small` classes all pairs are compared. A larger one compares
+    all with one of them, its head; while some of it aren't of the head's group, one class of each group is compared with a new
+    head, in at most `rounds` rounds. Pairs are verified by their whole sets; sets_of (classes) gives those (cid, shingles).
     """
-    out, left = None, stored(members)
-    for n in range(rounds):
-        least = F.array_min(F.transform("shingles", lambda x: F.xxhash64(x, F.lit(n))))
-        grouped = left.withColumn("least", least)
-        heads = grouped.groupBy("comp", "least").agg(F.min("cid").alias("head"), F.count("*").alias("n")).filter("n > 1")
-        heads = stored(heads.select("comp", "least", "head", F.ceil(F.col("n") / block).cast("int").alias("parts")))
-        keys = ["comp", "least", "part"]
-        mine = left.join(heads.withColumnRenamed("head", "cid"), ["comp", "cid"]).select("comp", "least", F.col("shingles").alias("held"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        others = grouped.join(heads, ["comp", "least"]).filter("cid <> head").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-        common = F.size(F.array_intersect("shingles", "held"))
-        gone = stored(others.join(mine, keys).filter(common >= similarity * (F.size("shingles") + F.size("held") - common)).select("cid"))
-        out = gone if out is None else out.unionByName(gone)
-        last, left = left, stored(left.join(gone, "cid", "left_anti"))
-        discard(last, heads)
-    discard(left)
-    return out
-
-
-def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prints: int = 4, limit: int = 4) -> DataFrame:
-    """The rows of docs less those that repeat another one: equal words, or a Jaccard similarity of at least `similarity`
-    between the sets of their shingles.
-
-    Texts of equal words (white space and the case of A-Z don't count) are a class, of which the row with the smallest
-    doc_id stays; null ids come last, then the number that the row got when it was read. Classes are candidates for one
-    another if one of `prints` fingerprints is at most `limit` bits apart, also by steps; the similarity is then computed from
-    the whole shingle sets. Texts without words, null ones among them, are one class. Rows that repeat a doc_id with
-    other texts are documents of their own. Extra columns stay; an empty table gives no rows. Columns are those of docs.
+    rows = stored(classes.select("cid", F.posexplode("bands").alias("band", "key")))
+    full = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("cid").alias("head")).filter("n > 1")
+    buckets = stored(rows.join(full, ["band", "key"]))
+    few = buckets.filter(F.col("n") <= small)
+    all_pairs = few.select("band", "key", F.col("cid").alias("a")).join(few.select("band", "key", F.col("cid").alias("b")), ["band", "key"]).filter("a < b").select("a", "b")
+    many = buckets.filter(F.col("n") > small)
+    stars = many.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
+    pairs = stored(all_pairs.unionByName(stars).unionByName(simhash_pairs(classes, limit)).distinct())
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    sets = stored(sets_of(wanted))
+    links = linked(pairs, sets, similarity)
+    found = components(links)
+    large = stored(many.select("band", "key", "cid"))
+    discard(rows, buckets)
+    for n in range(rounds if not large.isEmpty() else 0):
+        known = large.join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        # One class of each group in a bucket, another one in each round.
+        pick = F.min_by("cid", F.xxhash64("cid", F.lit(n)))
+        one = known.groupBy("band", "key", "root").agg(pick.alias("cid"))
+        heads = one.groupBy("band", "key").agg(F.min_by("cid", F.xxhash64("root", F.lit(n))).alias("head"), F.count("*").alias("n")).filter("n > 1")
+        open_ = stored(one.join(heads, ["band", "key"]).filter("cid <> head").select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct())
+        if open_.isEmpty():
+            break
+        more = linked(open_, sets, similarity)
+        if more.isEmpty():
+            continue
+        links = links.unionByName(more)
+        found = components(links)
+    return found
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limit: int = 4, bands: int = 12, rows_per_band: int = 5) -> DataFrame:
+    """The rows of docs less those that repeat another one: equal words, or a Jaccard similarity of at least `similarity` between the sets of
+    their shingles. Of rows that are linked so, by steps, one stays.
+
+    Texts of equal words (white space and the case of A-Z don't count) are a class, of which the row with the smallest doc_id stays, as it
+    does of a group of classes; null ids come last, then the number that the row got when it was read. Two classes are compared
+    if their SimHashes are at most `limit` bits apart, also by steps, or one of `bands` hashes of `rows_per_band` least values is equal:
+    at a similarity of 0.8 that is so for 99 of 100 pairs, at which SimHash alone finds few. The similarity is then computed from the
+    whole sets, so nothing goes that is less similar to all others. Texts without words, null ones among them, are one class. Rows
+    that repeat a doc_id with other texts are documents of their own. Extra columns stay; an empty table gives no rows. Columns are
+    those of docs.
     """
     numbered = stored(docs.withColumn("_dedup_row", F.monotonically_increasing_id()))
 
@@ -249,24 +268,27 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, prin
             for t in b["text"].to_pylist():
                 words = words_of(t)
                 h = shingle_set(t, shingle)
-                rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), np.array(set_fingerprints(h, prints) if words else [0] * prints, np.uint64).view(np.int64)))
-            same, fps = zip(*rows) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b["_dedup_row"], b["doc_id"], pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["_dedup_row", "doc_id", "same", "fps"])
+                fp = np.array([majority([h], len(h)) if words else 0], np.uint64).view(np.int64)[0]
+                rows.append((hashlib.blake2b(b" ".join(words), digest_size=16).digest(), fp, band_keys(h, bands, rows_per_band) if words else np.zeros(bands, np.int64)))
+            same, fps, keys = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b["_dedup_row"], b["doc_id"], pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["_dedup_row", "doc_id", "same", "fp", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(numbered.select("_dedup_row", "doc_id", "text").mapInArrow(prints_of, f"_dedup_row long, doc_id {kind}, same binary, fps array<long>"))
+    rows = stored(numbered.select("_dedup_row", "doc_id", "text").mapInArrow(prints_of, f"_dedup_row long, doc_id {kind}, same binary, fp long, bands array<long>"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_dedup_row"))
-    classes = rows.groupBy("same").agg(first.alias("first"), F.first("fps").alias("fps"))
+    classes = rows.groupBy("same").agg(first.alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     # Numbered in the order of their first rows, so that the smallest cid of a component is the smallest doc_id.
-    classes = stored(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()).select("cid", F.col("first._dedup_row").alias("_dedup_row"), "fps"))
-    found = candidates(classes, prints, limit)
-    wanted = classes.join(found, "cid").select("cid", "comp", "_dedup_row")
+    classes = stored(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("cid", F.monotonically_increasing_id()).select("cid", F.col("first._dedup_row").alias("_dedup_row"), "fp", "bands"))
 
     def sets_of(batches):
         for b in batches:
             sets = [shingle_set(t, shingle).view(np.int64) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["cid"], b["comp"], pa.array(sets, pa.list_(pa.int64()))], ["cid", "comp", "shingles"])
+            yield pa.RecordBatch.from_arrays([b["cid"], pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        of = classes.join(wanted, "cid", "left_semi").select("cid", "_dedup_row")
+        return numbered.select("_dedup_row", "text").join(of, "_dedup_row").select("cid", "text").mapInArrow(sets_of, "cid long, shingles array<long>")
 
-    members = numbered.select("_dedup_row", "text").join(wanted, "_dedup_row").select("cid", "comp", "text").mapInArrow(sets_of, "cid long, comp long, shingles array<long>")
-    stay = classes.join(repeated_classes(members, similarity), "cid", "left_anti").select("_dedup_row")
+    found = groups_of(classes, sets, similarity, limit)
+    stay = classes.join(found.select(F.col("node").alias("cid")), "cid", "left_anti").select("_dedup_row")
     return numbered.join(stay, "_dedup_row", "left_semi").select(*docs.columns)

@@ -428,17 +428,34 @@ def test_deduplicate(spark, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
-def test_deduplicate_recall():
-    """Share of near copies at given edits that four fingerprints of 4 bits find, as the README has it."""
-    r, found, total = random.Random(2), collections.Counter(), collections.Counter()
-    for _ in range(150):
-        base = [f"w{r.randrange(3000)}" for _ in range(200)]
-        for edits in (1, 2, 4):
-            a, b = (simhash.shingle_set(" ".join(t), 5) for t in (base, edited(r, base, edits)))
-            near = any((x ^ y).bit_count() <= 4 for x, y in zip(simhash.set_fingerprints(a, 4), simhash.set_fingerprints(b, 4)))
-            total[edits] += 1
-            found[edits] += near
-    assert [found[e] / total[e] > least for e, least in ((1, 0.85), (2, 0.55), (4, 0.1))] == [True] * 3, {e: found[e] / total[e] for e in total}
+def test_deduplicate_recall(spark):
+    """Pairs at similarities about 0.80 to 0.95 against brute force: at least 95 % of those of 0.8 or more lose one, and none below."""
+    r, rows, pairs = random.Random(2), [], []
+    for edits in (1, 2, 3, 4, 5, 6, 8):
+        for _ in range(40):
+            base = [f"w{r.randrange(3000)}" for _ in range(200)]
+            a, b = base, edited(r, base, edits)
+            x, y = (simhash.shingle_set(" ".join(t), 5) for t in (a, b))
+            common = len(np.intersect1d(x, y))
+            pairs.append((len(rows), common / (len(x) + len(y) - common)))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    kept = {x["doc_id"] for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(i in kept for i, _ in pairs)
+    assert not [j for i, j in pairs if j < 0.8 and i + 1 not in kept]
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 0.95), (0.95, 1.01)):
+        near = [i + 1 for i, j in pairs if low <= j < high]
+        assert len(near) > 20 and sum(i not in kept for i in near) >= 0.95 * len(near), (low, len(near))
+
+
+def test_a_large_bucket_of_several_groups(spark):
+    """A third of the rows in near copies of one text, and a bucket whose head is like none of a second group."""
+    r = random.Random(3)
+    first = [f"w{r.randrange(3000)}" for _ in range(150)]
+    second = edited(r, first, 12)
+    rows = [(i, " ".join(edited(r, first if i % 2 else second, 1))) for i in range(160)]
+    rows += [(1000 + i, " ".join(f"w{r.randrange(3000)}" for _ in range(100))) for i in range(100)]
+    kept = {x["doc_id"] for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert {i for i in kept if i < 1000} in ({0, 1}, {0}) and len([i for i in kept if i >= 1000]) == 100
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
