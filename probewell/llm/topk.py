@@ -2,7 +2,7 @@
 
 Each block of candidates keeps, for every dimension, its values as a sorted list. A query reads a list from the end that raises
 its score: from the top where its component is positive, from the bottom where it is negative. The lists are read in step, in
-stretches of growing depth. What was read gives each candidate a partial score; the value read last bounds the rest from
+stretches of growing depth; while most candidates are open after one, bounds can't tell yet, and the next stretch goes to the end. What was read gives each candidate a partial score; the value read last bounds the rest from
 above, the list's far end bounds it from below. A candidate whose upper bound is under the k-th best lower bound can't
 qualify any more and is skipped from then on. Those left get their final scores by reading on to the ends of the lists, or until
 nothing of theirs is unread. No candidate's vector is ever looked up.
@@ -17,15 +17,18 @@ from pyspark.sql import functions as F
 
 from probewell.llm.common import stored
 
-#: Parts of a list's length after which bounds are looked at.
-DEPTHS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 15 / 16, 1)
+#: Part of a list's length that is read first; each further stretch doubles the depth.
+FIRST = 1 / 32
+#: Share of candidates still open from which on the rest is read at once.
+MOST_OPEN = 0.5
 LOWEST = -(2**62)
 
 
-def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, reads: list[int] | None = None) -> pd.DataFrame:
+def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, reads: list[int] | None = None, floor: np.ndarray | None = None) -> pd.DataFrame:
     """The k best candidates of a block for each query, ties to the smaller id; fewer if the block has fewer.
 
-    The number of list entries read is added to `reads`, if given.
+    floor: for each query a score that k candidates of other blocks reach; what is below doesn't qualify. The number of list entries read is added
+    to `reads`, if given.
     """
     n, dims = x.shape
     # Sums are exact: in floating point as long as they stay below 2 ** 52, else in 64-bit integers.
@@ -39,11 +42,10 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
     row = np.arange(n)
     own = query_ids[None, :] == ids[:, None]
     sums, open_ = np.zeros((n, len(q)), kind), ~own
-    before = 0
-    for part in DEPTHS:
-        depth = max(before, int(np.ceil(n * part)))
-        if depth == before:
-            continue
+    before, depth = 0, 0
+    while depth < n:
+        busy = before > 0 and open_.mean() > MOST_OPEN
+        depth = n if busy else min(n, max(2 * before, int(np.ceil(n * FIRST))))
         top, bottom = (place >= n - depth) & (place < n - before), (place >= before) & (place < depth)
         sums += np.where(top, value, 0) @ plus + np.where(bottom, value, 0) @ minus
         if reads is not None:
@@ -58,7 +60,7 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
         lower = sums + unread_top @ (plus * ordered[0][:, None]) + unread_bottom @ (minus * ordered[-1][:, None])
         lower[~open_] = LOWEST
         kth = np.partition(lower, -k, axis=0)[-k] if len(row) > k else LOWEST
-        open_ &= upper >= kth
+        open_ &= upper >= (kth if floor is None else np.maximum(kth, floor))
         alive = open_.any(axis=1)
         if alive.mean() < 0.9:
             row, place, value, sums, open_ = (a[alive] for a in (row, place, value, sums, open_))
@@ -72,12 +74,19 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarr
 
 
 def task_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, block: int = 8192, query_block: int = 128) -> pd.DataFrame:
-    """block_top() of a task's candidates and queries in parts that fit in memory, the k best of all parts kept."""
+    """block_top() of a task's candidates and queries in parts that fit in memory, the k best of all parts kept; a part starts from the bounds of those before."""
     out = []
     for j in range(0, len(q), query_block):
-        found = [block_top(ids[i : i + block], x[i : i + block], query_ids[j : j + query_block], q[j : j + query_block], k) for i in range(0, len(x), block)]
-        best = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        out.append(best.groupby("query_id").head(k))
+        asked = query_ids[j : j + query_block]
+        best, floor = None, np.full(len(asked), LOWEST, np.int64)
+        for i in range(0, len(x), block):
+            found = block_top(ids[i : i + block], x[i : i + block], asked, q[j : j + query_block], k, floor=floor)
+            best = found if best is None else pd.concat([best, found])
+            best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            last = best.groupby("query_id")["score"].agg(["size", "min"])
+            last = last[last["size"] == k]["min"]
+            floor = last.reindex(asked, fill_value=LOWEST).to_numpy(np.int64)
+        out.append(best)
     return pd.concat(out)
 
 

@@ -380,6 +380,23 @@ def test_top_k(spark, block):
     assert topk.top_k(few, few.filter("vec_id = 0")).count() == 3 and topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("weight,most", [(1, 1.0), (40, 0.25)])
+def test_top_k_reads_what_it_needs(weight, most):
+    """Where one component decides, a part of the lists is read; where none does, no entry is read twice. Either way the result is exact, in one block or many."""
+    rng = np.random.default_rng(60)
+    x = np.floor(1024 * rng.normal(size=(3000, 32)) * np.r_[weight, np.ones(31)]).astype(np.int64)
+    ids, q = np.arange(3000), x[::300]
+    reads = [0]
+    one = topk.block_top(ids, x, ids[::300], q, 10, reads)
+    assert 0 < reads[0] <= most * 3000 * (q != 0).sum()
+    many = topk.task_top(ids, x, ids[::300], q, 10, block=700, query_block=4)
+    for found in (one, many):
+        for i, (query, group) in enumerate(found.groupby("query_id")):
+            s = x @ q[i]
+            want = sorted(((-int(v), j) for j, v in enumerate(s) if j != query))[:10]
+            assert sorted(zip(-group["score"], group["vec_id"])) == want
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 def plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode()))
