@@ -16,12 +16,14 @@ WORD_RUN = "[a-z0-9_]+"
 def relevant_forms(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(key, forms): for each of texts (key, rid, text) the exclusion forms of its provider's ids (rid, lui) that may stand in it.
 
-    A form can only match where the text has its first run of word characters as a run of its own. So the runs of the texts meet
-    the first runs of the forms in a join, and a text gets the few forms that it may hold instead of the thousands that its provider
-    has. Forms without word characters go to every text of their provider. Texts without forms are left out.
+    A form can only match where the text has each of its runs of word characters as a run of its own. So the runs of the texts meet
+    the longest run of each form in a join (of equal length the last one, since ids of a provider often begin alike), and a text gets the
+    few forms that it may hold instead of the thousands that its provider has. Forms without word characters go to every text of their
+    provider. Texts without forms are left out.
     """
     forms = ids.filter("lui is not null").select("rid", F.explode(pf.exclusion_forms(F.col("lui"))).alias("form")).distinct()
-    forms = forms.withColumn("run", F.regexp_extract(F.lower("form"), WORD_RUN, 0))
+    sized = F.transform(F.regexp_extract_all(F.lower("form"), F.lit(WORD_RUN), F.lit(0)), lambda r, i: F.struct(F.length(r).alias("n"), i.alias("i"), r.alias("r")))
+    forms = forms.withColumn("run", F.coalesce(F.array_max(sized)["r"], F.lit("")))
     runs = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower("text"), F.lit(WORD_RUN), F.lit(0))))
     held = texts.select("key", "rid", F.explode(runs).alias("run"))
     return held.join(forms, ["rid", "run"]).groupBy("key").agg(F.collect_set("form").alias("forms"))

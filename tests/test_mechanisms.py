@@ -94,8 +94,8 @@ def pf_words(t):
 
 def test_thousands_of_exclusions(spark):
     r = random.Random(4)
-    ids = [(1, f"id{i}") for i in range(10_000)] + [(1, "a.b-1"), (1, "x#y"), (1, "ab_c#d"), (1, "--"), (1, "GO:0001"), (1, None), (2, "word")]
-    texts = [(1, " ".join(r.choice(["id7", "ID70", "id99999", "x", "ab", "ab_c", "a.b-1", "a.b-12", "go:0001", "-- word", "<b>i</b>d8", "http://a/id7", '{"k": "id9"}'] + [f"id{r.randint(0, 9999)}"]) for _ in range(12))) for _ in range(30)] + [(2, "word wording id7"), (3, "id7"), (None, "id7")]
+    ids = [(1, f"id{i}") for i in range(10_000)] + [(1, f"GO:{i:07}") for i in range(3000)] + [(1, "a.b-1"), (1, "x#y"), (1, "ab_c#d"), (1, "--"), (1, "GO:0001"), (1, None), (2, "word")]
+    texts = [(1, " ".join(r.choice(["id7", "ID70", "id99999", "x", "ab", "ab_c", "a.b-1", "a.b-12", "go:0001", "GO:0000042", "go 0000043", "-- word", "<b>i</b>d8", "http://a/id7", '{"k": "id9"}'] + [f"id{r.randint(0, 9999)}"]) for _ in range(12))) for _ in range(30)] + [(2, "word wording id7"), (3, "id7"), (None, "id7")]
     rows = [(rid, f"p{i}", i, [("u", 200)], t) for i, (rid, t) in enumerate(texts)] + [(1, "q", 99, [("u", 404)], "id7"), (1, "q", 98, [("u", 200)], None)]
     p = spark.createDataFrame(rows, "rid int, lui string, ord int, redirects array<struct<url string, status int>>, content string")
     i = spark.createDataFrame(ids, "rid int, lui string")
