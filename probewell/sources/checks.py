@@ -41,22 +41,21 @@ def schema_errors(records: DataFrame, schema: StructType) -> DataFrame:
     closed = F.broadcast(spark.createDataFrame(schema_rows(schema), "place string, want string"))  # as many rows as the schema has fields
     deepest = max(p.count(".") + p.count("[]") for p, _ in schema_rows(schema)) + 2
     v = records.select("file", "record", F.try_parse_json("text").alias("v"))
-    out = v.filter("v is null").select("file", "record", F.lit(None).cast("string").alias("path"), F.lit("not JSON").alias("rule"))
-    level = v.filter("v is not null").select("file", "record", F.lit("").alias("path"), F.lit("").alias("place"), "v")
+    # Errors go along as rows without a value, so that each record is read and parsed once, whatever the depth.
+    level = v.select("file", "record", F.when(F.col("v").isNotNull(), "").alias("path"), F.lit("").alias("place"), "v", F.when(F.col("v").isNull(), "not JSON").alias("rule"))
     for _ in range(deepest):
         seen = level.withColumn("kind", _kind("v")).join(closed, "place", "left")
         fits = (F.col("kind") == "null") | (F.col("kind") == F.col("want")) | ((F.col("want") == "map") & (F.col("kind") == "object")) | ((F.col("want") == "number") & (F.col("kind") == "integer"))
         rule = F.when(F.col("want").isNull(), "unknown").when(~fits, F.concat(F.lit("not "), F.when(F.col("want") == "map", "object").otherwise(F.col("want"))))
-        seen = seen.withColumn("rule", rule)
-        out = out.unionByName(seen.filter("rule is not null").select("file", "record", "path", "rule"))
-        inner = seen.filter("rule is null and kind in ('object', 'array')").select("file", "record", "path", "place", "want", "v")
+        seen = seen.withColumn("rule", F.coalesce("rule", rule)).filter("rule is not null or kind in ('object', 'array')")
+        inner = seen.select("file", "record", "path", "place", "want", "rule", F.when(F.col("rule").isNull(), F.col("v")).alias("v"))
         level = spark.sql(
-            """select file, record, case when e.key is null then concat(t.path, '[', e.pos, ']') when t.path = '' then e.key else concat(t.path, '.', e.key) end as path,
-                case when e.key is null then concat(t.place, '[]') when t.want = 'map' then concat(t.place, '.*') when t.place = '' then e.key else concat(t.place, '.', e.key) end as place, e.value as v
-               from {t} t, lateral variant_explode(t.v) e""",
+            """select file, record, case when rule is not null then t.path when e.key is null then concat(t.path, '[', e.pos, ']') when t.path = '' then e.key else concat(t.path, '.', e.key) end as path,
+                case when rule is not null then '' when e.key is null then concat(t.place, '[]') when t.want = 'map' then concat(t.place, '.*') when t.place = '' then e.key else concat(t.place, '.', e.key) end as place, e.value as v, rule
+               from {t} t, lateral variant_explode_outer(t.v) e where rule is not null or e.pos is not null""",
             t=inner,
         )
-    return out
+    return level.filter("rule is not null").select("file", "record", "path", "rule")
 
 
 def check_files(spark: SparkSession, path: str, schema: str | StructType, lines: bool = True) -> DataFrame:
