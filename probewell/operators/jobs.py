@@ -30,8 +30,10 @@ def mined_ids(log: DataFrame, namespaces: DataFrame, host: str = "identifiers.or
 
     Deprecated namespaces and ids that don't parse are dropped. Ids are made distinct before the join.
     """
-    ids = log.select(pf.compact_id_of_url("url", host).alias("compact")).filter("compact is not null").distinct()
-    parts = ids.withColumn("prefix", F.lower(F.substring_index("compact", ":", 1))).withColumn("lui", F.expr("substring(compact, instr(compact, ':') + 1)")).filter("instr(compact, ':') > 0")
+    # Out of an array, so that no filter on the id is pushed down and makes it again.
+    compact = F.filter(F.array(pf.compact_id_of_url("url", host)), lambda c: c.contains(":"))
+    ids = log.select(F.explode(compact).alias("compact")).distinct()
+    parts = ids.withColumn("prefix", F.lower(F.substring_index("compact", ":", 1))).withColumn("lui", F.expr("substring(compact, instr(compact, ':') + 1)"))
     ns = namespaces.filter("not deprecated").select("prefix", "pattern", "namespaceEmbeddedInLui")
     return parts.join(ns, "prefix").filter(F.regexp_like("lui", "pattern")).select(F.col("prefix").alias("namespace"), pf.without_namespace("lui", "namespaceEmbeddedInLui").alias("lui")).distinct()
 
