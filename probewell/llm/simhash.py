@@ -210,12 +210,22 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return stored(both.filter(common >= similarity * (F.size("shingles") + F.size("held") - common)).select("a", "b"))
 
 
+def unlinked_pairs(rows: DataFrame, block: int = 1024) -> DataFrame:
+    """(a, b): all pairs of rows (band, key, cid, root) of a bucket whose roots differ, the smaller cid first. Large buckets are dealt as blocks."""
+    split = rows.groupBy("band", "key").agg(F.count_distinct("root").alias("roots"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("roots > 1")
+    rows = stored(rows.join(split.drop("roots"), ["band", "key"]))
+    one = rows.select("band", "key", F.col("cid").alias("a"), F.col("root").alias("x"), F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("nth"))
+    other = rows.select("band", "key", F.col("cid").alias("b"), F.col("root").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("nth"))
+    return one.join(other, ["band", "key", "nth"]).filter("a < b and x <> y").select("a", "b").distinct()
+
+
 def groups_of(classes: DataFrame, sets_of, similarity: float, limit: int, small: int = 24, rounds: int = 4) -> DataFrame:
     """(node, root): the class that each of classes (cid, fp, bands) is linked to by steps, if it isn't that class itself; root is the smallest cid.
 
     Candidates share a fingerprint component or a band. In a bucket of up to `small` classes all pairs are compared. A larger one compares
     all with one of them, its head; while some of it aren't of the head's group, one class of each group is compared with a new
-    head, in at most `rounds` rounds. Pairs are verified by their whole sets; sets_of (classes) gives those (cid, shingles).
+    head, in at most `rounds` rounds; then all pairs of a bucket that aren't in one group yet are compared, so no partner is dropped.
+    Pairs are verified by their whole sets; sets_of (classes) gives those (cid, shingles).
     """
     rows = stored(classes.select("cid", F.posexplode("bands").alias("band", "key")))
     full = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("cid").alias("head")).filter("n > 1")
@@ -231,8 +241,11 @@ def groups_of(classes: DataFrame, sets_of, similarity: float, limit: int, small:
     found = components(links)
     large = stored(many.select("band", "key", "cid"))
     discard(rows, buckets)
-    for n in range(rounds if not large.isEmpty() else 0):
-        known = large.join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    if large.isEmpty():
+        return found
+    grouped = lambda: large.join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    for n in range(rounds):
+        known = grouped()
         # One class of each group in a bucket, another one in each round.
         pick = F.min_by("cid", F.xxhash64("cid", F.lit(n)))
         one = known.groupBy("band", "key", "root").agg(pick.alias("cid"))
@@ -245,7 +258,8 @@ def groups_of(classes: DataFrame, sets_of, similarity: float, limit: int, small:
             continue
         links = links.unionByName(more)
         found = components(links)
-    return found
+    more = linked(stored(unlinked_pairs(grouped())), sets, similarity)
+    return found if more.isEmpty() else components(links.unionByName(more))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, limit: int = 4, bands: int = 12, rows_per_band: int = 5) -> DataFrame:
