@@ -19,7 +19,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probewell.llm.common import components, discard, group_starts, ragged_arange, smallest_labels, stored, whole_groups
@@ -211,7 +211,8 @@ def linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def unlinked_pairs(rows: DataFrame, block: int = 1024) -> DataFrame:
-    """(a, b): all pairs of rows (band, key, cid, root) of a bucket whose roots differ, the smaller cid first. Large buckets are dealt as blocks."""
+    """(a, b): all pairs of rows (band, key, cid, root) of a bucket whose roots differ, the smaller cid first. Large buckets are dealt as blocks.
+    Quadratic in a bucket's classes: what rare_pairs() is held against."""
     split = rows.groupBy("band", "key").agg(F.count_distinct("root").alias("roots"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("roots > 1")
     rows = stored(rows.join(split.drop("roots"), ["band", "key"]))
     one = rows.select("band", "key", F.col("cid").alias("a"), F.col("root").alias("x"), F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("nth"))
@@ -219,12 +220,33 @@ def unlinked_pairs(rows: DataFrame, block: int = 1024) -> DataFrame:
     return one.join(other, ["band", "key", "nth"]).filter("a < b and x <> y").select("a", "b").distinct()
 
 
+def rare_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of rows (band, key, cid, root) of buckets that hold several roots, which have different roots and can reach the similarity; the
+    smaller cid first.
+
+    The hashes of a set (cid, shingles) are ordered from the rarest on. Two sets of n and m hashes that reach the similarity t have c = t (n + m) / (1 + t)
+    in common at least, so one of those is among the first n - c + 1 of the one and the first m - c + 1 of the other. Only such pairs are given:
+    classes that have the frequent part of a bucket in common and differ too much in the rest don't meet.
+    """
+    several = rows.groupBy("band", "key").agg(F.count_distinct("root").alias("roots")).filter("roots > 1")
+    of = rows.join(several, ["band", "key"], "left_semi").select("cid", "root").distinct()
+    held = stored(sets.join(of, "cid").select("cid", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("h")))
+    often = held.groupBy("h").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("often", "h"))
+    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    first = stored(held.join(often, "h").withColumn("place", place).filter((F.col("place") <= most) & (F.col("often") > 1)))
+    one, other = (first.select("h", F.col("cid").alias(c), F.col("root").alias(r), F.col("size").alias(n), F.col("place").alias(p)) for c, r, n, p in (("a", "x", "n", "p"), ("b", "y", "m", "q")))
+    common = F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)
+    near = (F.col("p") <= F.col("n") - common + 1) & (F.col("q") <= F.col("m") - common + 1)
+    return one.join(other, (one["h"] == other["h"]) & F.expr("a < b and x <> y") & near).select("a", "b").distinct()
+
+
 def groups_of(classes: DataFrame, sets_of, similarity: float, limit: int, small: int = 24, rounds: int = 4) -> DataFrame:
     """(node, root): the class that each of classes (cid, fp, bands) is linked to by steps, if it isn't that class itself; root is the smallest cid.
 
     Candidates share a fingerprint component or a band. In a bucket of up to `small` classes all pairs are compared. A larger one compares
     all with one of them, its head; while some of it aren't of the head's group, one class of each group is compared with a new
-    head, in at most `rounds` rounds; then all pairs of a bucket that aren't in one group yet are compared, so no partner is dropped.
+    head, in at most `rounds` rounds; then those of other groups are looked up by their rarest shingles, so no partner is dropped.
     Pairs are verified by their whole sets; sets_of (classes) gives those (cid, shingles).
     """
     rows = stored(classes.select("cid", F.posexplode("bands").alias("band", "key")))
@@ -258,7 +280,7 @@ def groups_of(classes: DataFrame, sets_of, similarity: float, limit: int, small:
             continue
         links = links.unionByName(more)
         found = components(links)
-    more = linked(stored(unlinked_pairs(grouped())), sets, similarity)
+    more = linked(stored(rare_pairs(grouped(), sets, similarity)), sets, similarity)
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
