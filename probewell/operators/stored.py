@@ -29,6 +29,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def parts_of(df: DataFrame, rows: int) -> int:
+    """The number of partitions for at most about `rows` rows in each, and no fewer than shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that stored() returned and nothing reads any more."""
     for table in tables:

@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,15 @@ def test_next_mentions(spark, block):
     assert "collect_set" not in plan and "collect_list" not in plan
 
 
+def test_next_mentions_deals_rows_to_more_tasks(spark):
+    m = spark.range(3000).selectExpr("id", "explode(array(1, 3)) as start").selectExpr("id", "start", "start + 1 as end", "'t' as text")
+    got = linking.next_mentions(m, rows_per_part=500)
+    assert got.agg(F.count("*"), F.count("next_start")).first() == (6000, 3000)
+    # 6,000 mentions, at most about 500 for each task of a shuffle.
+    plan = got._jdf.queryExecution().toString()
+    assert "hashpartitioning(id" in plan and all(int(n) >= 12 for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan))
+
+
 def test_chains_have_no_limit(spark):
     rows = [(1, 10 * i, 10 * i + 5, f"m{i}") for i in range(10)] + [(2, 3, 3, "m1"), (2, 3, 3, "m2")]
     m = spark.createDataFrame(rows, "id int, start int, end int, text string")
