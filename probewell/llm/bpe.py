@@ -45,7 +45,7 @@ def default_vocabulary() -> str:
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers JSON file. Words met are kept, up to `keep` of them."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 200_000):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         vocab, letters = file["model"]["vocab"], byte_letters()
@@ -218,7 +218,7 @@ def ragged(values: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return values[np.arange(ends[-1]) + np.repeat(at[rows] - ends + sizes, sizes)]
 
 
-def chunks(batches, chars: int = 4_000_000):
+def chunks(batches, chars: int = 1_000_000):
     """Frames of about `chars` characters of text: what is in memory at once doesn't depend on the rows of a batch."""
     for b in batches:
         part = b["text"].str.len().fillna(0).cumsum() // chars
