@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from probewell import schemas
+from probewell.operators.stored import parts_of, stored
 
 CORRUPT = "_corrupt_record"
 
@@ -134,17 +135,19 @@ def tags_of(identities: DataFrame, tags: DataFrame) -> DataFrame:
     return identities.join(tags, "identity", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
-def nest_datamine(pings: DataFrame, analysis: DataFrame | None = None, part_size: int | None = None) -> DataFrame:
+def nest_datamine(pings: DataFrame, analysis: DataFrame | None = None, part_size: int | None = None, rows_per_part: int = 250_000) -> DataFrame:
     """One row for each provider: its pings in order of date and id, and its analysis, null where there is none.
 
     With part_size a provider's pings are dealt to rows (id, part, ...) of about so many, by hash, each in that order: for
-    providers with more pings than a row should hold. The analysis is on part 0 then.
+    providers with more pings than a row should hold. The analysis is on part 0 then. The number of tasks goes with that of pings, so
+    that what a task gathers doesn't grow with the table.
     """
     p = pings.select(F.col("rid").alias("id"), F.lit(0).cast("long").alias("part"), F.struct("date", "lui", "random", "redirects", F.col("content").isNull().alias("empty_content")).alias("p"))
     if part_size:
-        parts = p.groupBy("id").agg(F.ceil(F.count("*") / part_size).alias("parts"))
-        p = p.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("p.lui", "p.date", "p.random"), "parts")).drop("parts")
-    p = p.groupBy("id", "part").agg(F.sort_array(F.collect_list("p")).alias("pings"))
+        # Most providers have one part: only the others, stored so that Spark knows how few they are, are looked up.
+        parts = stored(p.filter("id is not null").groupBy("id").agg(F.ceil(F.count("*") / part_size).alias("parts")).filter("parts > 1"))
+        p = p.filter("id is not null").join(parts, "id", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("p.lui", "p.date", "p.random"), "parts"), F.lit(0).cast("long"))).drop("parts")
+    p = p.repartition(parts_of(pings, rows_per_part), "id", "part").groupBy("id", "part").agg(F.sort_array(F.collect_list("p")).alias("pings"))
     p = p.withColumn("pings", F.transform("pings", lambda x: F.struct(x.lui.alias("lui"), x.random.alias("random"), x.date.alias("date"), x.redirects.alias("redirects"), x.empty_content.alias("empty_content"))))
     if analysis is None:
         p = p.withColumn("analysis", F.lit(None).cast(f"array<{schemas.ANALYSIS}>"))
