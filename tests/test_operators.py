@@ -296,3 +296,37 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     out, whole = spark.read.parquet(str(tmp_path / "out")), failure_rates(src.withColumn("ts", F.col("ts").cast("timestamp")))
     assert 0 < out.count() <= whole.count() and out.exceptAll(whole).count() == 0
+
+
+def test_identities_need_no_examples(spark, monkeypatch):
+    data = [
+        (1, "7", False, [hop("http://a/7", 301), hop("https://a/7", 404)], False, "go:7"),
+        (1, "8", True, [hop("http://a/8", 500, True)], False, "go:8"),
+        (1, "8", None, [hop("http://a/8", 503)], False, "go:8"),
+        (2, "9", False, [hop(None, 404)], False, "go:9"),
+        (2, None, True, [hop("http://b/1", 301, True), hop("https://b/1", 404)], False, None),
+        (2, "1", True, [hop("http://b/1", 502)], False, None),
+        (3, "1", False, [hop("http://b/1", None)], False, "go:1"),
+        (4, "1", False, [], False, "go:1"),
+        (5, "1", False, [hop("http://b/1", 404, True)], False, "go:1"),
+        (None, "1", False, [hop("http://b/1", 404, True)], False, "go:1"),
+    ]
+    p, registry = ping(spark, data), spark.createDataFrame([(1,), (1,), (2,), (3,), (4,), (None,)], "rid bigint")
+    lots = [["http-status-error"], ["http-status-error:valid_rate=0.0,random_rate=0.0"], ["http-status-error:random_rate=0.4", "scheme-only-redirect", "redirection-chain"], ["dns-error", "ssl-error"], ["dns-error"], ["invalid-response", "scheme-only-redirect"], ["http-status-error:valid_rate=-1,random_rate=-1"]]
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = [rows(issues.identities(issues.find_issues(p, registry, specs))) for specs in lots]
+    assert sum(map(len, want)) > 10
+    for name in ("collected", "_totals"):
+        monkeypatch.setattr(issues, name, lambda *_: pytest.fail("identities need no examples"))
+    assert [rows(issues.find_identities(p, registry, specs)) for specs in lots] == want
+
+
+def test_identities_of_validators_that_exclude_entries(spark):
+    p = ping(spark, [(i, "7", False, [hop("http://a/7", 500)], False, "go:7") for i in (1, 2)])
+    own = issues.VALIDATORS["scheme-only-redirect"]
+    issues.register("scheme-only-redirect", lambda pings, **_: issues.Verdict(issues.http_status_error(pings).limit(0), spark.createDataFrame([(2,)], "rid bigint")))
+    try:
+        assert [r["rid"] for r in issues.find_identities(p, p.select("rid"), ["http-status-error", "scheme-only-redirect"]).collect()] == [1]
+    finally:
+        issues.VALIDATORS["scheme-only-redirect"] = own
+        del issues.PARAMETERS["scheme-only-redirect"]
